@@ -42,28 +42,26 @@ def _is_cancelled() -> Column:
 def raw_flights(spark: SparkSession, sf_dir: str, destination: bool = True) -> DataFrame:
     """One row per line item in the raw column layout, as far as there are counterparts.
 
-    Nations and customers are joined to orders before lines are, while there are fewer
-    rows. Which sides are broadcast is left to their sizes; none is forced. Without
-    ``destination`` the customer join, needed for that column only, is left out.
+    Customers are joined to orders, of which there are fewer than lines. A side is broadcast
+    when its size allows, none is forced; nations come last, so that the size Spark compares
+    is that of the supplier or customer file. Without ``destination`` the customer join,
+    needed for that column only, is left out.
     """
     nation = table(spark, sf_dir, "nation")
-    origins = (
-        table(spark, sf_dir, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("origin_airport"))
-    )
+    origins = nation.select(F.col("n_nationkey").alias("_origin_key"), F.col("n_name").alias("origin_airport"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("_origin_key"))
     orders = table(spark, sf_dir, "orders")
     if destination:
-        customers = (
-            table(spark, sf_dir, "customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("c_custkey", F.col("n_name").alias("destination_airport"))
+        destinations = nation.select("n_nationkey", F.col("n_name").alias("destination_airport"))
+        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+        orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+            destinations, F.col("c_nationkey") == F.col("n_nationkey")
         )
-        orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     lines = (
         table(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(origins, "_origin_key")
     )
     cancelled, date = _is_cancelled(), F.col("o_orderdate")
     return lines.select(

@@ -81,11 +81,13 @@ def write_audit_publish(
         if by_month:
             months = months_of(arrived)
             stored = only_months(stored, months)
-        if mode == "insert_only":
-            create_like(without_existing(arrived, stored, key), audit, by_month)
+        if stored.isEmpty():
+            stage = incoming
         else:
-            create_like(without_existing(arrived, stored), audit, by_month)
-        staged = read_table(spark, audit)
+            stage = audit
+            same = key if mode == "insert_only" else None
+            create_like(without_existing(arrived, stored, same), stage, by_month)
+        staged = read_table(spark, stage)
         if staged.isEmpty():
             return False
         current = read_table(spark, table)
@@ -100,7 +102,7 @@ def write_audit_publish(
         if not outcome.passed:
             raise AuditFailed(table, outcome)
         if mode == "insert_only":
-            append(spark.table(audit), table, arranged=True)
+            append(spark.table(stage), table, arranged=True)
         else:
             replace_content(merge_replace(read_table(spark, table), staged, key), table)
         return True

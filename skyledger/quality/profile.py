@@ -15,12 +15,38 @@ HISTOGRAM_VALUES = 120
 NULL_VALUE = "NullValue"
 PERCENTILES = (0.25, 0.5, 0.75)
 
-_INTEGRAL = r"^\s*[-+]?\d+\s*$"
-_FRACTIONAL = r"^\s*[-+]?(\d+\.\d*|\.\d+)\s*$"
-_BOOLEAN = r"^\s*(true|false)\s*$"
+_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"
+
+TEXT_KINDS = ("Integral", "Fractional", "Boolean", "String")
+
+
+def _code(kind: str) -> Column:
+    return F.lit(TEXT_KINDS.index(kind))
+
+
+def _prepared(name: str, kind: DataType, number: int) -> list[Column]:
+    """The column as ``v``, its numeric value as ``x`` and, for text, what it reads as in ``k``."""
+    value = named(name)
+    if isinstance(kind, (IntegralType, FractionalType)):
+        return [value.alias(f"v{number}"), value.cast("double").alias(f"x{number}")]
+    if isinstance(kind, StringType):
+        # Casting text that is no number is slow, so the pattern decides first.
+        is_number = value.rlike(_NUMBER)
+        reads_as = (
+            F.when(value.isNull(), None)
+            .when(is_number, F.when(value.contains("."), _code("Fractional")).otherwise(_code("Integral")))
+            .when(F.lower(F.trim(value)).isin("true", "false"), _code("Boolean"))
+            .otherwise(_code("String"))
+        )
+        return [
+            value.alias(f"v{number}"),
+            F.when(is_number, value.cast("double")).alias(f"x{number}"),
+            reads_as.alias(f"k{number}"),
+        ]
+    return [value.alias(f"v{number}"), F.lit(None).cast("double").alias(f"x{number}")]
 
 
-def _kind(column: Column, kind: DataType) -> Column:
+def _kind(kind: DataType, number: int) -> Column:
     """Type of the values: the declared one, or for text the narrowest that all of them read as."""
     if isinstance(kind, BooleanType):
         return F.lit("Boolean")
@@ -30,44 +56,41 @@ def _kind(column: Column, kind: DataType) -> Column:
         return F.lit("Fractional")
     if not isinstance(kind, StringType):
         return F.lit("Unknown")
-    known = F.count(column)
-    whole, broken = F.count_if(column.rlike(_INTEGRAL)), F.count_if(column.rlike(_FRACTIONAL))
+    first, last = F.min(f"k{number}"), F.max(f"k{number}")
+    only = F.element_at(F.array(*[F.lit(k) for k in TEXT_KINDS]), last + 1)
     return (
-        F.when(known == 0, "Unknown")
-        .when(whole == known, "Integral")
-        .when(whole + broken == known, "Fractional")
-        .when(F.count_if(F.lower(column).rlike(_BOOLEAN)) == known, "Boolean")
+        F.when(first.isNull(), "Unknown")
+        .when(first == last, only)
+        .when(last <= _code("Fractional"), "Fractional")
         .otherwise("String")
     )
 
 
-def _profile(name: str, kind: DataType, approximate: bool) -> Column:
-    column = named(name)
-    numeric_type = isinstance(kind, (IntegralType, FractionalType))
-    value_kind = _kind(column, kind)
-    number = F.expr(f"TRY_CAST(`{name.replace('`', '``')}` AS DOUBLE)") if numeric_type or isinstance(
-        kind, StringType
-    ) else F.lit(None).cast("double")
+def _profile(name: str, kind: DataType, number: int, approximate: bool) -> Column:
+    value, x = F.col(f"v{number}"), F.col(f"x{number}")
+    value_kind = _kind(kind, number)
 
     def stat(expression: Column) -> Column:
-        return expression if numeric_type else F.when(value_kind.isin("Integral", "Fractional"), expression)
+        """Numbers of a text column count only if all its values are numbers."""
+        is_text = isinstance(kind, StringType)
+        return F.when(value_kind.isin("Integral", "Fractional"), expression) if is_text else expression
 
     fields = [
         F.lit(name).alias("column_name"),
         value_kind.alias("data_type"),
         F.lit(isinstance(kind, StringType)).alias("type_inferred"),
         F.count(F.lit(1)).alias("row_count"),
-        ratio(F.count(column), F.count(F.lit(1))).alias("completeness"),
-        stat(F.min(number)).alias("minimum"),
-        stat(F.max(number)).alias("maximum"),
-        stat(F.avg(number)).alias("mean"),
-        stat(F.stddev_pop(number)).alias("std_dev"),
-        stat(F.sum(number)).alias("total"),
+        ratio(F.count(value), F.count(F.lit(1))).alias("completeness"),
+        stat(F.min(x)).alias("minimum"),
+        stat(F.max(x)).alias("maximum"),
+        stat(F.avg(x)).alias("mean"),
+        stat(F.stddev_pop(x)).alias("std_dev"),
+        stat(F.sum(x)).alias("total"),
     ]
     if approximate:
         fields += [
-            F.approx_count_distinct(column).alias("approx_distinct"),
-            stat(F.percentile_approx(number, list(PERCENTILES))).alias("percentiles"),
+            F.approx_count_distinct(value).alias("approx_distinct"),
+            stat(F.percentile_approx(x, list(PERCENTILES))).alias("percentiles"),
         ]
     return F.struct(*fields)
 
@@ -77,8 +100,10 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bo
 
     ``approximate`` adds the distinct-count sketch and percentiles. Everything is one pass.
     """
-    rows = [_profile(c, df.schema[c].dataType, approximate) for c in columns or df.columns]
-    return df.agg(F.array(*rows).alias("profiles")).select(F.inline("profiles"))
+    kinds = [(c, df.schema[c].dataType) for c in columns or df.columns]
+    prepared = df.select(*[expr for n, (c, kind) in enumerate(kinds) for expr in _prepared(c, kind, n)])
+    rows = [_profile(c, kind, n, approximate) for n, (c, kind) in enumerate(kinds)]
+    return prepared.agg(F.array(*rows).alias("profiles")).select(F.inline("profiles"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
