@@ -3,36 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skyledger.functions.columns import named, row_key
 
 
+def _keys_of(stored: DataFrame, names: Sequence[str], distinct: bool) -> DataFrame:
+    """The stored side of a comparison: one column ``_key``.
+
+    Grouping by the columns but joining on their struct makes Spark shuffle the distinct keys
+    once more. That is wanted: AQE splits a skewed join side only if both sides come
+    straight from a shuffle, and the batch may hold one key a million times.
+    """
+    columns = stored.select(*[named(c) for c in names])
+    return (columns.distinct() if distinct else columns).select(row_key(names).alias("_key"))
+
+
 def without_existing(
-    batch: DataFrame, stored: DataFrame, columns: Sequence[str] | None = None, null_safe: bool = True
+    batch: DataFrame,
+    stored: DataFrame,
+    columns: Sequence[str] | None = None,
+    null_safe: bool = True,
+    stored_is_unique: bool = False,
 ) -> DataFrame:
     """Rows of ``batch`` that no row of ``stored`` equals on ``columns`` (default: all of the batch's).
 
     Copies within the batch are kept, unlike EXCEPT. With ``null_safe`` two NULLs are equal,
     without it a row with a NULL never has a match.
 
-    The stored side is reduced to distinct keys first, which a hot group of copies shrinks
-    to one row on the map side; being hashed on the same key, the join needs no further
-    shuffle of it. Copies on the batch side are what AQE's skew join splits.
+    A hot group of copies on the stored side is reduced to one row ahead of the shuffle; if the
+    stored rows are known to be unique in ``columns`` that step is left out. Copies on the batch
+    side are spread by AQE's skew join.
     """
     names = list(columns or batch.columns)
+    keyed = batch.withColumn("_key", row_key(names))
     if not null_safe:
-        seen = stored.select(*[named(c) for c in names]).distinct()
-        return batch.join(seen, names, "left_anti").select(*[named(c) for c in batch.columns])
-    seen = stored.select(row_key(names).alias("_key")).distinct()
-    return batch.withColumn("_key", row_key(names)).join(seen, "_key", "left_anti").drop("_key")
+        known = reduce(and_, [named(c).isNotNull() for c in names])
+        keyed = keyed.withColumn("_key", F.when(known, F.col("_key")))
+    seen = _keys_of(stored, names, not stored_is_unique)
+    return keyed.join(seen, "_key", "left_anti").drop("_key")
 
 
 def changed_existing(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key is stored, but with other values in some column."""
-    seen = stored.select(row_key(keys).alias("_key")).distinct()
-    known = batch.withColumn("_key", row_key(keys)).join(seen, "_key", "left_semi").drop("_key")
+    keyed = batch.withColumn("_key", row_key(keys))
+    known = keyed.join(_keys_of(stored, keys, True), "_key", "left_semi").drop("_key")
     return without_existing(known, stored)
 
 

@@ -363,7 +363,7 @@ def flights_in_month(spark, sf_dir):
 
 
 @query
-def flights_of_one_number(spark, sf_dir):
+def cancelled_urgent_1996(spark, sf_dir):
     flights = proxy.flights(spark, sf_dir)
     return flights.where("airline = '1-URGENT' AND date BETWEEN '1996-01-01' AND '1996-12-31' AND cancelled = 1")
 

@@ -323,7 +323,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "date_bounds": over_flights("SELECT min(date) AS min_date, max(date) AS max_date FROM flights"),
     "flights_in_month": over_flights(f"SELECT {COLUMNS} FROM flights WHERE year(date) = 1996 AND month(date) = 3"),
-    "flights_of_one_number": over_flights(
+    "cancelled_urgent_1996": over_flights(
         f"SELECT {COLUMNS} FROM flights WHERE airline = '1-URGENT' AND year(date) = 1996 AND cancelled = 1"
     ),
     "partition_stats": over_flights(

@@ -36,7 +36,7 @@ def run(
     done["dim_airports"] = write_new(raw["airports"], name("dim_airports"))
     done["dim_cancellation_codes"] = write_new(raw["cancellation_codes"], name("dim_cancellation_codes"))
     facts = read_table(spark, name("fact_flights"))
-    years = [int(month[:4]) for month in stored_months(spark, name("fact_flights"))]
+    years = [int(month[:4]) for month in stored_months(spark, name("fact_flights")) if month]
     if years:
         days = calendar(spark, dt.date(min(years), 1, 1), dt.date(max(years), 12, 31), holidays)
         done["dim_dates"] = write_new(days, name("dim_dates"), keys=["date"])

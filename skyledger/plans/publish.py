@@ -15,11 +15,11 @@ from skyledger.sources.tables import (
     create_like,
     drop_table,
     is_by_month,
-    months_of,
     only_months,
     read_table,
     replace_content,
     sibling,
+    stored_months,
 )
 
 
@@ -53,6 +53,9 @@ def write_audit_publish(
     part of the unique key and what is stored has passed before, and it keeps the cost of a load
     in proportion to the load.
 
+    Stored rows are unique in their key, having passed the audit or replaced their
+    predecessors, so the comparison shuffles them as they are.
+
     The batch is computed once, into a staging table next to the target; everything after
     that reads files, so a lost executor costs no recomputation of the batch. The staging tables
     are dropped in any case. After a crash during the final append, running the load again
@@ -79,14 +82,14 @@ def write_audit_publish(
         if arrived.isEmpty():
             return False
         if by_month:
-            months = months_of(arrived)
+            months = stored_months(spark, incoming)
             stored = only_months(stored, months)
         if stored.isEmpty():
             stage = incoming
         else:
             stage = audit
             same = key if mode == "insert_only" else None
-            create_like(without_existing(arrived, stored, same), stage, by_month)
+            create_like(without_existing(arrived, stored, same, stored_is_unique=True), stage, by_month)
         staged = read_table(spark, stage)
         if staged.isEmpty():
             return False

@@ -53,10 +53,10 @@ def months_of(df: DataFrame) -> list[str | None]:
     return [row[0] for row in df.select(MONTH_COLUMN).distinct().collect()]
 
 
-def stored_months(spark: SparkSession, table: str) -> list[str]:
-    """Months a table laid out by month has partitions for, from the catalog alone."""
-    listed = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    return sorted(month for month in listed if month[:1].isdigit())
+def stored_months(spark: SparkSession, table: str) -> list[str | None]:
+    """Months a table laid out by month has partitions for, from the catalog alone; None for rows without a date."""
+    values = [row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    return [value if value[:1].isdigit() else None for value in values]
 
 
 def only_months(df: DataFrame, months: Sequence[str | None]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made flights with the awkward cases, and small conveniences."""
 
 import datetime as dt
+from contextlib import contextmanager
 
 from skyledger.schemas import FLIGHTS, RAW_FLIGHTS, ddl_fields
 
@@ -14,6 +15,27 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@contextmanager
+def tiny_shuffles(spark):
+    """Joins by shuffle only, and partitions of 100 KB counting as skewed."""
+    chosen = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name, None) for name in chosen}
+    for name, value in chosen.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def raw_row(**values):
     """A raw flight with plausible defaults."""
     row = {name: (None if kind == "STRING" else 0) for name, kind in ddl_fields(RAW_FLIGHTS)}

@@ -5,7 +5,7 @@ from pyspark.testing import assertDataFrameEqual
 
 from skyledger.operators import dedup
 from skyledger.schemas import FLIGHT_KEY
-from tests.helpers import plan, rows
+from tests.helpers import plan, rows, tiny_shuffles
 
 SCHEMA = "date DATE, airline STRING, flight_number INT, scheduled_departure INT, origin_airport STRING"
 FLIGHTS = [
@@ -73,3 +73,14 @@ def test_rank_matches_a_window(spark):
 def test_key_counts(spark):
     flights = spark.createDataFrame(FLIGHTS, SCHEMA)
     assert dedup.key_counts(flights, FLIGHT_KEY).agg(F.sum("row_count")).first()[0] == 5
+
+
+def test_hot_key_is_split(spark):
+    """A key with half of all rows is counted on the map side and joined back in several tasks."""
+    numbers = spark.range(200_000).selectExpr("if(id % 2 = 0, -1, id) AS k", "sha2(string(id), 256) AS v")
+    with tiny_shuffles(spark):
+        found = dedup.duplicate_rows(numbers.repartition(16), ["k"])
+        assert len(found.collect()) == 100_000
+        text = plan(found)
+        assert len(dedup.first_per_key(numbers.repartition(16), ["k"]).collect()) == 100_001
+    assert "skew=true" in text and "Window" not in text

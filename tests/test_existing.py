@@ -3,7 +3,7 @@ from pyspark.testing import assertDataFrameEqual
 
 from skyledger.functions.columns import same_row
 from skyledger.operators import existing
-from tests.helpers import plan, rows
+from tests.helpers import plan, rows, tiny_shuffles
 
 PEOPLE = "name STRING, age INT"
 
@@ -77,12 +77,23 @@ def test_merge_fills_columns_the_source_lacks(spark, levels):
     assert (2015, "DL", 2, None) in rows(merged)
 
 
-def test_stored_side_is_shuffled_once_as_distinct_keys(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        batch = spark.range(100).selectExpr("id AS a", "id % 3 AS b")
-        text = plan(existing.without_existing(batch, spark.range(50).selectExpr("id AS a", "id % 3 AS b")))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert text.count("Exchange hashpartitioning") == 2
-    assert "NestedLoop" not in text and "Cartesian" not in text
+@pytest.mark.parametrize("unique", [False, True])
+def test_comparison_is_an_equi_join(spark, unique):
+    batch, stored = (spark.range(n).selectExpr("id * 2 AS a", "id % 3 AS b") for n in (100, 50))
+    with tiny_shuffles(spark):
+        text = plan(existing.without_existing(batch, stored, stored_is_unique=unique))
+    assert text.count("Exchange hashpartitioning") == (2 if unique else 3)
+    assert "SortMergeJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_hot_group_of_copies_is_split(spark, unique):
+    """Half of the batch has one key; the join spreads it over several tasks and keeps every row."""
+    batch = spark.range(200_000).selectExpr("if(id % 2 = 0, -1, id) AS a", "sha2(string(id), 256) AS b")
+    stored = spark.range(0, 200_000, 3).selectExpr("id AS a").repartition(4)
+    with tiny_shuffles(spark):
+        found = existing.without_existing(batch.repartition(16), stored, ["a"], stored_is_unique=unique)
+        count = len(found.collect())
+        text = plan(found)
+    assert count == 100_000 + sum(1 for n in range(1, 200_000, 2) if n % 3)
+    assert "skew=true" in text
