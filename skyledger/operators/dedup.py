@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import as_column, named, row_key
+from skyledger.functions.columns import ROW_KEY, as_column, named, with_row_key
 
 
 def drop_duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,8 +24,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column
     """
     rest = [named(c).asc_nulls_first() for c in df.columns if c not in keys]
     order = [as_column(c) for c in order_by or []] + rest
-    place = Window.partitionBy(*[named(k) for k in keys]).orderBy(*(order or [F.lit(1)]))
-    return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    # The hash ahead of the key gives the sort a number to go by; it splits no group.
+    key = [named(k) for k in keys]
+    place = Window.partitionBy("_hash", *key).orderBy(*(order or [F.lit(1)]))
+    ranked = df.withColumn("_hash", F.xxhash64(*key)).withColumn("_place", F.row_number().over(place))
+    return ranked.where("_place = 1").drop("_place", "_hash")
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,8 +48,8 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     group together: keys are counted with map-side combine and only the duplicated ones are
     joined back, so a key with a third of all rows is split by AQE like any skewed join side.
     """
-    repeated = duplicate_keys(df, keys).select(row_key(keys).alias("_key"), "row_count")
-    return df.withColumn("_key", row_key(keys)).join(repeated, "_key").drop("_key")
+    repeated = with_row_key(duplicate_keys(df, keys), keys).select(*ROW_KEY, "row_count")
+    return with_row_key(df, keys).join(repeated, ROW_KEY).drop(*ROW_KEY)
 
 
 def rank_within_key(df: DataFrame, keys: Sequence[str], value: str, descending: bool = True) -> DataFrame:
@@ -56,13 +59,9 @@ def rank_within_key(df: DataFrame, keys: Sequence[str], value: str, descending:
     counted per (key, value); the window then runs over distinct values only, not over all
     rows of a key, and the ranks are joined back.
     """
-    by_value = df.groupBy(row_key(keys).alias("_key"), F.struct(named(value)).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    order = F.col("_value").desc() if descending else F.col("_value").asc()
-    ahead = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = by_value.select(
-        "_key", "_value", (F.coalesce(F.sum("_rows").over(ahead), F.lit(0)) + 1).alias("rank")
-    )
-    keyed = df.withColumn("_key", row_key(keys)).withColumn("_value", F.struct(named(value)))
-    return keyed.join(ranks, ["_key", "_value"]).drop("_key", "_value")
+    columns = [*keys, value]
+    counts = with_row_key(key_counts(df, columns), columns)
+    order = named(value).desc() if descending else named(value).asc()
+    ahead = Window.partitionBy(*[named(k) for k in keys]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("row_count").over(ahead), F.lit(0)) + 1
+    return with_row_key(df, columns).join(counts.select(*ROW_KEY, rank.alias("rank")), ROW_KEY).drop(*ROW_KEY)

@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from skyledger.functions.columns import named, row_key
+from skyledger.functions.columns import ROW_KEY, named, with_row_key
 
 
 def _keys_of(stored: DataFrame, names: Sequence[str], distinct: bool) -> DataFrame:
-    """The stored side of a comparison: one column ``_key``.
+    """The stored side of a comparison: its row keys alone.
 
-    Grouping by the columns but joining on their struct makes Spark shuffle the distinct keys
+    Grouping by the columns but joining on their row key makes Spark shuffle the distinct keys
     once more. That is wanted: AQE splits a skewed join side only if both sides come
     straight from a shuffle, and the batch may hold one key a million times.
     """
     columns = stored.select(*[named(c) for c in names])
-    return (columns.distinct() if distinct else columns).select(row_key(names).alias("_key"))
+    return with_row_key(columns.distinct() if distinct else columns, names).select(ROW_KEY)
 
 
 def without_existing(
@@ -40,18 +37,13 @@ def without_existing(
     side are spread by AQE's skew join.
     """
     names = list(columns or batch.columns)
-    keyed = batch.withColumn("_key", row_key(names))
-    if not null_safe:
-        known = reduce(and_, [named(c).isNotNull() for c in names])
-        keyed = keyed.withColumn("_key", F.when(known, F.col("_key")))
     seen = _keys_of(stored, names, not stored_is_unique)
-    return keyed.join(seen, "_key", "left_anti").drop("_key")
+    return with_row_key(batch, names, null_safe).join(seen, ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
 def changed_existing(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key is stored, but with other values in some column."""
-    keyed = batch.withColumn("_key", row_key(keys))
-    known = keyed.join(_keys_of(stored, keys, True), "_key", "left_semi").drop("_key")
+    known = with_row_key(batch, keys).join(_keys_of(stored, keys, True), ROW_KEY, "left_semi").drop(*ROW_KEY)
     return without_existing(known, stored)
 
 
