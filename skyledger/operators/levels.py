@@ -108,16 +108,20 @@ def aggregate_levels(
     used = [d for d in dimensions if any(d in level for level in levels)]
     types = {d: flights.schema[d].dataType for d in dimensions if d not in used and d in flights.columns}
     cells = flight_cells(flights, used, reasons)
-    totals = [F.sum(name).alias(name) for name in _additive(reasons)]
-    labels = [
-        label_from_grouping(list(time_dimensions), used).alias("time_agg_level"),
-        label_from_grouping(list(other_dimensions), used).alias("agg_level"),
-    ]
-    if used:
-        grouped = cells.groupingSets([[named(c) for c in level] for level in levels], *[named(d) for d in used])
-        summed = grouped.agg(*totals, *labels)
+    if len(levels) == 1:
+        # The cells are the level: no second grouping, and its labels are constants.
+        labels = {
+            "time_agg_level": "_".join(d for d in time_dimensions if d in used) or "all",
+            "agg_level": "_".join(d for d in other_dimensions if d in used) or "all",
+        }
+        summed = cells.withColumns({name: F.lit(label) for name, label in labels.items()})
     else:
-        summed = cells.agg(*totals).select("*", F.lit("all").alias("time_agg_level"), F.lit("all").alias("agg_level"))
+        grouped = cells.groupingSets([[named(c) for c in level] for level in levels], *[named(d) for d in used])
+        summed = grouped.agg(
+            *[F.sum(name).alias(name) for name in _additive(reasons)],
+            label_from_grouping(list(time_dimensions), used).alias("time_agg_level"),
+            label_from_grouping(list(other_dimensions), used).alias("agg_level"),
+        )
     columns = [named(d) if d in used else F.lit(None).cast(types.get(d, "string")).alias(d) for d in dimensions]
     return summed.select(*columns, *_metrics(reasons, extended), "time_agg_level", "agg_level")
 

@@ -7,8 +7,11 @@ a high discount are cancellations.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyledger.operators.silver import to_silver
 from skyledger.schemas import AIRLINES, CANCELLATION_CODES
@@ -31,8 +34,15 @@ REASONS = [
 HOLIDAYS = us_federal_holidays(range(1990, 2010))
 
 
+@lru_cache(maxsize=1000)
+def _schema(path: str) -> StructType:
+    """Schema of a parquet file or folder; its footer is read by a Spark job, so once is enough."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _is_cancelled() -> Column:
