@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from skyledger.operators.silver import to_silver
 from skyledger.schemas import AIRLINES, CANCELLATION_CODES
 from skyledger.sources.calendar import us_federal_holidays
+from skyledger.sources.files import literal_table
 
 # Made-up names for the five order priorities, and the meaning of the reason codes.
 CARRIER_NAMES = [
@@ -98,11 +99,11 @@ def flights(spark: SparkSession, sf_dir: str, destination: bool = True) -> DataF
 
 
 def airlines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CARRIER_NAMES, AIRLINES)
+    return literal_table(spark, CARRIER_NAMES, AIRLINES)
 
 
 def cancellation_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REASONS, CANCELLATION_CODES)
+    return literal_table(spark, REASONS, CANCELLATION_CODES)
 
 
 def airports(spark: SparkSession, sf_dir: str) -> DataFrame:

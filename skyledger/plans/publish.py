@@ -16,6 +16,7 @@ from skyledger.sources.tables import (
     drop_table,
     is_by_month,
     only_months,
+    overwrite_months,
     read_table,
     replace_content,
     sibling,
@@ -48,10 +49,9 @@ def write_audit_publish(
     the aggregate match. A table that does not exist is created, laid out by month if
     ``by_month`` or its specification says so.
 
-    The audit sees the table as it would be. With ``audit_scope="months"`` and a table
-    laid out by month it sees only the months the batch touches: enough whenever the date is
-    part of the unique key and what is stored has passed before, and it keeps the cost of a load
-    in proportion to the load.
+    The audit sees the table as it would be. With ``audit_scope="months"``, a table laid out
+    by month and the date in its key, it sees only the months the batch touches: enough as what
+    is stored has passed before, and it keeps the cost of a load in proportion to the load.
 
     Stored rows are unique in their key, having passed the audit or replaced their
     predecessors, so the comparison shuffles them as they are.
@@ -75,15 +75,16 @@ def write_audit_publish(
             by_month = name in TABLES and TABLES[name].by_month
         create_like(batch.limit(0), table, by_month)
     by_month = is_by_month(spark.table(table))
+    # Rows with the same key are in the same month, so other months need not be looked at.
+    key_has_month = by_month and "date" in key
     incoming, audit = sibling(table, "incoming"), sibling(table, "audit")
     try:
         create_like(batch, incoming, by_month)
         arrived, stored = spark.table(incoming), spark.table(table)
         if arrived.isEmpty():
             return False
-        if by_month:
-            months = stored_months(spark, incoming)
-            stored = only_months(stored, months)
+        if key_has_month:
+            stored = only_months(stored, stored_months(spark, incoming))
         if stored.isEmpty():
             stage = incoming
         else:
@@ -93,22 +94,26 @@ def write_audit_publish(
         staged = read_table(spark, stage)
         if staged.isEmpty():
             return False
-        current = read_table(spark, table)
-        if by_month and audit_scope == "months":
-            current = stored.drop(MONTH_COLUMN)
-        after = (
-            current.unionByName(staged, allowMissingColumns=True)
-            if mode == "insert_only"
-            else merge_replace(current, staged, key)
-        )
-        outcome = verify(after, [check])
+        if mode == "replace" and key_has_month:
+            stored = only_months(spark.table(table), stored_months(spark, stage))
+        current = stored if audit_scope == "months" else spark.table(table)
+        outcome = verify(_after(current.drop(MONTH_COLUMN), staged, key, mode), [check])
         if not outcome.passed:
             raise AuditFailed(table, outcome)
         if mode == "insert_only":
             append(spark.table(stage), table, arranged=True)
+        elif key_has_month:
+            overwrite_months(_after(stored.drop(MONTH_COLUMN), staged, key, mode), table)
         else:
-            replace_content(merge_replace(read_table(spark, table), staged, key), table)
+            replace_content(_after(read_table(spark, table), staged, key, mode), table)
         return True
     finally:
         drop_table(spark, audit)
         drop_table(spark, incoming)
+
+
+def _after(current: DataFrame, staged: DataFrame, key: Sequence[str], mode: str) -> DataFrame:
+    """The table's rows once the staged ones are published."""
+    if mode == "insert_only":
+        return current.unionByName(staged, allowMissingColumns=True)
+    return merge_replace(current, staged, key)

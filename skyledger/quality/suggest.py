@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyledger.quality import constraints as c
 from skyledger.quality.profile import HISTOGRAM_VALUES, NULL_VALUE, histogram, profile
+from skyledger.sources.files import literal_table
 
 # Thresholds of the rules.
 LOWEST_RETAINED_COMPLETENESS = 0.2
@@ -172,6 +173,9 @@ def suggest(
     return [p for p in proposals if p is not None]
 
 
-def suggestions_table(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, columns: Sequence[str] | None = None) -> DataFrame:
-    rows = [(s.column, s.rule, s.description, s.current, s.constraint.label, s.code) for s in suggest(df, rules, columns)]
-    return df.sparkSession.createDataFrame(rows, SUGGESTION_SCHEMA)
+def suggestions_table(
+    df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, columns: Sequence[str] | None = None
+) -> DataFrame:
+    found = suggest(df, rules, columns)
+    rows = [(s.column, s.rule, s.description, s.current, s.constraint.label, s.code) for s in found]
+    return literal_table(df.sparkSession, rows, SUGGESTION_SCHEMA)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row
 
 from skyledger.quality.constraints import Check, constraint_metrics, missing_columns
 from skyledger.quality.rules import table_check
+from skyledger.sources.files import literal_table
 
 RESULT_SCHEMA = (
     "check STRING, check_level STRING, check_status STRING, constraint STRING, constraint_status STRING,"
@@ -54,7 +55,7 @@ def verify(df: DataFrame, checks: Sequence[Check]) -> Verification:
         )
         for r in rows
     ]
-    return Verification(status, df.sparkSession.createDataFrame(report, RESULT_SCHEMA), tuple(rows))
+    return Verification(status, literal_table(df.sparkSession, report, RESULT_SCHEMA), tuple(rows))
 
 
 def _message(metric: float | None) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import as_column, date_parts
-from skyledger.schemas import ddl_columns, CALENDAR
+from skyledger.schemas import CALENDAR, ddl_columns
+from skyledger.sources.files import literal_table
 
 # Names of the U.S. federal holidays and the day each falls on: month with a
 # day of the month, or with the n-th (-1: last) weekday counted from 0 = Monday.
@@ -49,7 +50,7 @@ def _month_days(year: int, month: int) -> list[dt.date]:
 
 def holiday_table(spark: SparkSession, holidays: Holidays) -> DataFrame:
     """Literal relation (holiday_date, holiday_name); the dates are given as text."""
-    literal = spark.createDataFrame(list(holidays), "holiday_date STRING, holiday_name STRING")
+    literal = literal_table(spark, holidays, "holiday_date STRING, holiday_name STRING")
     return literal.withColumn("holiday_date", F.try_to_date("holiday_date"))
 
 
@@ -75,7 +76,7 @@ def calendar(
     """One row per day from ``start`` to ``end``, in date order; default holidays are the federal ones."""
     named_days = us_federal_holidays(range(start.year, end.year + 1)) if holidays is None else holidays
     days = (end - start).days + 1
-    dates = spark.range(max(days, 0)).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("date"))
+    dates = spark.range(0, max(days, 0), 1, 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("date"))
     return _describe(dates, holiday_table(spark, named_days)).orderBy("date")
 
 

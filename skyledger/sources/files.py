@@ -6,10 +6,25 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.schemas import RAW_FILES
+from skyledger.functions.columns import quoted
+from skyledger.schemas import RAW_FILES, ddl_fields
+
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
+    """A small relation written out in the plan itself, so that no cluster task is needed to read it."""
+    fields = ddl_fields(ddl)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in fields])
+    lines = ["(" + ", ".join(f":r{r}c{c}" for c in range(len(fields))) + ")" for r in range(len(rows))]
+    columns = ", ".join(f"CAST(col{n} AS {kind}) AS {quoted(name)}" for n, (name, kind) in enumerate(fields, 1))
+    values = {f"r{r}c{c}": value for r, row in enumerate(rows) for c, value in enumerate(row)}
+    return spark.sql(f"SELECT {columns} FROM VALUES {', '.join(lines)}", args=values)
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: StructType | str, mode: str = "PERMISSIVE", enforce_schema: bool = True

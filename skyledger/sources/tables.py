@@ -144,7 +144,8 @@ def replace_content(df: DataFrame, table: str) -> None:
     stage = sibling(table, "replace")
     try:
         create_like(df, stage, is_by_month(target))
-        spark.table(stage).select(*[named(c) for c in target.columns]).write.insertInto(table, overwrite=True)
+        with overwrite_mode(spark, "static"):
+            spark.table(stage).select(*[named(c) for c in target.columns]).write.insertInto(table, overwrite=True)
     finally:
         drop_table(spark, stage)
 
@@ -171,20 +172,29 @@ def delete_where(spark: SparkSession, table: str, predicate: Column | str) -> No
     survivors = without_matching(only_months(stored, touched), condition)
     left = months_of(survivors)
     if left:
-        with dynamic_overwrite(spark):
-            # Only partitions that get rows are replaced, and after all of them are written.
-            survivors.hint("rebalance", MONTH_COLUMN).write.insertInto(table, overwrite=True)
+        overwrite_months(survivors, table)
     for month in set(touched) - set(left):
         value = "NULL" if month is None else f"'{month}'"
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH_COLUMN} = {value})")
 
 
+def overwrite_months(rows: DataFrame, table: str) -> None:
+    """Replace the months that ``rows`` has by its rows and leave all others; ``rows`` may read the table.
+
+    Spark writes all new files before it touches the old ones, so nothing is staged first.
+    """
+    target = rows.sparkSession.table(table)
+    arranged = laid_out(rows.drop(MONTH_COLUMN), True).select(*[named(c) for c in target.columns])
+    with overwrite_mode(rows.sparkSession, "dynamic"):
+        arranged.write.insertInto(table, overwrite=True)
+
+
 @contextmanager
-def dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
-    """Within the block an overwrite replaces the partitions it writes to and no others."""
+def overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
+    """``static``: an overwrite replaces the whole table; ``dynamic``: only the partitions it writes to."""
     setting = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
+    spark.conf.set(setting, mode)
     try:
         yield
     finally:

@@ -260,3 +260,54 @@ def test_pipeline_with_more_years(spark, database, data_dir, tmp_path_factory):
 def test_silver_of_raw_publishes(spark, fact):
     flights = to_silver(raw_frame(spark)).dropDuplicates(["flight_number"])
     assert write_audit_publish(flights, fact)
+
+
+def test_replace_rewrites_only_the_months_of_the_batch(spark, fact):
+    write_audit_publish(silver_frame(spark, JANUARY + FEBRUARY), fact)
+    january = set(tables.only_months(spark.table(fact), ["2015-01"]).inputFiles())
+    changed = [silver_row(date=dt.date(2015, 2, 3), distance=7), silver_row(date=dt.date(2015, 3, 1))]
+    for scope in ("table", "months"):
+        assert write_audit_publish(silver_frame(spark, changed), fact, mode="replace", audit_scope=scope) == (
+            scope == "table"
+        )
+    expected = silver_frame(spark, JANUARY + FEBRUARY[1:] + changed)
+    assert rows(tables.read_table(spark, fact)) == rows(expected)
+    assert january == set(tables.only_months(spark.table(fact), ["2015-01"]).inputFiles())
+
+
+def test_key_without_date_is_compared_across_months(spark, fact):
+    config = {"fact_flights": {"uniqueness": ["flight_number"]}}
+    key = ["flight_number"]
+    write_audit_publish(silver_frame(spark, JANUARY), fact, key, rules=config)
+    moved = [silver_row(date=dt.date(2015, 2, 3)), silver_row(date=dt.date(2015, 2, 3), flight_number=3)]
+    assert write_audit_publish(silver_frame(spark, moved), fact, key, rules=config, audit_scope="months")
+    assert [r[2] for r in rows(tables.read_table(spark, fact))] == [100, 2, 3]
+    assert write_audit_publish(silver_frame(spark, moved), fact, key, mode="replace", rules=config)
+    assert [(str(r[0]), r[2]) for r in rows(tables.read_table(spark, fact))] == [
+        ("2015-01-01", 2), ("2015-02-03", 100), ("2015-02-03", 3)
+    ]
+
+
+def test_overwrite_is_whole_whatever_the_session_says(spark, fact):
+    tables.append(silver_frame(spark, JANUARY + FEBRUARY), fact)
+    with tables.overwrite_mode(spark, "dynamic"):
+        tables.replace_content(silver_frame(spark, FEBRUARY), fact)
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "dynamic"
+    assert rows(tables.read_table(spark, fact)) == rows(silver_frame(spark, FEBRUARY))
+
+
+def test_readers_see_the_published_rows_during_the_audit(spark, fact, monkeypatch):
+    from skyledger.plans import publish
+
+    write_audit_publish(silver_frame(spark, JANUARY), fact)
+    seen = []
+    real = publish.verify
+
+    def watching(df, checks):
+        seen.append((spark.table(fact).count(), spark.table(tables.sibling(fact, "audit")).count(), df.count()))
+        return real(df, checks)
+
+    monkeypatch.setattr(publish, "verify", watching)
+    more = [silver_row(flight_number=3)]
+    assert write_audit_publish(silver_frame(spark, JANUARY + more), fact)
+    assert seen == [(2, 1, 3)]

@@ -110,3 +110,11 @@ def test_schemas_fit_together(spark):
     assert len(schemas.ddl_columns(schemas.GOLD)) == 21
     with pytest.raises(KeyError):
         schemas.TABLES["dim_cancellation_reasons"]
+
+
+def test_literal_table(spark):
+    data = [(f"it's {n}", n, None if n % 2 else n / 2) for n in range(40)]
+    found = files.literal_table(spark, data, "s STRING, n INT, x DOUBLE")
+    assert sorted(rows(found), key=str) == sorted(data, key=str)
+    assert found.dtypes == [("s", "string"), ("n", "int"), ("x", "double")]
+    assert files.literal_table(spark, [], "s STRING").count() == 0
