@@ -249,6 +249,67 @@ def q14_full_listing(spark, sf_dir):
     return files.read_gold(spark, path)
 
 
+# --- reports as SQL text over the aggregate table ---------------------------------------------------
+
+
+@query
+def sql_nested_cube(spark, sf_dir):
+    dated = enrich.with_date_parts(proxy.flights(spark, sf_dir, destination=False), *levels.TIME_DIMENSIONS)
+    return spark.sql(
+        """SELECT airline, year, month, day_of_week, count(*) AS total_flights,
+                  count_if(is_delayed = 1) AS delayed_flights, try_divide(delayed_flights, total_flights) AS delayed_rate,
+                  avg(departure_delay) AS avg_delay_time
+           FROM {flights} GROUP BY GROUPING SETS (CUBE (airline, (year, month), day_of_week))""",
+        flights=dated,
+    )
+
+
+@query
+def sql_volume_group_by_all(spark, sf_dir):
+    return spark.sql(
+        """SELECT year, month, sum(total_flights) AS total_flights, sum(delayed_flights) AS delayed_flights,
+                  sum(cancelled_flights) AS cancelled_flights
+           FROM {gold} WHERE time_agg_level = 'year_month' AND agg_level = 'airline' AND airline LIKE :airline
+           GROUP BY ALL ORDER BY year, month""",
+        {"airline": "%"},
+        gold=_gold(spark, sf_dir, (reports.BY_AIRLINE_MONTH,)),
+    )
+
+
+@query
+def sql_unpivot_reasons(spark, sf_dir):
+    return spark.sql(
+        """WITH reasons AS (
+             SELECT year, month, sum(cancellations_A) AS airline_carrier, sum(cancellations_B) AS weather,
+                    sum(cancellations_C) AS national_air_system, sum(cancellations_D) AS security
+             FROM {gold} WHERE time_agg_level = 'year_month' AND agg_level = 'airline' GROUP BY year, month)
+           SELECT * FROM reasons
+           UNPIVOT (volume FOR reason IN (airline_carrier, weather, national_air_system, security))""",
+        gold=_gold(spark, sf_dir, (reports.BY_AIRLINE_MONTH,)),
+    )
+
+
+@query
+def sql_union_reasons(spark, sf_dir):
+    branches = " UNION ALL ".join(
+        f"SELECT '{text}' AS name, {column} AS count FROM reasons" for column, text in reports.REASON_LABELS.items()
+    )
+    return spark.sql(
+        """WITH reasons AS (
+             SELECT year, sum(cancellations_A) AS airline_carrier, sum(cancellations_B) AS weather,
+                    sum(cancellations_C) AS national_air_system, sum(cancellations_D) AS security
+             FROM {gold} WHERE time_agg_level = 'year' AND agg_level = 'airline' GROUP BY year) """
+        + branches,
+        gold=_gold(spark, sf_dir, (reports.BY_AIRLINE_YEAR,)),
+    )
+
+
+@query
+def gold_other_levels(spark, sf_dir):
+    """Rows outside the given levels."""
+    return _gold(spark, sf_dir).where(~F.col("agg_level").isin("all", "airline"))
+
+
 # --- anti joins and merges -------------------------------------------------------------------------
 
 

@@ -386,6 +386,18 @@ for suffix, pattern in (("", "%"), ("_one_airline", "1-URGENT")):
             f"SELECT name, count AS value FROM ({by_label})", f"yearly AS ({yearly})"
         )
 
+STATEMENTS |= {
+    "sql_nested_cube": over_flights(
+        f"SELECT airline, year, month, day_of_week, {DELAYS} FROM dated"
+        " GROUP BY GROUPING SETS (CUBE (airline, (year, month), day_of_week))",
+        DATED,
+    ),
+    "sql_volume_group_by_all": STATEMENTS["q05_monthly_volume"],
+    "sql_unpivot_reasons": STATEMENTS["q11_monthly_cancellations"],
+    "sql_union_reasons": STATEMENTS["q12_yearly_cancellations"],
+    "gold_other_levels": over_gold("SELECT * FROM gold WHERE agg_level NOT IN ('all', 'airline')"),
+}
+
 # Anti joins and merges over flights and over the aggregate of the first load against that of all flights.
 SAME = " AND ".join(f"s.{c} IS NOT DISTINCT FROM t.{c}" for c in COLUMNS.split(", "))
 COMPARED = COLUMNS.replace(" cancellation_reason,", "")
