@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from skyledger.functions.columns import delay_flag, flight_date, named
 from skyledger.schemas import RAW_DATE_PARTS

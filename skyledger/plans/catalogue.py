@@ -257,8 +257,8 @@ def sql_nested_cube(spark, sf_dir):
     dated = enrich.with_date_parts(proxy.flights(spark, sf_dir, destination=False), *levels.TIME_DIMENSIONS)
     return spark.sql(
         """SELECT airline, year, month, day_of_week, count(*) AS total_flights,
-                  count_if(is_delayed = 1) AS delayed_flights, try_divide(delayed_flights, total_flights) AS delayed_rate,
-                  avg(departure_delay) AS avg_delay_time
+                  count_if(is_delayed = 1) AS delayed_flights,
+                  try_divide(delayed_flights, total_flights) AS delayed_rate, avg(departure_delay) AS avg_delay_time
            FROM {flights} GROUP BY GROUPING SETS (CUBE (airline, (year, month), day_of_week))""",
         flights=dated,
     )
@@ -517,7 +517,8 @@ def dq_spec_results(spark, sf_dir):
     gold_check = rules.table_check("agg_fact_flights", rules.DESIGN_RULES)
     dates_check = rules.table_check("dim_dates", rules.DESIGN_RULES)
     gold = _metrics(levels.gold(flights), gold_check)
-    return _metrics(flights, flight_check).unionByName(gold).unionByName(_metrics(dim_dates(spark, sf_dir), dates_check))
+    dates = _metrics(dim_dates(spark, sf_dir), dates_check)
+    return _metrics(flights, flight_check).unionByName(gold).unionByName(dates)
 
 
 @query

@@ -498,11 +498,17 @@ FLIGHT_METRICS = (
             ("completeness", "departure_delay", "departure_delay IS NOT NULL", 0.9),
             ("completeness", "cancellation_reason", "cancellation_reason IS NOT NULL", 1.0),
             ("non_negative", "departure_delay", "coalesce(departure_delay, 0) >= 0", 1.0),
-            ("containment", "cancellation_reason", "cancellation_reason IS NULL OR cancellation_reason IN ('A', 'B')", 0.98),
+            (
+                "containment", "cancellation_reason",
+                "cancellation_reason IS NULL OR cancellation_reason IN ('A', 'B')", 0.98,
+            ),
             ("containment", "airline", f"airline IN {listed(CARRIERS)}", 1.0),
             ("range", "departure_delay", "departure_delay IS NULL OR departure_delay BETWEEN -20 AND 20", 1.0),
             ("pattern", "airline", "regexp_full_match(airline, '[0-9]-[A-Z]+')", 1.0),
-            ("predicate", "departure_delay, is_delayed", "departure_delay IS NULL OR (departure_delay > 0) = (is_delayed = 1)", 1.0),
+            (
+                "predicate", "departure_delay, is_delayed",
+                "departure_delay IS NULL OR (departure_delay > 0) = (is_delayed = 1)", 1.0,
+            ),
         )
     ]
     + [unique("probes", "date, airline, flight_number", "flights", 0.5, "Warning")]
@@ -531,7 +537,8 @@ SPEC_METRICS = (
     [
         metric(
             CHECK_FLIGHTS, "Error", "aggregate", "cancelled, cancellation_reason",
-            "CAST(count(*) = count(*) FILTER (cancelled = 1) + count(*) FILTER (cancellation_reason IS NULL) AS DOUBLE)",
+            "CAST(count(*) = count(*) FILTER (cancelled = 1) + count(*) FILTER (cancellation_reason IS NULL)"
+            " AS DOUBLE)",
             "flights",
         ),
         unique(CHECK_GOLD, ", ".join(NULL_SAFE_KEY), "gold"),
@@ -574,7 +581,10 @@ def column_profile(column: str, kind: str, inferred: bool, numeric: bool) -> str
         if numeric
         else ", ".join(["CAST(NULL AS DOUBLE)"] * 5)
     )
-    return f"SELECT '{column}', '{kind}', {str(inferred).lower()}, count(*), round(count({column}) / count(*), 9), {stats} FROM flights"
+    return (
+        f"SELECT '{column}', '{kind}', {str(inferred).lower()}, count(*), round(count({column}) / count(*), 9), {stats}"
+        " FROM flights"
+    )
 
 
 PROFILED = {
