@@ -57,7 +57,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def power(base: int, n: int) -> np.ndarray:
     """Powers 0 to n - 1, kept for the next call."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         _POWERS[base] = powers(base, max(n, 1 << 16))
     return _POWERS[base][:n]
 
