@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .mixing import copies
+from .nearest import top_k
 from .repeats import remove_repeats
 from .sharding import shard_rows, size_of
+from .urls import judge, labelled_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id",
@@ -42,15 +49,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_top_k": op7_top_k,
     "op9_decontamination": op9_decontamination,
 }
 

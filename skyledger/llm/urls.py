@@ -22,16 +22,12 @@ from .shared import cut
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT = 0.001  # of the labelled URLs
 MIN_COUNT = 8  # labelled URLs that hold the combination and the label
-MIN_CONFIDENCE = 0.6
+MIN_CONFIDENCE = 0.5
 BAD = "label=bad"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def after_scheme(url: Column) -> Column:
-    return F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-
-
 def with_parts(pages: DataFrame) -> DataFrame:
     """``pages`` (with a column url) and its host and path."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
