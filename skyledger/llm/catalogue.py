@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import digests, format_windows
 from .decontaminate import contamination
 from .mixing import copies
 from .nearest import top_k
+from .neardup import near_duplicates
+from .quality import THRESHOLD, held_out, score, train
 from .repeats import remove_repeats
 from .sharding import shard_rows, size_of
 from .urls import judge, labelled_pages
@@ -17,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("mil_score").alias("score"), (F.col("mil_score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
@@ -53,18 +64,32 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(format_windows(turns.unionByName(own)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_top_k": op7_top_k,
+    "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 STATEMENTS: dict[str, str] = {}

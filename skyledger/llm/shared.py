@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,19 +14,26 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20  # text that one group of documents holds on average; a task works on one group at a time
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage: computed once, and read again if an executor is lost.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a session that has none uses a folder below its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
 
-    The folder is ``spark.checkpoint.dir``; a session that has none gets one below its warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from reliable storage: computed once, and read again if an executor is lost. For narrow tables."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read back. For tables with whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

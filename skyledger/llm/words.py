@@ -64,11 +64,13 @@ def power(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Slice:
-    """Texts ``first`` to ``last`` - 1 of a batch: their bytes, and per word its start, end and text (counted from 0)."""
+    """Texts ``first`` to ``last`` - 1 of a batch: their bytes, where each begins (and the last ends), and per word its start,
+    end and text (counted from 0)."""
 
     first: int
     last: int
     data: np.ndarray
+    bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     text: np.ndarray
@@ -158,5 +160,5 @@ def slices(texts: pa.Array, word: np.ndarray, lower: bool = False, size: int = S
         ends = np.flatnonzero(inside & (~after | begins[1:])) + 1
         upto = np.searchsorted(starts, bounds)
         counts = np.diff(upto)
-        yield Slice(first, last, data, starts, ends, np.repeat(np.arange(last - first), counts), counts)
+        yield Slice(first, last, data, bounds, starts, ends, np.repeat(np.arange(last - first), counts), counts)
         first = last
