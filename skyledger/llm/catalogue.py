@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .mixing import copies
 from .nearest import top_k
 from .neardup import near_duplicates
+from .pseudonyms import pseudonymise
 from .quality import THRESHOLD, held_out, score, train
 from .repeats import remove_repeats
 from .sharding import shard_rows, size_of
@@ -33,6 +34,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
 
 
+#: Of the query; a deployment passes its own, secret one.
+QUERY_KEY = b"public key of the registered query"
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, QUERY_KEY).select("doc_id", "text", F.col("pii_found").alias("n_found"), F.array_join("pii_formats", ",").alias("formats"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id",
@@ -83,6 +93,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
