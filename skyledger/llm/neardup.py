@@ -7,11 +7,12 @@ their probability Jaccard similarity, which for equal weights is the Jaccard sim
 candidates (a pair of similarity 0.8 is missed with probability 3e-5), and every candidate is verified on the shingles themselves.
 
 Equal texts are one text from the start, represented by the smallest doc_id, so groups of copies cost nothing further. In a bucket not
-all pairs are compared. Members are compared with a hub; what is alike joins one class, and only buckets whose members
-are still of several classes go on: small ones with all pairs of different classes, larger ones split by a second band that
-members share, then with one more set of hubs per round, growing, until no untested pair of different classes is left.
-A group of near copies is settled by its first hub, whatever its size; a frequent passage does not make all pairs of its
-documents. Hubs and labels are joined by Spark, which splits keys with many rows; nothing is gathered by bucket or class.
+all pairs are compared. Members are compared with a hub, and what is alike joins one class. Only buckets whose members
+are still of several classes go on: in each round some members outside the bucket's largest class are hubs, compared
+with all members of other classes, and leave; their number grows by rounds, until no untested pair of different classes
+is left. So no link is lost, a group of near copies costs few comparisons per member, and the number of rounds is the logarithm
+of the largest bucket. Hubs and labels are joined by Spark, which splits keys with many rows; nothing is gathered by bucket or class.
+Steps that are read again are written to the shared folder, which also keeps the plans of the rounds from growing.
 
 Null texts are alike to nothing, not even each other. Texts without words are alike only if equal. Rows without a doc_id get no class;
 rows that share a doc_id are compared text by text and then share one class. Other columns are ignored.
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import stored
 from .words import PLAIN, Slice, mix, seeded, slices, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-SMALL = 6  # members of a bucket that is settled by pairs at once
+FIRST_HUBS = 16  # per bucket in the first round
 SIGNATURE_BYTES = 2 << 20
 
 _SIGNED = "rep long, bands array<long>"
@@ -164,20 +165,22 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """
     of_a, of_b = (labels.select(F.col("rep").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
     joined = edges.join(of_a, "a").join(of_b, "b").filter("label_a != label_b")
-    links = cut(joined.select(F.least("label_a", "label_b").alias("u"), F.greatest("label_a", "label_b").alias("v")).distinct())
+    if edges.isEmpty():
+        return labels
+    links = stored(joined.select(F.least("label_a", "label_b").alias("u"), F.greatest("label_a", "label_b").alias("v")).distinct())
     both = links.union(links.select("v", "u"))
-    state = cut(both.select("u").distinct().select("u", F.col("u").alias("low")))
+    state = stored(both.select("u").distinct().select("u", F.col("u").alias("low")))
     while True:
         near = both.join(state.select(F.col("u").alias("v"), "low"), "v").groupBy("u").agg(F.min("low").alias("near"))
         taken = state.join(near, "u").select("u", F.col("low").alias("was"), F.least("low", "near").alias("low"))
         jump = taken.select(F.col("u").alias("low"), F.col("low").alias("lower"))
-        after = cut(taken.join(jump, "low").select("u", "was", F.least("low", "lower").alias("low")))
+        after = stored(taken.join(jump, "low").select("u", "was", F.least("low", "lower").alias("low")))
         changed = after.filter("low != was").limit(1).count()
         state = after.select("u", "low")
         if not changed:
             break
     moved = state.select(F.col("u").alias("label"), "low")
-    return cut(labels.join(moved, "label", "left").select("rep", F.coalesce("low", "label").alias("label")))
+    return stored(labels.join(moved, "label", "left").select("rep", F.coalesce("low", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -185,53 +188,42 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     same = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y")))
     own = texts.filter("doc_id is not null and text is not null").select("doc_id", same.alias("same"))
-    copies = cut(own.join(own.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"))
+    copies = stored(own.join(own.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"))
     reps = copies.select("rep").distinct()
 
     signed = texts.filter("doc_id is not null and text is not null").mapInArrow(lambda batches: sign(batches, bands, rows), _SIGNED)
-    signed = cut(signed.join(reps, "rep", "left_semi"))
+    signed = stored(signed.join(reps, "rep", "left_semi"))
     keyed = signed.select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = keyed.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub != most").drop("most")
-    members = cut(keyed.join(shared, ["band", "hash"]).distinct())
+    members = stored(keyed.join(shared, ["band", "hash"]).distinct())
 
-    labels = cut(members.select("rep").distinct().select("rep", F.col("rep").alias("label")))
-    sets = cut(texts.filter("text is not null").join(labels, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct().mapInArrow(shingle_sets, _SETS))
+    labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")))
+    sets = stored(texts.filter("text is not null").join(labels, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct().mapInArrow(shingle_sets, _SETS))
 
     # First each member meets the smallest hub of its buckets, which settles most of them.
     nearest = members.groupBy("rep").agg(F.min("hub").alias("hub")).filter("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    labels = components(labels, cut(verified(nearest, sets, least)))
+    labels = components(labels, stored(verified(nearest, sets, least)))
 
-    # From here on a bucket is a key and its members that have not been hubs yet.
-    buckets = members.select(F.struct("band", "hash", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("hash2")).alias("key"), "rep")
-    hubs, split = 1, False
+    # From here on a bucket has its members that have not been hubs yet.
+    buckets, hubs = members.select("band", "hash", "rep"), FIRST_HUBS
+    key = ["band", "hash"]
     while True:
         labelled = buckets.join(labels, "rep")
-        counts = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        open_ = cut(labelled.join(counts.select("key", "n", "hub"), "key"))
+        sizes = labelled.groupBy(*key, "label").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
+        main = sizes.groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        first = sizes.join(main.select(*key, "main"), key).filter("label != main").groupBy(*key).agg(F.min("least").alias("first"))
+        open_ = stored(labelled.join(main.filter("labels > 1").join(first, key), key))
         if open_.isEmpty():
             break
-        small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
-        # Hubs of a large bucket: its first member, and others by chance of their hashes, about ``hubs`` in all.
-        chosen = (F.col("rep") == F.col("hub")) | (F.pmod(F.xxhash64("rep", F.lit(hubs)), F.col("n")) < hubs - 1)
-        first = small.select("key", F.col("rep").alias("a"), F.col("label").alias("label_a")).union(
-            large.filter(chosen).select("key", F.col("rep").alias("a"), F.col("label").alias("label_a"))
-        )
-        pairs = first.join(open_.select("key", F.col("rep").alias("b"), "label"), "key").filter("a != b and label_a != label")
+        # Only members outside a bucket's largest class become hubs: all of them, if they are few.
+        others = F.col("n") - F.col("most")
+        by_chance = F.pmod(F.xxhash64("rep", F.lit(hubs)), others) < hubs
+        chosen = (F.col("label") != F.col("main")) & ((F.col("rep") == F.col("first")) | by_chance)
+        asking = open_.filter(chosen).select(*key, F.col("rep").alias("a"), F.col("label").alias("label_a"))
+        pairs = asking.join(open_.select(*key, F.col("rep").alias("b"), "label"), key).filter("a != b and label_a != label")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = components(labels, cut(verified(pairs, sets, least)))
-        rest = large.filter(~chosen).select("key", "rep")
-        if split:
-            hubs *= 4
-        else:
-            # Once, members of large buckets are dealt by each further band; similar texts share several.
-            others = signed.select("rep", F.posexplode("bands").alias("band2", "hash2"))
-            rest = (
-                rest.join(others, "rep")
-                .filter(F.col("band2") != F.col("key.band"))
-                .select(F.struct("key.band", "key.hash", "band2", "hash2").alias("key"), "rep")
-            )
-            split = True
-        buckets = cut(rest)
+        labels = components(labels, stored(verified(pairs, sets, least)))
+        buckets, hubs = open_.filter(~chosen).select(*key, "rep"), hubs * 4
     classes = copies.join(labels, "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"))
     # One doc_id with several texts: the smallest class.
     classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("rep").alias("rep"))
@@ -240,7 +232,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
 
 def one_per_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each class, one row per doc_id; rows without a doc_id stay."""
-    classes = cut(near_duplicates(docs, least))
+    classes = stored(near_duplicates(docs, least))
     dropped = classes.filter("doc_id != class_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():

@@ -28,10 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder as Parquet and read back. For tables with whole texts."""
+    """The same rows, written to the shared folder as Parquet and read back. For tables with whole texts, and for loops.
+
+    What is left there when a session ends may be deleted.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
