@@ -83,12 +83,12 @@ def with_row_key(df: DataFrame, columns: Sequence[str], null_safe: bool = True)
     """The rows with the columns' `row_key` and, ahead of it, its hash.
 
     Joining on both sorts by a plain number first, which Spark does several times faster than
-    comparing structs. Without ``null_safe`` the key of a row with a NULL is NULL and matches nothing.
+    comparing structs. Without ``null_safe`` the hash of a row with a NULL is NULL, so it matches nothing.
     """
-    key = row_key(columns)
+    hashed = F.xxhash64(*[named(c) for c in columns])
     if not null_safe:
-        key = F.when(reduce(and_, [named(c).isNotNull() for c in columns]), key)
-    return df.withColumns({"_hash": F.xxhash64(*[named(c) for c in columns]), "_key": key})
+        hashed = F.when(reduce(and_, [named(c).isNotNull() for c in columns]), hashed)
+    return df.withColumns({"_hash": hashed, "_key": row_key(columns)})
 
 
 def level_label(columns: Sequence[str], present: dict[str, Column]) -> Column:

@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import date_parts
-
-# Fixed value: the most rows a code table may have to be broadcast by hint.
-BROADCAST_ROWS = 200_000
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the relation is proven to have at most ``max_rows`` rows; no task reads more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
+from skyledger.functions.columns import date_parts, named
 
 def with_calendar(flights: DataFrame, calendar: DataFrame) -> DataFrame:
     """Inner join on ``date``: flights gain the calendar's columns, flights on other dates are dropped.
 
-    A calendar has one row per day of years 1-9999 at most, whatever the number of flights,
-    so it is broadcast and the flights stay where they are.
+    A calendar is small beside the flights, and Spark broadcasts it where its size allows.
     """
-    return flights.join(F.broadcast(calendar), "date")
+    return flights.join(calendar, "date")
 
 
 def with_date_parts(flights: DataFrame, *names: str) -> DataFrame:
@@ -35,15 +25,22 @@ def with_date_parts(flights: DataFrame, *names: str) -> DataFrame:
     return flights.where("date IS NOT NULL").select("*", *[parts[n].alias(n) for n in names or parts])
 
 
-def lookup(
-    flights: DataFrame, codes: DataFrame, code: str, key: str, columns: dict[str, str], max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+# Fixed value: shares into which rows without a code are split when a lookup is joined by shuffle.
+SPREAD = 1024
+
+
+def lookup(flights: DataFrame, codes: DataFrame, code: str, key: str, columns: dict[str, str]) -> DataFrame:
     """Left join of a code table: ``columns`` maps its columns to their new names.
 
-    Unknown codes keep the flight with NULL descriptions. The code table is broadcast only
-    once it is proven to have at most ``max_rows`` rows; a larger one is joined by shuffle.
+    Unknown codes keep the flight with NULL descriptions. Spark broadcasts the code table where its
+    size allows. In a shuffle join rows without a code, often nearly all, match nothing; the second
+    key column spreads them over all tasks.
     """
-    side = codes.select(F.col(key).alias("_code"), *[F.col(c).alias(new) for c, new in columns.items()])
-    if is_small(side, max_rows):
-        side = F.broadcast(side)
-    return flights.join(side, flights[code] == side["_code"], "left").drop("_code")
+    side = codes.select(
+        F.col(key).alias("_code"), F.lit(0).alias("_zero"), *[F.col(c).alias(new) for c, new in columns.items()]
+    )
+    spread = F.when(flights[code].isNull(), F.pmod(F.xxhash64(*[named(c) for c in flights.columns]), F.lit(SPREAD)))
+    spread = F.coalesce(spread.cast("int"), F.lit(0))
+    keyed = flights.withColumn("_spread", spread)
+    condition = (keyed[code] == side["_code"]) & (keyed["_spread"] == side["_zero"])
+    return keyed.join(side, condition, "left").drop("_code", "_zero", "_spread")

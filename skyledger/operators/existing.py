@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skyledger.functions.columns import ROW_KEY, named, with_row_key
 
@@ -20,6 +21,17 @@ def _keys_of(stored: DataFrame, names: Sequence[str], distinct: bool) -> DataFra
     return with_row_key(columns.distinct() if distinct else columns, names).select(ROW_KEY)
 
 
+def _folded(batch: DataFrame, names: Sequence[str], null_safe: bool = True) -> DataFrame:
+    """The batch with its row key in place of the key's columns: a join ships each column once."""
+    rest = [named(c) for c in batch.columns if c not in names]
+    return with_row_key(batch, names, null_safe).select(*ROW_KEY, *rest)
+
+
+def _unfolded(folded: DataFrame, batch: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The batch's own columns again, in their order."""
+    return folded.select(*[F.col("_key")[c].alias(c) if c in names else named(c) for c in batch.columns])
+
+
 def without_existing(
     batch: DataFrame,
     stored: DataFrame,
@@ -38,13 +50,13 @@ def without_existing(
     """
     names = list(columns or batch.columns)
     seen = _keys_of(stored, names, not stored_is_unique)
-    return with_row_key(batch, names, null_safe).join(seen, ROW_KEY, "left_anti").drop(*ROW_KEY)
+    return _unfolded(_folded(batch, names, null_safe).join(seen, ROW_KEY, "left_anti"), batch, names)
 
 
 def changed_existing(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key is stored, but with other values in some column."""
-    known = with_row_key(batch, keys).join(_keys_of(stored, keys, True), ROW_KEY, "left_semi").drop(*ROW_KEY)
-    return without_existing(known, stored)
+    known = _folded(batch, keys).join(_keys_of(stored, keys, True), ROW_KEY, "left_semi")
+    return without_existing(_unfolded(known, batch, keys), stored)
 
 
 def merge_insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:

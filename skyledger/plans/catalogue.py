@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # One airline and one origin for reports with a parameter, and the split into two loads.
 AIRLINE = "1-URGENT"
 ORIGIN = "NATION_7"
-SECOND_LOAD = "date >= DATE '1999-01-01'"
+
 FIRST_LOAD = "date < DATE '1999-01-01'"
 DIGITS = 9
 
@@ -74,7 +74,7 @@ def rank_in_airline_day(spark, sf_dir):
 @query
 def dim_dates(spark, sf_dir):
     orders = proxy.table(spark, sf_dir, "orders")
-    return calendar.calendar_covering(orders, proxy.HOLIDAYS, F.col("o_orderdate").cast("date"))
+    return calendar.calendar_covering(orders, F.col("o_orderdate").cast("date"))
 
 
 @query
@@ -366,19 +366,84 @@ def delete_by_predicate(spark, sf_dir):
     return tables.without_matching(proxy.flights(spark, sf_dir), F.col("departure_delay") > 20)
 
 
+def _new_table(spark, name):
+    """Name of a table in a new database of the session's warehouse."""
+    database = f"flights_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    return tables.full_name(database, name)
+
+
 @query
 def wap_two_loads(spark, sf_dir):
     """Two loads through write-audit-publish, the second one repeating the first one's rows."""
-    database = f"flights_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{files.shared_folder(spark, database)}'")
-    table = tables.full_name(database, "fact_flights")
+    table = _new_table(spark, "fact_flights")
     flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
     config = {"fact_flights": FLIGHT_RULES}
     for batch in (flights.where(FIRST_LOAD), flights):
-        publish.write_audit_publish(batch, table, rules=config, audit_scope="months")
+        publish.write_audit_publish(batch, table, rules=config)
     return tables.read_table(spark, table)
 
 
+@query
+def wap_rejects_cross_month_duplicate(spark, sf_dir):
+    """A load whose key repeats in another month is rejected, and the table stays as it was."""
+    table = _new_table(spark, "fact_flights")
+    config = {"fact_flights": {"uniqueness": ["airline", "origin_airport", "scheduled_departure"]}}
+    key = config["fact_flights"]["uniqueness"]
+    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), key)
+    publish.write_audit_publish(flights, table, FLIGHT_KEY, rules=config)
+    moved = flights.where("airline = '5-LOW'").withColumn("date", F.add_months("date", 14))
+    try:
+        publish.write_audit_publish(moved, table, FLIGHT_KEY, rules=config)
+    except publish.AuditFailed:
+        pass
+    return tables.read_table(spark, table).select(*FLIGHT_KEY, "origin_airport")
+
+
+@query
+def gold_after_delete(spark, sf_dir):
+    """Load, publish the aggregate, delete facts, publish again: groups that are gone leave the aggregate."""
+    fact, summary = _new_table(spark, "fact_flights"), _new_table(spark, "agg_fact_flights")
+    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    publish.write_audit_publish(flights, fact, rules={"fact_flights": FLIGHT_RULES})
+    publish.write_audit_publish(levels.gold(tables.read_table(spark, fact)), summary, mode="sync")
+    tables.delete_where(spark, fact, "airline = '5-LOW' OR year(date) = 1997")
+    publish.write_audit_publish(levels.gold(tables.read_table(spark, fact)), summary, mode="sync")
+    return tables.read_table(spark, summary)
+
+
+@query
+def delete_from_table(spark, sf_dir):
+    """A table delete; rows for which the predicate is NULL stay."""
+    table = _new_table(spark, "fact_flights")
+    tables.write_new(dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY), table)
+    tables.delete_where(spark, table, "departure_delay > 20")
+    return tables.read_table(spark, table).select(*proxy.COLUMNS)
+
+
+@query
+def append_twice(spark, sf_dir):
+    """An idempotent append by key, repeated: the second one writes nothing."""
+    table = _new_table(spark, "dim_airports")
+    airports = proxy.airports(spark, sf_dir)
+    first = tables.write_new(airports.where("iata_code < 'NATION_2'"), table, keys=["iata_code"])
+    second = tables.write_new(airports, table, keys=["iata_code"])
+    third = tables.write_new(airports, table, keys=["iata_code"])
+    written = [F.lit(x).alias(n) for x, n in ((first, "first"), (second, "second"), (third, "third"))]
+    return tables.read_table(spark, table).select("iata_code", "city", "state", *written)
+
+
+@query
+def new_rows_flag(spark, sf_dir):
+    """Rows that a table lacks, and whether there are any, for a batch with new rows and one without."""
+    table = _new_table(spark, "dim_airports")
+    airports = proxy.airports(spark, sf_dir)
+    tables.write_new(airports.where("state <> 'ASIA'"), table)
+    fresh, some = tables.new_rows(airports, table)
+    _, again = tables.new_rows(airports.where("state <> 'ASIA'"), table)
+    return fresh.select("iata_code", "state", F.lit(some).alias("has_new"), F.lit(again).alias("again_has_new"))
+
+
 # --- exploration -------------------------------------------------------------------------------------
 
 
@@ -437,7 +502,9 @@ def partition_stats(spark, sf_dir):
 
 @query
 def file_stats(spark, sf_dir):
-    return explore.total_bytes(proxy.table(spark, sf_dir, "lineitem"))
+    """Files and rows behind a table."""
+    found = explore.file_stats(proxy.table(spark, sf_dir, "lineitem"))
+    return found.agg(F.count(F.lit(1)).alias("files"), F.sum("row_count").alias("row_count"))
 
 
 @query
@@ -532,6 +599,70 @@ def dq_violations(spark, sf_dir):
     return explore.anomaly_counts(flights, probes)
 
 
+# Rules at the edges of types, over columns of the given tables.
+EDGE_CHECK = constraints.Check(
+    "edges",
+    (
+        constraints.non_negative("overflow"),
+        constraints.non_negative("infinite"),
+        constraints.non_negative("number_text"),
+        constraints.non_negative("word"),
+        constraints.contained_in("fractional_flag", ["0", "1"]),
+        constraints.matches("code", "[A-Z]"),
+    ),
+)
+
+
+@query
+def dq_edge_values(spark, sf_dir):
+    lines = proxy.table(spark, sf_dir, "lineitem").select(
+        ((F.col("l_quantity") - 25) * 1e30).alias("overflow"),
+        F.when(F.col("l_quantity") < 5, F.lit(float("-inf"))).otherwise(F.col("l_quantity")).alias("infinite"),
+        F.concat((F.col("l_quantity") - 25).cast("int").cast("string"), F.lit("e40")).alias("number_text"),
+        F.col("l_returnflag").alias("word"),
+        (F.col("l_linenumber") % 3).cast("double").alias("fractional_flag"),
+        F.concat("l_returnflag", F.when(F.col("l_linenumber") == 1, "\n").otherwise("")).alias("code"),
+    )
+    return _metrics(lines, EDGE_CHECK)
+
+
+@query
+def dq_dim_results(spark, sf_dir):
+    """Design checks of the dimensions; coordinates follow from a nation's keys."""
+    nation = proxy.table(spark, sf_dir, "nation")
+    places = nation.select(
+        F.col("n_name").alias("iata_code"),
+        F.lit("US").alias("country"),
+        (F.col("n_nationkey") * 8 - 100).cast("float").alias("latitude"),
+        (F.col("n_regionkey") * 60 - 100).cast("float").alias("longitude"),
+    )
+    airports = proxy.airports(spark, sf_dir).join(places, "iata_code")
+    parts = [
+        (airports, "dim_airports"),
+        (proxy.airlines(spark).union(proxy.airlines(spark).limit(1)), "dim_airlines"),
+        (proxy.cancellation_codes(spark), "dim_cancellation_codes"),
+    ]
+    found = [_metrics(df, rules.table_check(name, rules.DESIGN_RULES)) for df, name in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def dq_fact_rules(spark, sf_dir):
+    """The configured and the design rules of the fact table, all of them, on all 29 columns."""
+    flights = proxy.wide_flights(spark, sf_dir)
+    return _metrics(flights, rules.table_check("fact_flights"), rules.table_check("fact_flights", rules.DESIGN_RULES))
+
+
+@query
+def anomalies(spark, sf_dir):
+    return explore.anomaly_counts(proxy.wide_flights(spark, sf_dir))
+
+
+@query
+def diverted_counts(spark, sf_dir):
+    return explore.flight_counts(proxy.wide_flights(spark, sf_dir))
+
+
 @query
 def profile_exact(spark, sf_dir):
     found = profile.profile(proxy.flights(spark, sf_dir), approximate=False)

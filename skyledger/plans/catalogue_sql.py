@@ -11,7 +11,7 @@ from skyledger.plans.proxy import CARRIER_NAMES, REASONS
 CANCELLED = "(l_returnflag = 'R' AND l_discount >= 0.09)"
 FLIGHTS = f"""
 flights AS (
-  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS airline, l_partkey AS flight_number,
+  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS airline, CAST(l_partkey AS INTEGER) AS flight_number,
          origin.n_name AS origin_airport, destination.n_name AS destination_airport,
          l_linenumber AS scheduled_departure,
          CASE WHEN {CANCELLED} THEN NULL ELSE CAST(l_quantity AS INTEGER) - 25 END AS departure_delay,
@@ -23,8 +23,8 @@ flights AS (
   JOIN orders ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation origin ON s_nationkey = origin.n_nationkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation destination ON c_nationkey = destination.n_nationkey
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation destination ON c_nationkey = destination.n_nationkey
 )"""
 COLUMNS = (
     "date, airline, flight_number, origin_airport, destination_airport, scheduled_departure, departure_delay,"
@@ -436,10 +436,10 @@ STATEMENTS |= {
         *TWO_GOLDS,
     ),
     "changed_existing": over_flights(
-        f"SELECT * FROM batch s WHERE EXISTS (SELECT 1 FROM stored t WHERE {matched(NULL_SAFE_KEY, 's', 't')})"
-        f" AND NOT EXISTS (SELECT 1 FROM stored t WHERE {matched(GOLD_COLUMNS, 's', 't')})",
+        f"SELECT * FROM (SELECT * FROM batch s SEMI JOIN stored t ON {matched(NULL_SAFE_KEY, 's', 't')}) s"
+        f" ANTI JOIN stored t ON {matched(GOLD_COLUMNS, 's', 't')}",
         *TWO_GOLDS,
-    ),
+    ).replace("stored AS (", "stored AS MATERIALIZED (").replace("batch AS (", "batch AS MATERIALIZED ("),
 }
 
 # Quality metrics: one SELECT per constraint.
@@ -611,3 +611,152 @@ STATEMENTS["profile_histograms"] = over_flights(
         for c in ("airline", "origin_airport", "cancellation_reason", "cancelled")
     )
 )
+
+# Table operations: what is stored in the end.
+REJECTED_KEY = "airline, origin_airport, scheduled_departure"
+REST = "date, flight_number, destination_airport, departure_delay, cancelled, cancellation_reason, is_delayed"
+STATEMENTS["wap_rejects_cross_month_duplicate"] = over_flights(
+    f"SELECT {KEY}, origin_airport FROM (SELECT *, row_number() OVER (PARTITION BY {REJECTED_KEY} ORDER BY "
+    + ", ".join(f"{c} NULLS FIRST" for c in REST.split(", "))
+    + ") AS place FROM flights) WHERE place = 1"
+)
+STATEMENTS["gold_after_delete"] = over_flights(
+    "SELECT * FROM gold",
+    SURVIVORS,
+    "left_over AS (SELECT * FROM survivors WHERE airline <> '5-LOW' AND year(date) <> 1997)",
+    DATED.replace("FROM flights", "FROM left_over"),
+    gold(),
+)
+STATEMENTS["delete_from_table"] = over_flights(
+    f"SELECT {COLUMNS} FROM survivors WHERE departure_delay IS NULL OR departure_delay <= 20", SURVIVORS
+)
+AIRPORTS = "nation JOIN region ON n_regionkey = r_regionkey"
+STATEMENTS["append_twice"] = (
+    "SELECT n_name AS iata_code, n_name AS city, r_name AS state, true AS first, true AS second, false AS third"
+    f" FROM {AIRPORTS}"
+)
+STATEMENTS["new_rows_flag"] = (
+    "SELECT n_name AS iata_code, r_name AS state, true AS has_new, false AS again_has_new"
+    f" FROM {AIRPORTS} WHERE r_name = 'ASIA'"
+)
+STATEMENTS["file_stats"] = "SELECT CAST(1 AS BIGINT) AS files, count(*) AS row_count FROM lineitem"
+
+# The fact table's rules on all its columns.
+WIDE = f"""
+base AS (
+  SELECT *, {CANCELLED} AS is_cancelled, CAST(l_quantity AS INTEGER) - 25 AS delay FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+),
+flagged AS (SELECT *, NOT is_cancelled AND l_linestatus = 'O' AND l_tax >= 0.08 AS is_diverted FROM base),
+wide AS (
+  SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS airline, CAST(l_partkey AS INTEGER) AS flight_number,
+    n_name AS origin_airport, CASE WHEN l_linenumber < 7 THEN o_orderstatus END AS destination_airport,
+    l_linenumber AS scheduled_departure, CASE WHEN NOT is_cancelled THEN l_linenumber + 1 END AS departure_time,
+    CASE WHEN NOT is_cancelled OR l_linenumber = 1 THEN delay END AS departure_delay,
+    CAST(round(l_tax * 100) AS INTEGER) AS taxi_out, CASE WHEN NOT is_cancelled THEN l_linenumber + 2 END AS wheels_off,
+    CASE WHEN l_tax > 0 THEN CAST(l_quantity AS INTEGER) * 7 END AS scheduled_time,
+    CASE WHEN NOT is_cancelled AND NOT is_diverted THEN l_quantity * 7 + 3 END AS elapsed_time,
+    CASE WHEN NOT is_cancelled AND NOT is_diverted THEN l_quantity * 6 END AS air_time,
+    CAST(trunc(l_extendedprice) AS INTEGER) - 1000 AS distance,
+    CASE WHEN NOT is_cancelled AND NOT is_diverted THEN l_linenumber + 3 END AS wheels_on,
+    CAST(round(l_discount * 100) AS INTEGER) AS taxi_in, l_linenumber + 4 AS scheduled_arrival,
+    CASE WHEN NOT is_cancelled AND NOT is_diverted THEN l_linenumber + 5 END AS arrival_time,
+    CASE WHEN (NOT is_cancelled AND NOT is_diverted) OR l_linenumber = 2 THEN delay + 1 END AS arrival_delay,
+    CAST(is_diverted AS INTEGER) AS diverted, CAST(is_cancelled AS INTEGER) AS cancelled,
+    CASE WHEN is_cancelled OR l_linenumber = 7 THEN substr('ABCD', l_linenumber % 4 + 1, 1) END AS cancellation_reason,
+    CASE WHEN NOT is_cancelled AND delay > 0 THEN delay // 5 END AS air_system_delay,
+    CASE WHEN NOT is_cancelled AND delay > 0 THEN 0 END AS security_delay,
+    CASE WHEN NOT is_cancelled AND delay > 0 THEN delay // 3 END AS airline_delay,
+    CASE WHEN NOT is_cancelled AND delay > 0 THEN delay - delay // 5 - delay // 3 END AS late_aircraft_delay,
+    CASE WHEN NOT is_cancelled AND delay > 0 THEN CAST(l_tax = 0.02 AS INTEGER) END AS weather_delay,
+    CASE WHEN (NOT is_cancelled OR l_linenumber = 1) AND delay > 0 THEN 1 ELSE 0 END AS is_delayed
+  FROM flagged
+)"""
+COMPLETE = ("date", "airline", "flight_number", "origin_airport", "destination_airport", "scheduled_departure",
+            "scheduled_arrival", "distance", "diverted", "cancelled", "is_delayed")
+NON_NEGATIVE = ("flight_number", "scheduled_departure", "departure_time", "taxi_out", "wheels_off", "scheduled_time",
+                "elapsed_time", "air_time", "distance", "wheels_on", "taxi_in", "scheduled_arrival", "arrival_time",
+                "air_system_delay", "security_delay", "airline_delay", "late_aircraft_delay", "weather_delay")
+REASON_PARTS = ("air_system_delay", "security_delay", "airline_delay", "late_aircraft_delay", "weather_delay")
+FACT_METRICS = (
+    [unique(CHECK_FLIGHTS, KEY, "wide")]
+    + [rows(CHECK_FLIGHTS, "completeness", c, f"{c} IS NOT NULL", "wide") for c in COMPLETE]
+    + [rows(CHECK_FLIGHTS, "non_negative", c, f"coalesce({c}, 0) >= 0", "wide") for c in NON_NEGATIVE]
+    + [
+        rows(CHECK_FLIGHTS, "containment", "airline", f"airline IN {listed(CARRIERS)}", "wide"),
+        rows(CHECK_FLIGHTS, "containment", "diverted", "diverted IN (0, 1)", "wide"),
+        rows(CHECK_FLIGHTS, "containment", "cancelled", "cancelled IN (0, 1)", "wide"),
+        rows(CHECK_FLIGHTS, "containment", "cancellation_reason",
+             "cancellation_reason IS NULL OR cancellation_reason IN ('A', 'B', 'C', 'D', '')", "wide"),
+        rows(CHECK_FLIGHTS, "containment", "is_delayed", "is_delayed IN (0, 1)", "wide"),
+        rows(CHECK_FLIGHTS, "predicate", ", ".join(["departure_delay", *REASON_PARTS]),
+             f"coalesce(departure_delay = {' + '.join(REASON_PARTS)}, true)", "wide"),
+        metric(CHECK_FLIGHTS, "Error", "aggregate", "cancelled, cancellation_reason",
+               "CAST(count(*) = count(*) FILTER (cancelled = 1) + count(*) FILTER (cancellation_reason IS NULL)"
+               " AS DOUBLE)", "wide"),
+    ]
+)
+STATEMENTS["dq_fact_rules"] = f"WITH {WIDE} " + " UNION ALL ".join(FACT_METRICS)
+STATEMENTS["anomalies"] = f"WITH {WIDE} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS probe, count(*) FILTER ({condition}) AS row_count FROM wide"
+    for name, condition in (
+        ("reason_without_cancellation", "cancelled = 0 AND cancellation_reason IS NOT NULL"),
+        ("cancelled_after_pushback", "cancelled = 1 AND departure_delay IS NOT NULL"),
+        ("diverted_with_arrival_delay", "diverted = 1 AND arrival_delay IS NOT NULL"),
+        ("scheduled_time_missing", "scheduled_time IS NULL"),
+    )
+)
+STATEMENTS["diverted_counts"] = (
+    f"WITH {WIDE} SELECT count(*) AS flights, count(*) FILTER (cancelled = 1) AS cancelled_flights,"
+    " count(*) FILTER (diverted = 1) AS diverted_flights FROM wide"
+)
+
+# Rules at the edges of types, and the dimensions' design rules.
+EDGES = """
+edges AS (
+  SELECT (l_quantity - 25) * 1e30 AS overflow,
+         CASE WHEN l_quantity < 5 THEN CAST('-Infinity' AS DOUBLE) ELSE l_quantity END AS infinite,
+         CAST(l_quantity AS INTEGER) - 25 AS number, l_linenumber % 3 AS flag, l_linenumber = 1 AS broken
+  FROM lineitem
+)"""
+STATEMENTS["dq_edge_values"] = f"WITH {EDGES} " + " UNION ALL ".join(
+    rows("edges", rule, column, predicate, "edges")
+    for rule, column, predicate in (
+        ("non_negative", "overflow", "overflow >= 0"),
+        ("non_negative", "infinite", "infinite >= 0"),
+        ("non_negative", "number_text", "number >= 0"),
+        ("non_negative", "word", "false"),
+        ("containment", "fractional_flag", "flag IN (0, 1)"),
+        ("pattern", "code", "NOT broken"),
+    )
+)
+CHECK_AIRPORTS, CHECK_AIRLINES = "Data quality of dim_airports", "Data quality of dim_airlines"
+CHECK_CODES = "Data quality of dim_cancellation_codes"
+DIMENSION_TABLES = f"""
+airports AS (
+  SELECT n_name AS iata_code, n_name || ' Airport' AS airport, n_name AS city, r_name AS state, 'US' AS country,
+         n_nationkey * 8 - 100 AS latitude, n_regionkey * 60 - 100 AS longitude FROM {AIRPORTS}
+),
+airlines(iata_code, airline) AS (
+  VALUES {', '.join(f"('{a}', '{b}')" for a, b in [*CARRIER_NAMES, CARRIER_NAMES[0]])}
+),
+codes(cancellation_reason, cancellation_description) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in REASONS)})"""
+DIMENSION_METRICS = (
+    [unique(CHECK_AIRPORTS, "iata_code", "airports")]
+    + [rows(CHECK_AIRPORTS, "completeness", c, f"{c} IS NOT NULL", "airports")
+       for c in ("iata_code", "airport", "city", "state", "country", "latitude", "longitude")]
+    + [
+        rows(CHECK_AIRPORTS, "pattern", "iata_code", "regexp_full_match(iata_code, '[A-Z]{3}')", "airports"),
+        rows(CHECK_AIRPORTS, "range", "latitude", "latitude BETWEEN -90 AND 90", "airports"),
+        rows(CHECK_AIRPORTS, "range", "longitude", "longitude BETWEEN -180 AND 180", "airports"),
+        unique(CHECK_AIRLINES, "iata_code", "airlines"),
+        rows(CHECK_AIRLINES, "completeness", "iata_code", "iata_code IS NOT NULL", "airlines"),
+        rows(CHECK_AIRLINES, "completeness", "airline", "airline IS NOT NULL", "airlines"),
+        rows(CHECK_AIRLINES, "pattern", "iata_code", "regexp_full_match(iata_code, '[A-Z]{2}')", "airlines"),
+        unique(CHECK_CODES, "cancellation_reason", "codes"),
+        rows(CHECK_CODES, "completeness", "cancellation_reason", "cancellation_reason IS NOT NULL", "codes"),
+        rows(CHECK_CODES, "completeness", "cancellation_description", "cancellation_description IS NOT NULL", "codes"),
+        rows(CHECK_CODES, "containment", "cancellation_reason", "cancellation_reason IN ('A', 'B', 'C', 'D')", "codes"),
+    ]
+)
+STATEMENTS["dq_dim_results"] = f"WITH {DIMENSION_TABLES} " + " UNION ALL ".join(DIMENSION_METRICS)

@@ -24,7 +24,7 @@ def run(
     database: str,
     keys: Sequence[str] = FLIGHT_KEY,
     holidays: Holidays | None = None,
-    audit_scope: str = "table",
+    audit_scope: str = "months",
 ) -> dict[str, bool]:
     """Load a data folder; says per table whether something was written. Repeating a load writes nothing."""
     raw = read_raw(spark, data_dir)
@@ -41,7 +41,7 @@ def run(
         days = calendar(spark, dt.date(min(years), 1, 1), dt.date(max(years), 12, 31), holidays)
         done["dim_dates"] = write_new(days, name("dim_dates"), keys=["date"])
     summary = gold(facts, read_table(spark, name("dim_dates")))
-    done["agg_fact_flights"] = write_audit_publish(summary, name("agg_fact_flights"), mode="replace")
+    done["agg_fact_flights"] = write_audit_publish(summary, name("agg_fact_flights"), mode="sync")
     return done
 
 
@@ -49,7 +49,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("data_dir", help="folder with the four raw CSV files")
     parser.add_argument("database", help="database of the published tables")
-    parser.add_argument("--audit-scope", choices=("table", "months"), default="table")
+    parser.add_argument("--audit-scope", choices=("table", "months"), default="months")
     options = parser.parse_args()
     spark = SparkSession.builder.appName("flight load").getOrCreate()
     for table, written in run(spark, options.data_dir, options.database, audit_scope=options.audit_scope).items():

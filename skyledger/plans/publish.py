@@ -6,12 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from skyledger.functions.columns import named
 from skyledger.operators.existing import merge_replace, without_existing
+from skyledger.quality.constraints import Check, Constraint, fully
 from skyledger.quality.rules import TABLE_RULES, table_check
-from skyledger.quality.verify import Verification, verify
+from skyledger.quality.verify import Verification, verify_parts
 from skyledger.schemas import MONTH_COLUMN, TABLES
 from skyledger.sources.tables import (
     append,
+    base_name,
+    create_for,
     create_like,
     drop_table,
     is_by_month,
@@ -38,54 +42,59 @@ def write_audit_publish(
     keys: Sequence[str] | None = None,
     mode: str = "insert_only",
     rules: dict[str, dict] | None = None,
-    audit_scope: str = "table",
+    audit_scope: str = "months",
     by_month: bool | None = None,
 ) -> bool:
     """Stage, audit, publish. True when rows were published, False when there was nothing new.
 
     ``insert_only`` adds the rows whose key the table lacks; a stored row with the same
     key stays, also if its values differ. ``replace`` lets the batch's rows take the place of
-    stored ones with the same key. Keys are compared null-safely, so rolled-up rows of
-    the aggregate match. A table that does not exist is created, laid out by month if
-    ``by_month`` or its specification says so.
+    stored ones with the same key. ``sync`` makes the batch the table's whole content, so rows that it no
+    longer has go. Keys are compared null-safely, so rolled-up rows of the aggregate match. A table
+    that does not exist is created when rows are published, never before, by its contract if it
+    is a known one.
 
     The audit sees the table as it would be. With ``audit_scope="months"``, a table laid out
-    by month and the date in its key, it sees only the months the batch touches: enough as what
-    is stored has passed before, and it keeps the cost of a load in proportion to the load.
+    by month and the date in its key, constraints for which that is exact see only the months the batch
+    touches: predicates that every row has to meet and uniqueness of keys with the date, as what is
+    stored has passed them before. All others - tolerances, aggregates, keys without the date -
+    see the whole table in either scope.
 
     Stored rows are unique in their key, having passed the audit or replaced their
     predecessors, so the comparison shuffles them as they are.
 
     The batch is computed once, into a staging table next to the target; everything after
-    that reads files, so a lost executor costs no recomputation of the batch. The staging tables
-    are dropped in any case. After a crash during the final append, running the load again
-    completes it, as rows already there are not added twice.
+    that reads files, so a lost executor costs no recomputation of the batch. The staging tables have
+    names of their own in every load and are dropped in any case. After a crash during the final
+    append, running the load again completes it, as rows already there are not added twice.
     """
-    if mode not in ("insert_only", "replace"):
-        raise ValueError(f"mode must be insert_only or replace, not {mode}")
+    if mode not in ("insert_only", "replace", "sync"):
+        raise ValueError(f"mode must be insert_only, replace or sync, not {mode}")
     if audit_scope not in ("table", "months"):
         raise ValueError(f"audit_scope must be table or months, not {audit_scope}")
     spark = batch.sparkSession
-    name = table.replace("`", "").split(".")[-1]
-    config = TABLE_RULES if rules is None else rules
-    check = table_check(name, config)
+    name = base_name(table)
+    check = table_check(name, TABLE_RULES if rules is None else rules)
     key = list(keys or (TABLES[name].key if name in TABLES else batch.columns))
-    if not spark.catalog.tableExists(table):
-        if by_month is None:
-            by_month = name in TABLES and TABLES[name].by_month
-        create_like(batch.limit(0), table, by_month)
-    by_month = is_by_month(spark.table(table))
+    exists = spark.catalog.tableExists(table)
+    if exists:
+        by_month = is_by_month(spark.table(table))
+    elif by_month is None:
+        by_month = name in TABLES and TABLES[name].by_month
     # Rows with the same key are in the same month, so other months need not be looked at.
     key_has_month = by_month and "date" in key
     incoming, audit = sibling(table, "incoming"), sibling(table, "audit")
     try:
         create_like(batch, incoming, by_month)
-        arrived, stored = spark.table(incoming), spark.table(table)
+        arrived = spark.table(incoming)
+        if mode == "sync":
+            return _synchronize(arrived, table, check, by_month)
         if arrived.isEmpty():
             return False
-        if key_has_month:
+        stored = spark.table(table) if exists else arrived.limit(0)
+        if exists and key_has_month:
             stored = only_months(stored, stored_months(spark, incoming))
-        if stored.isEmpty():
+        if not exists or stored.isEmpty():
             stage = incoming
         else:
             stage = audit
@@ -94,13 +103,19 @@ def write_audit_publish(
         staged = read_table(spark, stage)
         if staged.isEmpty():
             return False
-        if mode == "replace" and key_has_month:
+        if exists and mode == "replace" and key_has_month:
             stored = only_months(spark.table(table), stored_months(spark, stage))
-        current = stored if audit_scope == "months" else spark.table(table)
-        outcome = verify(_after(current.drop(MONTH_COLUMN), staged, key, mode), [check])
+        narrow, wide = _split(check) if audit_scope == "months" and key_has_month else (None, check)
+        everything = spark.table(table) if exists else stored
+        parts = [(_after(everything.drop(MONTH_COLUMN), staged, key, mode), wide)]
+        if narrow is not None:
+            parts.append((_after(stored.drop(MONTH_COLUMN), staged, key, mode), narrow))
+        outcome = verify_parts(parts, spark)
         if not outcome.passed:
             raise AuditFailed(table, outcome)
-        if mode == "insert_only":
+        if not exists:
+            create_for(batch, table, by_month)
+        if mode == "insert_only" or not exists:
             append(spark.table(stage), table, arranged=True)
         elif key_has_month:
             overwrite_months(_after(stored.drop(MONTH_COLUMN), staged, key, mode), table)
@@ -112,6 +127,40 @@ def write_audit_publish(
         drop_table(spark, incoming)
 
 
+def _synchronize(arrived: DataFrame, table: str, check: Check, by_month: bool) -> bool:
+    """Publish the staged rows as the whole content; False if the table has just these rows already."""
+    spark = arrived.sparkSession
+    rows = arrived.drop(MONTH_COLUMN)
+    exists = spark.catalog.tableExists(table)
+    if exists:
+        stored = read_table(spark, table).select(*[named(c) for c in rows.columns])
+        counted = rows.count() == stored.count()
+        if counted and without_existing(rows, stored).isEmpty() and without_existing(stored, rows).isEmpty():
+            return False
+    elif rows.isEmpty():
+        return False
+    outcome = verify_parts([(rows, check)], spark) if not rows.isEmpty() else None
+    if outcome is not None and not outcome.passed:
+        raise AuditFailed(table, outcome)
+    if not exists:
+        create_for(rows, table, by_month)
+    replace_content(rows, table)
+    return True
+
+
+def _split(check: Check) -> tuple[Check, Check]:
+    """The constraints for which the touched months are enough, and the others."""
+
+    def is_exact(constraint: Constraint) -> bool:
+        if constraint.assertion is not fully:
+            return False
+        return constraint.predicate is not None or (constraint.is_uniqueness and "date" in constraint.columns)
+
+    narrow = tuple(c for c in check.constraints if is_exact(c))
+    wide = tuple(c for c in check.constraints if not is_exact(c))
+    return Check(check.name, narrow, check.level), Check(check.name, wide, check.level)
+
+
 def _after(current: DataFrame, staged: DataFrame, key: Sequence[str], mode: str) -> DataFrame:
     """The table's rows once the staged ones are published."""
     if mode == "insert_only":

@@ -28,7 +28,7 @@ def at_least(fraction: float) -> Assertion:
 
 @dataclass(frozen=True)
 class Constraint:
-    """``predicate`` is SQL over a row, ``aggregate`` SQL over the whole relation; uniqueness has neither."""
+    """``predicate`` is SQL over a row, ``aggregate`` SQL over the whole relation, ``values`` a relation; uniqueness has none."""
 
     rule: str
     columns: tuple[str, ...]
@@ -36,6 +36,7 @@ class Constraint:
     predicate: str | None = None
     aggregate: str | None = None
     assertion: Assertion = fully
+    values: DataFrame | None = None
 
     @property
     def label(self) -> str:
@@ -43,7 +44,7 @@ class Constraint:
 
     @property
     def is_uniqueness(self) -> bool:
-        return self.predicate is None and self.aggregate is None
+        return self.predicate is None and self.aggregate is None and self.values is None
 
 
 def text(value: object) -> str:
@@ -60,19 +61,36 @@ def completeness(column: str, assertion: Assertion = fully) -> Constraint:
 
 
 def non_negative(column: str, assertion: Assertion = fully) -> Constraint:
-    """NULL passes. Text is read as a number; the width fits any BIGINT count."""
-    predicate = f"COALESCE(TRY_CAST({quoted(column)} AS DECIMAL(38,10)), 0.0) >= 0"
+    """NULL passes. Numbers are compared as they are; text has to read as a number, also one that fits no integer."""
+    value = quoted(column)
+    predicate = (
+        f"CASE WHEN {value} IS NULL THEN TRUE"
+        f" WHEN typeof({value}) = 'string' THEN COALESCE(TRY_CAST({value} AS DOUBLE) >= 0, FALSE)"
+        f" ELSE {value} >= 0 END"
+    )
     return Constraint("non_negative", (column,), "is non-negative", predicate, assertion=assertion)
 
 
 def contained_in(column: str, values: Sequence[object], assertion: Assertion = fully) -> Constraint:
-    """NULL passes. Values are compared as text, so flags may be listed as strings."""
+    """NULL passes. Fractional columns are compared as numbers, all others as text, so flags may be listed as strings."""
+    value = quoted(column)
     listed = ", ".join(text(v) for v in values)
-    predicate = f"{quoted(column)} IS NULL OR CAST({quoted(column)} AS STRING) IN ({listed})"
+    numbers = ", ".join(f"TRY_CAST({text(v)} AS DOUBLE)" for v in values)
+    predicate = (
+        f"CASE WHEN {value} IS NULL THEN TRUE"
+        f" WHEN typeof({value}) IN ('double', 'float') OR typeof({value}) LIKE 'decimal%'"
+        f" THEN COALESCE(TRY_CAST({value} AS DOUBLE) IN ({numbers}), FALSE)"
+        f" ELSE CAST({value} AS STRING) IN ({listed}) END"
+    )
     detail = f"contained in {','.join(str(v) for v in values)}"
     return Constraint("containment", (column,), detail, predicate, assertion=assertion)
 
 
+def contained_in_relation(column: str, values: DataFrame, count: int, assertion: Assertion = fully) -> Constraint:
+    """NULL passes. ``values`` has one text column without repeats; with many values it is joined, never listed."""
+    return Constraint("containment", (column,), f"contained in {count} values", assertion=assertion, values=values)
+
+
 def in_range(column: str, low: float, high: float, assertion: Assertion = fully) -> Constraint:
     """Both ends included, NULL passes."""
     predicate = f"{quoted(column)} IS NULL OR {quoted(column)} BETWEEN {low} AND {high}"
@@ -81,7 +99,7 @@ def in_range(column: str, low: float, high: float, assertion: Assertion = fully)
 
 def matches(column: str, pattern: str, assertion: Assertion = fully) -> Constraint:
     """The whole value matches the regular expression; NULL passes."""
-    predicate = f"{quoted(column)} IS NULL OR {quoted(column)} RLIKE {text(f'^(?:{pattern})$')}"
+    predicate = f"{quoted(column)} IS NULL OR {quoted(column)} RLIKE {text(rf'\A(?:{pattern})\z')}"
     return Constraint("pattern", (column,), f"matches {pattern}", predicate, assertion=assertion)
 
 
@@ -131,6 +149,15 @@ def uniqueness_metric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.agg(ratio(F.count_if(F.col("_rows") == 1), F.sum("_rows")).alias("metric"))
 
 
+def containment_metric(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """One row ``metric``: rows whose value is NULL or in the relation among all rows, counted per value first."""
+    counts = df.groupBy(named(column).cast("string").alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    known = values.select(F.col(quoted(values.columns[0])).cast("string").alias("_known"))
+    joined = counts.join(known, counts["_value"] == known["_known"], "left")
+    inside = F.sum(F.when(F.col("_value").isNull() | F.col("_known").isNotNull(), F.col("_rows")).otherwise(0))
+    return joined.agg(ratio(inside, F.sum("_rows")).alias("metric"))
+
+
 def _described(number: int, check: Check, constraint: Constraint, metric: Column) -> Column:
     return F.struct(
         F.lit(number).alias("number"),
@@ -151,7 +178,7 @@ def constraint_metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """
     numbered = list(enumerate((check, constraint) for check in checks for constraint in check.constraints))
     parts = []
-    plain = [(n, check, c) for n, (check, c) in numbered if not c.is_uniqueness]
+    plain = [(n, check, c) for n, (check, c) in numbered if not c.is_uniqueness and c.values is None]
     if plain:
         metrics = df.agg(*[row_metric(c).alias(f"m{n}") for n, _, c in plain])
         rows = F.array(*[_described(n, check, c, F.col(f"m{n}")) for n, check, c in plain])
@@ -163,6 +190,10 @@ def constraint_metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     for columns, users in keys.items():
         rows = F.array(*[_described(n, check, c, F.col("metric")) for n, check, c in users])
         parts.append(uniqueness_metric(df, columns).select(F.inline(rows)))
+    for n, (check, c) in numbered:
+        if c.values is not None:
+            rows = F.array(_described(n, check, c, F.col("metric")))
+            parts.append(containment_metric(df, c.columns[0], c.values).select(F.inline(rows)))
     if not parts:
         raise ValueError("no constraints to compute")
     result = parts[0]

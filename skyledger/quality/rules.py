@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from skyledger.operators.levels import GOLD_LEVELS, OTHER_DIMENSIONS, TIME_DIMENSIONS
 from skyledger.quality import constraints as c
@@ -109,6 +110,15 @@ DESIGN_RULES: dict[str, dict] = {
     },
 }
 
+def _parts(tolerances: list[dict]) -> list[c.Constraint]:
+    """Constraints that need not hold for all rows: each entry is a configuration with ``at_least``, a share."""
+    found = []
+    for entry in tolerances:
+        share, config = entry["at_least"], {k: v for k, v in entry.items() if k != "at_least"}
+        found += [replace(constraint, assertion=c.at_least(share)) for constraint in compile_rules(config)]
+    return found
+
+
 # Which constraints a rule of the configuration stands for; rules are applied in this order.
 COMPILERS: dict[str, Callable] = {
     "uniqueness": lambda columns: [c.uniqueness(columns)],
@@ -119,6 +129,7 @@ COMPILERS: dict[str, Callable] = {
     "pattern": lambda patterns: [c.matches(x, pattern) for x, pattern in patterns.items()],
     "predicate": lambda pairs: [c.satisfies(columns, condition) for columns, condition in pairs],
     "aggregate": lambda pairs: [c.holds_overall(columns, condition) for columns, condition in pairs],
+    "mostly": _parts,
 }
 
 

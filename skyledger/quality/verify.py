@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from skyledger.quality.constraints import Check, constraint_metrics, missing_columns
 from skyledger.quality.rules import table_check
@@ -36,11 +36,21 @@ class Verification:
 
 def verify(df: DataFrame, checks: Sequence[Check]) -> Verification:
     """Compute all checks and decide. What reaches the driver is one row per constraint."""
-    constraints = [c for check in checks for c in check.constraints]
-    absent = missing_columns(df, constraints)
-    if absent:
-        raise ValueError(f"checks name columns the relation lacks: {', '.join(absent)}")
-    rows = constraint_metrics(df, checks).orderBy("number").collect() if constraints else []
+    return verify_parts([(df, check) for check in checks], df.sparkSession)
+
+
+def verify_parts(parts: Sequence[tuple[DataFrame, Check]], spark: SparkSession) -> Verification:
+    """The same for checks that each have a relation of their own; checks of one relation are computed together."""
+    relations: dict[int, tuple[DataFrame, list[Check]]] = {}
+    for df, check in parts:
+        relations.setdefault(id(df), (df, []))[1].append(check)
+    rows: list[Row] = []
+    for df, checks in relations.values():
+        constraints = [c for check in checks for c in check.constraints]
+        absent = missing_columns(df, constraints)
+        if absent:
+            raise ValueError(f"checks name columns the relation lacks: {', '.join(absent)}")
+        rows += constraint_metrics(df, checks).orderBy("number").collect() if constraints else []
     failed = {(r["check"], r["check_level"]) for r in rows if not r["passed"]}
     levels = {level for _, level in failed}
     status = "Error" if "Error" in levels else "Warning" if levels else "Success"
@@ -55,7 +65,7 @@ def verify(df: DataFrame, checks: Sequence[Check]) -> Verification:
         )
         for r in rows
     ]
-    return Verification(status, literal_table(df.sparkSession, report, RESULT_SCHEMA), tuple(rows))
+    return Verification(status, literal_table(spark, report, RESULT_SCHEMA), tuple(rows))
 
 
 def _message(metric: float | None) -> str:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +49,8 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Every call gives another name, so repeated and concurrent runs do not meet. Without the
-    setting a local session gets a temporary folder; a cluster has to name one.
+    Every call gives another name, so repeated and concurrent runs do not meet. A session without
+    the setting uses its warehouse, which all executors share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "skyledger")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

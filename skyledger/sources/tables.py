@@ -6,6 +6,7 @@ of its date, so loads, deletes and comparisons touch only the months concerned.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import month_key, named, quoted
+from skyledger.operators.dedup import first_per_key
 from skyledger.operators.existing import without_existing
 from skyledger.schemas import MONTH_COLUMN, TABLES
 
@@ -25,9 +27,30 @@ def create_tables(spark: SparkSession, database: str) -> None:
     """Create the database and its six tables where they do not exist yet."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}")
     for table, spec in TABLES.items():
-        layout = f", {MONTH_COLUMN} STRING) USING parquet PARTITIONED BY ({MONTH_COLUMN})"
-        create = f"CREATE TABLE IF NOT EXISTS {full_name(database, table)} ({spec.ddl}"
-        spark.sql(create + (layout if spec.by_month else ") USING parquet"))
+        create_table(spark, full_name(database, table), spec.ddl, spec.by_month)
+
+
+def create_table(spark: SparkSession, table: str, ddl: str, by_month: bool) -> None:
+    """Create an empty table of the given columns, unless it exists."""
+    layout = f", {MONTH_COLUMN} STRING) USING parquet PARTITIONED BY ({MONTH_COLUMN})"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({ddl}" + (layout if by_month else ") USING parquet"))
+
+
+def create_for(batch: DataFrame, table: str, by_month: bool | None = None) -> None:
+    """Create an empty table for the batch: by contract if the name is one of the known tables, else of its columns."""
+    name = base_name(table)
+    spec = TABLES.get(name)
+    if spec is not None and set(batch.columns) <= set(spec.columns):
+        create_table(batch.sparkSession, table, spec.ddl, spec.by_month if by_month is None else by_month)
+    else:
+        columns = batch.drop(MONTH_COLUMN).schema
+        ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in columns)
+        create_table(batch.sparkSession, table, ddl, bool(by_month))
+
+
+def base_name(table: str) -> str:
+    """A table's name without its database."""
+    return table.replace("`", "").split(".")[-1]
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
@@ -115,22 +138,21 @@ def new_rows(df: DataFrame, table: str) -> tuple[DataFrame, bool]:
 def write_new(df: DataFrame, table: str, mode: str = "append", keys: Sequence[str] | None = None) -> bool:
     """Idempotent write: False and no write when there is nothing new.
 
-    ``append`` adds the rows the table lacks - whole rows, or with ``keys`` only rows whose
-    key it lacks. ``overwrite`` makes the rows the table's whole content. A missing table is
-    created. Errors are raised, also for another mode.
+    ``append`` adds the rows the table lacks - whole rows, or with ``keys`` one row per key
+    that it lacks. ``overwrite`` makes the rows the table's whole content. A missing table is
+    created, by its contract if it is a known one. Errors are raised, also for another mode.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode}")
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        create_like(df, table, by_month=False)
-        return True
+        create_for(df, table)
     if mode == "overwrite":
         replace_content(df, table)
         return True
     fresh, has_new = new_rows(df, table)
     if has_new and keys:
-        fresh = without_existing(fresh, read_table(spark, table), keys)
+        fresh = first_per_key(without_existing(fresh, read_table(spark, table), keys), keys)
         has_new = not fresh.isEmpty()
     if has_new:
         append(fresh, table)
@@ -202,6 +224,6 @@ def overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
 
 
 def sibling(table: str, role: str) -> str:
-    """Name of a helper table next to ``table``."""
+    """Name of a helper table next to ``table``, another one in every call, so that two loads do not meet."""
     *database, name = table.replace("`", "").split(".")
-    return ".".join(quoted(part) for part in (*database, f"{role}_{name}"))
+    return ".".join(quoted(part) for part in (*database, f"{role}_{name}_{uuid.uuid4().hex[:12]}"))

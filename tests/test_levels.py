@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,7 +10,7 @@ from skyledger.operators import enrich, levels
 from skyledger.operators.silver import to_silver
 from skyledger.schemas import GOLD, ddl_columns, ddl_fields
 from skyledger.sources.calendar import calendar
-from tests.helpers import plan, raw_frame, rows, silver_frame, silver_row
+from tests.helpers import plan, raw_frame, rows, silver_frame, silver_row, tiny_shuffles
 
 
 @pytest.fixture(scope="module")
@@ -153,15 +154,20 @@ def test_flights_are_reduced_before_they_are_expanded(spark):
 
 def test_lookup(spark, flights):
     names = spark.createDataFrame([("AA", "American"), ("DL", "Delta")], "iata_code STRING, airline STRING")
-    for limit, joined in ((10, "BroadcastHashJoin"), (1, "Join")):
-        found = enrich.lookup(flights, names, "airline", "iata_code", {"airline": "airline_name"}, max_rows=limit)
-        assert joined in plan(found)
-        assert found.columns == [*flights.columns, "airline_name"]
-        assert {(r.airline, r.airline_name) for r in found.collect()} == {
-            ("AA", "American"), ("DL", "Delta"), ("UA", None)
-        }
-
-
-def test_small_is_proven_by_counting(spark):
-    assert enrich.is_small(spark.range(10), 10)
-    assert not enrich.is_small(spark.range(11), 10)
+    found = enrich.lookup(flights, names, "airline", "iata_code", {"airline": "airline_name"})
+    assert found.columns == [*flights.columns, "airline_name"]
+    expected = {("AA", "American"), ("DL", "Delta"), ("UA", None)}
+    assert {(r.airline, r.airline_name) for r in found.collect()} == expected
+    with tiny_shuffles(spark):
+        found = enrich.lookup(flights, names, "airline", "iata_code", {"airline": "airline_name"})
+        assert {(r.airline, r.airline_name) for r in found.collect()} == expected
+
+
+def test_rows_without_a_code_are_spread_over_a_shuffled_lookup(spark):
+    coded = spark.range(20_000).selectExpr("id", "if(id % 100 = 0, 'A', NULL) AS code")
+    codes = spark.createDataFrame([("A", "first")], "code STRING, meaning STRING")
+    with tiny_shuffles(spark):
+        found = enrich.lookup(coded, codes, "code", "code", {"meaning": "meaning"})
+        assert re.search(r"hashpartitioning\(code#\d+, _spread#\d+", plan(found))
+        assert found.where("meaning = 'first'").count() == 200
+        assert found.where("code IS NULL AND meaning IS NULL").count() == 19_800

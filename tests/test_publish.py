@@ -301,13 +301,71 @@ def test_readers_see_the_published_rows_during_the_audit(spark, fact, monkeypatc
 
     write_audit_publish(silver_frame(spark, JANUARY), fact)
     seen = []
-    real = publish.verify
+    real = publish.verify_parts
 
-    def watching(df, checks):
-        seen.append((spark.table(fact).count(), spark.table(tables.sibling(fact, "audit")).count(), df.count()))
-        return real(df, checks)
+    def watching(parts, session):
+        seen.append((spark.table(fact).count(), *[df.count() for df, _ in parts]))
+        return real(parts, session)
 
-    monkeypatch.setattr(publish, "verify", watching)
+    monkeypatch.setattr(publish, "verify_parts", watching)
     more = [silver_row(flight_number=3)]
     assert write_audit_publish(silver_frame(spark, JANUARY + more), fact)
-    assert seen == [(2, 1, 3)]
+    assert seen == [(2, 3, 3)]
+
+
+KEY_RULE = {"fact_flights": {"uniqueness": ["flight_number"]}}
+
+
+@pytest.mark.parametrize("scope", ["table", "months"])
+@pytest.mark.parametrize(
+    "rules, passes",
+    [
+        (KEY_RULE, False),
+        ({"fact_flights": {"aggregate": [(["cancelled"], "count(*) <= 2")]}}, False),
+        ({"fact_flights": {"mostly": [{"at_least": 0.9, "completeness": ["tail_number"]}]}}, False),
+        ({"fact_flights": {"mostly": [{"at_least": 0.6, "completeness": ["tail_number"]}]}}, True),
+    ],
+)
+def test_rules_beyond_a_month_see_the_whole_table(spark, fact, scope, rules, passes):
+    stored = [silver_row(tail_number="N1"), silver_row(flight_number=2, tail_number="N2")]
+    assert write_audit_publish(silver_frame(spark, stored), fact, rules={"fact_flights": {}})
+    late = silver_frame(spark, [silver_row(date=dt.date(2015, 2, 3), tail_number=None)])
+    if passes:
+        assert write_audit_publish(late, fact, rules=rules, audit_scope=scope)
+        assert spark.table(fact).count() == 3
+    else:
+        with pytest.raises(AuditFailed):
+            write_audit_publish(late, fact, rules=rules, audit_scope=scope)
+        assert spark.table(fact).count() == 2
+
+
+def test_a_first_load_that_fails_leaves_no_table(spark, database):
+    table = tables.full_name(database, "fact_flights")
+    with pytest.raises(AuditFailed):
+        write_audit_publish(silver_frame(spark, [silver_row(distance=-1)]), table)
+    assert names(spark, database) == []
+
+
+def test_synchronizing_removes_what_is_gone(spark, database):
+    table = tables.full_name(database, "agg_fact_flights")
+    facts = silver_frame(spark, JANUARY + [silver_row(airline="DL")])
+    assert write_audit_publish(levels.gold(facts), table, mode="sync")
+    assert not write_audit_publish(levels.gold(facts), table, mode="sync")
+    left = levels.gold(facts.where("airline = 'AA'"))
+    assert write_audit_publish(left, table, mode="sync")
+    assert rows(tables.read_table(spark, table)) == rows(left)
+
+
+def test_new_rows_of_one_new_key_are_one(spark, database):
+    table = tables.full_name(database, "dim_airlines")
+    airlines = spark.createDataFrame([("AA", "American"), ("AA", "Americana"), ("DL", "Delta")], "iata_code STRING, airline STRING")
+    assert tables.write_new(airlines, table, keys=["iata_code"])
+    assert rows(spark.table(table).select("iata_code")) == [("AA",), ("DL",)]
+    assert not tables.write_new(airlines, table, keys=["iata_code"])
+    assert not tables.write_new(airlines.limit(0), tables.full_name(database, "dim_airports"))
+
+
+def test_a_missing_fact_table_is_created_by_month(spark, database):
+    table = tables.full_name(database, "fact_flights")
+    assert tables.write_new(silver_frame(spark, JANUARY), table)
+    assert tables.stored_months(spark, table) == ["2015-01"]

@@ -63,6 +63,29 @@ def test_flags_may_be_listed_as_text(spark):
     assert metric(spark.createDataFrame([(0,), (1,), (2,)], "flag INT"), c.contained_in("flag", ["0", "1"])) == [2 / 3]
 
 
+def test_numbers_that_fit_no_decimal(spark):
+    numbers = spark.createDataFrame([(-1e30,), (float("-inf"),), (float("inf"),), (1e300,), (None,)], "x DOUBLE")
+    assert metric(numbers, c.non_negative("x")) == [3 / 5]
+    texts = spark.createDataFrame([("-5e40",), ("-abc",), ("abc",), ("7",), ("5e40",), (None,)], "t STRING")
+    assert metric(texts, c.non_negative("t")) == [3 / 6]
+
+
+def test_fractional_flags(spark):
+    flags = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (None,)], "flag DOUBLE")
+    assert metric(flags, c.contained_in("flag", ["0", "1"])) == [3 / 4]
+    assert metric(flags.selectExpr("CAST(flag AS DECIMAL(5,2)) AS flag"), c.contained_in("flag", [0, 1])) == [3 / 4]
+
+
+def test_a_line_break_at_the_end_is_no_match(spark):
+    assert metric(spark.createDataFrame([("AA",), ("AA\n",)], "code STRING"), c.matches("code", "[A-Z]{2}")) == [0.5]
+
+
+def test_containment_in_a_relation(spark):
+    words = spark.range(1000).selectExpr("if(id < 900, concat('w', id), NULL) AS word")
+    known = spark.range(450).selectExpr("concat('w', id) AS value")
+    assert metric(words, c.contained_in_relation("word", known, 450)) == [0.55]
+
+
 def test_values_with_quotes(spark):
     frame = spark.createDataFrame([("O'Hare",), ("back\\slash",)], "name STRING")
     assert metric(frame, c.contained_in("name", ["O'Hare", "back\\slash"])) == [1.0]

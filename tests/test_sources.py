@@ -23,15 +23,15 @@ HOLIDAYS_2015 = [
 
 
 def test_csv_round_trip(spark, tmp_path):
-    people = spark.createDataFrame([("Alice", 30), ("Bob", 25)], "name STRING, age INT")
+    people = spark.createDataFrame([("Mara", 41), ("Ivo", None), ("Ümit", 7)], "name STRING, age INT")
     files.write_csv(people, str(tmp_path / "people"))
     assertDataFrameEqual(files.read_csv(spark, str(tmp_path / "people"), people.schema), people)
 
 
 def test_cell_that_does_not_parse_becomes_null(spark, tmp_path):
-    (tmp_path / "people.csv").write_text("name,age\nAlice,thirty\nBob,25\n")
+    (tmp_path / "people.csv").write_text("name,age\nMara,many\nIvo,19\n")
     people = files.read_csv(spark, str(tmp_path / "people.csv"), "name STRING, age INT")
-    assert rows(people) == [("Alice", None), ("Bob", 25)]
+    assert rows(people) == [("Ivo", 19), ("Mara", None)]
 
 
 def test_names_come_from_the_schema_and_not_from_the_header(spark, tmp_path):
@@ -75,9 +75,35 @@ def test_calendar_of_any_years(spark):
     assert calendar.calendar(spark, dt.date(2000, 1, 2), dt.date(2000, 1, 1)).count() == 0
 
 
-def test_holidays_follow_from_their_rules():
-    assert calendar.us_federal_holidays([2015]) == HOLIDAYS_2015
-    assert ("2021-05-31", "Memorial Day") in calendar.us_federal_holidays([2020, 2021])
+@pytest.mark.parametrize(
+    "day, name",
+    [
+        ("2021-05-31", "Memorial Day"),
+        ("2021-06-19", "Juneteenth"),
+        ("2020-06-19", None),
+        ("1985-01-21", None),
+        ("1986-01-20", "Martin Luther King Jr. Day"),
+        ("1970-05-30", "Memorial Day"),
+        ("1970-02-22", "Presidents' Day"),
+        ("1970-10-12", None),
+        ("1975-10-27", "Veterans Day"),
+        ("1975-11-11", None),
+        ("1978-11-11", "Veterans Day"),
+        ("1939-11-23", "Thanksgiving Day"),
+        ("1939-11-30", None),
+        ("1940-11-21", "Thanksgiving Day"),
+        ("1938-11-24", "Thanksgiving Day"),
+        ("0100-12-25", None),
+    ],
+)
+def test_holidays_follow_the_rules_of_their_year(spark, day, name):
+    found = spark.sql(f"SELECT DATE'{day}' AS date").select(calendar.federal_holiday().alias("name"))
+    assert found.first().name == name
+
+
+def test_calendar_before_the_year_1000(spark):
+    days = calendar.calendar(spark, dt.date(100, 2, 27), dt.date(100, 3, 2))
+    assert [(r.year, r.month, r.day) for r in days.collect()] == [(100, 2, 27), (100, 2, 28), (100, 3, 1), (100, 3, 2)]
 
 
 def test_own_holidays(spark):
@@ -87,9 +113,9 @@ def test_own_holidays(spark):
 
 def test_calendar_covers_the_dates_of_a_relation(spark):
     dated = spark.createDataFrame([(dt.date(2016, 2, 28),), (dt.date(2016, 3, 1),), (None,)], "date DATE")
-    days = calendar.calendar_covering(dated, [])
+    days = calendar.calendar_covering(dated)
     assert [str(r.date) for r in days.orderBy("date").collect()] == ["2016-02-28", "2016-02-29", "2016-03-01"]
-    assert calendar.calendar_covering(dated.where("false"), []).count() == 0
+    assert calendar.calendar_covering(dated.where("false")).count() == 0
 
 
 def test_shared_folder_is_below_the_configured_one(spark):
