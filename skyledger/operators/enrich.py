@@ -33,14 +33,10 @@ def lookup(flights: DataFrame, codes: DataFrame, code: str, key: str, columns: d
     """Left join of a code table: ``columns`` maps its columns to their new names.
 
     Unknown codes keep the flight with NULL descriptions. Spark broadcasts the code table where its
-    size allows. In a shuffle join rows without a code, often nearly all, match nothing; the second
-    key column spreads them over all tasks.
+    size allows. In a shuffle join rows without a code, often nearly all, match nothing and would meet in
+    one task; they get one of many keys that no code has.
     """
-    side = codes.select(
-        F.col(key).alias("_code"), F.lit(0).alias("_zero"), *[F.col(c).alias(new) for c, new in columns.items()]
-    )
-    spread = F.when(flights[code].isNull(), F.pmod(F.xxhash64(*[named(c) for c in flights.columns]), F.lit(SPREAD)))
-    spread = F.coalesce(spread.cast("int"), F.lit(0))
-    keyed = flights.withColumn("_spread", spread)
-    condition = (keyed[code] == side["_code"]) & (keyed["_spread"] == side["_zero"])
-    return keyed.join(side, condition, "left").drop("_code", "_zero", "_spread")
+    side = codes.select(F.col(key).cast("string").alias("_code"), *[F.col(c).alias(new) for c, new in columns.items()])
+    share = F.pmod(F.xxhash64(*[named(c) for c in flights.columns]), F.lit(SPREAD)).cast("string")
+    keyed = flights.withColumn("_key", F.coalesce(flights[code].cast("string"), F.concat(F.lit("\0"), share)))
+    return keyed.join(side, keyed["_key"] == side["_code"], "left").drop("_code", "_key")
