@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalogue_sql import STATEMENTS  # noqa: F401  read by the entry points
 from .chat import digests, format_windows
 from .decontaminate import contamination
 from .mixing import copies
@@ -102,5 +103,3 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
-
-STATEMENTS: dict[str, str] = {}
