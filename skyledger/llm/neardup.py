@@ -6,13 +6,13 @@ keeps its earliest one. A process ends as soon as its next arrival is later than
 their probability Jaccard similarity, which for equal weights is the Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers make
 candidates (a pair of similarity 0.8 is missed with probability 3e-5), and every candidate is verified on the shingles themselves.
 
-Equal texts are one text from the start, represented by the smallest doc_id, so groups of copies cost nothing further. In a bucket not
-all pairs are compared. Members are compared with a hub, and what is alike joins one class. Only buckets whose members
-are still of several classes go on: in each round some members outside the bucket's largest class are hubs, compared
-with all members of other classes, and leave; their number grows by rounds, until no untested pair of different classes
-is left. So no link is lost, a group of near copies costs few comparisons per member, and the number of rounds is the logarithm
-of the largest bucket. Hubs and labels are joined by Spark, which splits keys with many rows; nothing is gathered by bucket or class.
-Steps that are read again are written to the shared folder, which also keeps the plans of the rounds from growing.
+Equal texts are one text from the start, represented by the smallest doc_id, so groups of copies cost nothing further. Pairs of a
+bucket are never written out. First each member is compared with one hub, which settles most groups of near copies. Buckets whose
+members are still of several classes are then cut into blocks: members outside the largest class meet all members, a block
+by a block in a task. There a pair is looked at in the first band it shares only, and verified unless its classes have been linked by
+then; of texts that repeat shingles, registers are compared first, and pairs up to five standard deviations below the threshold are
+let through. So no link between classes is lost, and what comes out is fewer links than members.
+Hubs and labels are joined by Spark, which splits keys with many rows; no bucket and no class is gathered as a whole.
 
 Null texts are alike to nothing, not even each other. Texts without words are alike only if equal. Rows without a doc_id get no class;
 rows that share a doc_id are compared text by text and then share one class. Other columns are ignored.
@@ -27,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import partitions, stored
 from .words import PLAIN, Slice, mix, seeded, slices, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-FIRST_HUBS = 16  # per bucket in the first round
+BLOCK = 1024  # members of a bucket that meet as many others in a task
+BELOW = 5  # standard deviations of the shared registers
 SIGNATURE_BYTES = 2 << 20
 
-_SIGNED = "rep long, bands array<long>"
-_SETS = "rep long, shingles binary"
+_SIGNED = "rep long, bands array<long>, registers binary"
+_SETS = "rep long, registers binary, shingles binary"
+_EDGES = "a long, b long"
 _PAIRS = "a long, b long, similarity double"
 
 
@@ -105,23 +107,27 @@ def sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[p
             n = piece.last - piece.first
             hashes, texts, weights = weighted(*shingles(piece))
             has = np.flatnonzero(np.bincount(texts, minlength=n))
-            made = band_hashes(signatures(hashes, texts, weights, n, bands * rows)[has], bands, rows)
+            holders = signatures(hashes, texts, weights, n, bands * rows)[has]
+            made = band_hashes(holders, bands, rows)
             ends = pa.array(np.arange(len(has) + 1) * bands, pa.int32())
             ids = batch.column(0).take(pa.array(piece.first + has))
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(made.ravel().view(np.int64)))], ["rep", "bands"])
+            short = pa.array([x.tobytes() for x in (holders >> np.uint64(48)).astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.ListArray.from_arrays(ends, pa.array(made.ravel().view(np.int64))), short], ["rep", "bands", "registers"]
+            )
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """32 bits of every shingle of a text, sorted, repeats included."""
+    """32 bits of every shingle of a text, sorted, repeats included; id and registers go along."""
     for batch in batches:
         sets: list[bytes] = []
-        for piece in slices(batch.column(1), PLAIN):
+        for piece in slices(batch.column(2), PLAIN):
             hashes, texts = shingles(piece)
             keys = np.sort((texts.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
             bounds = np.searchsorted(keys, np.arange(piece.last - piece.first + 1, dtype=np.uint64) << np.uint64(32))
             low = keys.astype(np.uint32)
             sets += [low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "registers", "shingles"])
 
 
 def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -151,6 +157,86 @@ def verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(found).take(keep)], ["a", "b", "similarity"])
 
 
+def link_block(table: pa.Table, least: float, rows: int) -> pa.Table:
+    """Links between the askers of a block of a bucket and its other members, of different classes.
+
+    Common shingles of an asker and all others are counted in one sweep. Where no text repeats a shingle this gives the
+    similarity; else shared registers tell which pairs are worth verifying. A pair that shares an earlier band is compared
+    there, and one whose classes are linked already adds nothing. What comes out is a forest: fewer links than members.
+    """
+    band, asks = table.column("band")[0].as_py(), table.column("asks").to_numpy(zero_copy_only=False)
+    reps, labels = table.column("rep").to_numpy(), table.column("label").to_numpy()
+    registers = np.stack([np.frombuffer(x, np.uint16) for x in table.column("registers").to_pylist()])
+    sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+    some = BELOW * np.sqrt(least * (1 - least) / registers.shape[1])
+    distinct = [np.unique(x) for x in sets]
+    single = np.array([len(x) == len(y) for x, y in zip(sets, distinct)])  # each shingle once
+    others = np.flatnonzero(~asks)
+    sizes = np.array([len(distinct[k]) for k in others])
+    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    names, flat = np.unique(np.concatenate([distinct[k] for k in others] or [np.empty(0, np.uint32)]), return_inverse=True)
+    flat, marked = flat.astype(np.int32), np.zeros(len(names), np.int32)
+    found = [np.empty((0, 3))]
+    for k in np.flatnonzero(asks) if len(others) else []:
+        at = np.searchsorted(names, distinct[k])
+        at = at[names[np.minimum(at, len(names) - 1)] == distinct[k]]
+        marked[at] = 1
+        common = np.add.reduceat(marked[flat], firsts)
+        marked[at] = 0
+        jaccard = common / (len(distinct[k]) + sizes - common)
+        candidates = np.flatnonzero((labels[others] != labels[k]) & (np.where(single[others] & single[k], jaccard >= least, common > 0)))
+        same = registers[others[candidates]] == registers[k]
+        first = same.reshape(len(candidates), registers.shape[1] // rows, rows).all(axis=2).argmax(axis=1)
+        exact = single[others[candidates]] & single[k]
+        keep = candidates[(first == band) & (exact | (same.mean(axis=1) >= least - some))]
+        found.append(np.stack([jaccard[keep], np.full(len(keep), k), others[keep]], axis=1))
+    pairs = np.concatenate(found)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges, tested = [], set()
+    for _, k, m in pairs[np.lexsort((reps[pairs[:, 2].astype(int)], reps[pairs[:, 1].astype(int)], -pairs[:, 0]))]:
+        k, m = int(k), int(m)
+        pair = (min(reps[k], reps[m]), max(reps[k], reps[m]))
+        a, b = root(labels[k]), root(labels[m])
+        if a == b or pair in tested:
+            continue
+        tested.add(pair)
+        if probability_jaccard(sets[k], sets[m]) >= least:
+            parent[max(a, b)] = min(a, b)
+            edges.append({"a": int(pair[0]), "b": int(pair[1])})
+    return pa.Table.from_pylist(edges, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def links_within(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, rows: int) -> DataFrame:
+    """Links between members of different classes in all buckets, found block by block.
+
+    Members outside a bucket's largest class ask; askers and members are dealt to blocks of at most about ``BLOCK``, and every block of
+    askers meets every block of members in a group of its own.
+    """
+    key = ["band", "hash"]
+    labelled = members.select(*key, "rep").join(labels, "rep")
+    sizes = labelled.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = labelled.join(main.filter("labels > 1"), key).select(
+        *key, "rep", "label", (F.col("label") != F.col("main")).alias("outside"), blocks(F.col("n") - F.col("most")).alias("n_a"), blocks(F.col("n")).alias("n_b")
+    )
+    number = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = open_.filter("outside").select(*key, "rep", "label", F.lit(True).alias("asks"), number(F.col("n_a"), 1).alias("i"), each(F.col("n_b")).alias("j"))
+    asked = open_.select(*key, "rep", "label", F.lit(False).alias("asks"), each(F.col("n_a")).alias("i"), number(F.col("n_b"), 2).alias("j"))
+    # Comparing costs more than the bytes suggest, so tasks are not merged for being small.
+    many = 4 * partitions(members.sparkSession)
+    dealt = asking.union(asked).join(sets, "rep").repartition(many, *key, "i", "j")
+    return dealt.groupBy(*key, "i", "j").applyInArrow(lambda table: link_block(table, least, rows), _EDGES)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough."""
     one, two = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
@@ -198,32 +284,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     members = stored(keyed.join(shared, ["band", "hash"]).distinct())
 
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")))
-    sets = stored(texts.filter("text is not null").join(labels, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct().mapInArrow(shingle_sets, _SETS))
+    chosen = signed.join(labels, "rep", "left_semi").select("rep", "registers")
+    sets = texts.filter("text is not null").join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "registers", "text")
+    sets = stored(sets.mapInArrow(shingle_sets, _SETS).dropDuplicates(["rep"]))
 
     # First each member meets the smallest hub of its buckets, which settles most of them.
     nearest = members.groupBy("rep").agg(F.min("hub").alias("hub")).filter("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     labels = components(labels, stored(verified(nearest, sets, least)))
 
-    # From here on a bucket has its members that have not been hubs yet.
-    buckets, hubs = members.select("band", "hash", "rep"), FIRST_HUBS
-    key = ["band", "hash"]
-    while True:
-        labelled = buckets.join(labels, "rep")
-        sizes = labelled.groupBy(*key, "label").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
-        main = sizes.groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        first = sizes.join(main.select(*key, "main"), key).filter("label != main").groupBy(*key).agg(F.min("least").alias("first"))
-        open_ = stored(labelled.join(main.filter("labels > 1").join(first, key), key))
-        if open_.isEmpty():
-            break
-        # Only members outside a bucket's largest class become hubs: all of them, if they are few.
-        others = F.col("n") - F.col("most")
-        by_chance = F.pmod(F.xxhash64("rep", F.lit(hubs)), others) < hubs
-        chosen = (F.col("label") != F.col("main")) & ((F.col("rep") == F.col("first")) | by_chance)
-        asking = open_.filter(chosen).select(*key, F.col("rep").alias("a"), F.col("label").alias("label_a"))
-        pairs = asking.join(open_.select(*key, F.col("rep").alias("b"), "label"), key).filter("a != b and label_a != label")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = components(labels, stored(verified(pairs, sets, least)))
-        buckets, hubs = open_.filter(~chosen).select(*key, "rep"), hubs * 4
+    # Then members of one bucket and different classes are compared.
+    labels = components(labels, stored(links_within(members, labels, sets, least, rows)))
     classes = copies.join(labels, "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"))
     # One doc_id with several texts: the smallest class.
     classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("rep").alias("rep"))
