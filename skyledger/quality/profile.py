@@ -1,4 +1,4 @@
-"""Column profiles: one aggregation over all columns, and histograms of the low-cardinality ones."""
+"""Column profiles: one aggregation over all columns, and histograms."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralTyp
 
 from skyledger.functions.columns import named, ratio
 
-# Most distinct values a column may have to get a histogram, and how NULL shows up in one.
-HISTOGRAM_VALUES = 120
+# How NULL shows up in a histogram, and the percentiles.
 NULL_VALUE = "NullValue"
 PERCENTILES = (0.25, 0.5, 0.75)
 
@@ -75,6 +74,7 @@ def _profile(name: str, kind: DataType, number: int, approximate: bool) -> Colum
         is_text = isinstance(kind, StringType)
         return F.when(value_kind.isin("Integral", "Fractional"), expression) if is_text else expression
 
+    numeric = isinstance(kind, (IntegralType, FractionalType, StringType))
     fields = [
         F.lit(name).alias("column_name"),
         value_kind.alias("data_type"),
@@ -90,7 +90,10 @@ def _profile(name: str, kind: DataType, number: int, approximate: bool) -> Colum
     if approximate:
         fields += [
             F.approx_count_distinct(value).alias("approx_distinct"),
-            stat(F.percentile_approx(x, list(PERCENTILES))).alias("percentiles"),
+            # No sketch is built for kinds of columns that hold no numbers.
+            stat(F.percentile_approx(x, list(PERCENTILES))).alias("percentiles")
+            if numeric
+            else F.lit(None).cast("array<double>").alias("percentiles"),
         ]
     return F.struct(*fields)
 

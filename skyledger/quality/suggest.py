@@ -1,7 +1,7 @@
 """Constraint suggestions from column profiles.
 
-The heavy part is the profile and the histograms, which Spark computes; the rules look at
-one profile row and at most a few hundred histogram entries per column.
+Spark computes the profile, the counts of all values of text columns and, from these, the shares that the rules go by;
+the driver gets one row of facts per column, whatever the number of values. The values of a suggested range stay a relation.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from skyledger.quality import constraints as c
-from skyledger.quality.profile import HISTOGRAM_VALUES, NULL_VALUE, histogram, profile
+from skyledger.quality.profile import NULL_VALUE, histogram, profile
 from skyledger.sources.files import literal_table
 
 # Thresholds of the rules.
@@ -32,10 +32,16 @@ SUGGESTION_SCHEMA = (
 
 @dataclass(frozen=True)
 class ColumnFacts:
-    """A profile row with the column's histogram as (value, absolute, fraction), most frequent first."""
+    """A profile row and, for text, what the counts of the column's values come to.
+
+    ``values`` is the relation of its values (value, absolute), NULL left out; ``facts`` has the number of distinct ones,
+    NULL being one of them, the number that occur once, and for the most frequent ones that together reach the wanted
+    coverage (values of equal count all in) their least count, number and rows.
+    """
 
     profile: Row
-    entries: tuple[tuple[str, int, float], ...]
+    facts: Row | None = None
+    values: DataFrame | None = None
 
     @property
     def name(self) -> str:
@@ -44,11 +50,11 @@ class ColumnFacts:
     @property
     def singletons(self) -> float:
         """Share of the distinct values that occur only once."""
-        return sum(absolute == 1 for _, absolute, _ in self.entries) / len(self.entries)
+        return self.facts["singles"] / self.facts["distinct_values"]
 
     @property
     def is_category(self) -> bool:
-        return self.profile["data_type"] == "String" and bool(self.entries)
+        return self.profile["data_type"] == "String" and self.facts is not None
 
 
 @dataclass(frozen=True)
@@ -100,30 +106,28 @@ def retain_type(facts: ColumnFacts) -> Suggestion | None:
 def categorical_range(facts: ColumnFacts) -> Suggestion | None:
     if not facts.is_category or facts.singletons > CATEGORICAL_SINGLETONS:
         return None
-    values = [value for value, _, _ in facts.entries if value != NULL_VALUE]
+    count = facts.facts["distinct_values"] - facts.facts["null_values"]
     return Suggestion(
-        facts.name, "categorical_range", f"{facts.name} has a value range of {len(values)} values", "compliance 1",
-        c.contained_in(facts.name, values), f"contained_in({facts.name!r}, {values!r})",
+        facts.name, "categorical_range", f"{facts.name} has a value range of {count} values", "compliance 1",
+        c.contained_in_relation(facts.name, facts.values.select("value"), count),
+        f"contained_in_relation({facts.name!r}, values, {count})",
     )
 
 
 def fractional_categorical_range(facts: ColumnFacts) -> Suggestion | None:
     if not facts.is_category or facts.singletons > FRACTIONAL_SINGLETONS:
         return None
-    covered, values = 0.0, []
-    for value, _, fraction in facts.entries:
-        if covered >= FRACTIONAL_COVERAGE:
-            break
-        covered += fraction
-        values.append(value)
-    if covered >= 1.0 or len(values) == len(facts.entries):
+    found = facts.facts
+    if found["top_values"] == found["distinct_values"]:
         return None
-    values = [v for v in values if v != NULL_VALUE]
+    covered = found["top_rows"] / facts.profile["row_count"]
     bound = _lower_bound(covered, facts.profile["row_count"])
+    count = found["top_values"] - found["top_null"]
+    values = facts.values.where(F.col("absolute") >= found["least"]).select("value")
     return Suggestion(
-        facts.name, "fractional_categorical_range", f"{facts.name} has mostly one of {len(values)} values",
-        f"compliance {covered}", c.contained_in(facts.name, values, c.at_least(bound)),
-        f"contained_in({facts.name!r}, {values!r}, at_least({bound}))",
+        facts.name, "fractional_categorical_range", f"{facts.name} has mostly one of {count} values",
+        f"compliance {covered}", c.contained_in_relation(facts.name, values, count, c.at_least(bound)),
+        f"contained_in_relation({facts.name!r}, values, {count}, at_least({bound}))",
     )
 
 
@@ -149,20 +153,44 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 )
 
 
+def category_facts(counts: DataFrame) -> DataFrame:
+    """One row per column from the counts of its values (column_name, value, absolute).
+
+    Values are gathered by their count first; a column of n rows has at most about the root of 2 n different counts.
+    """
+    is_null = (F.col("value") == NULL_VALUE).cast("long")
+    by_count = counts.groupBy("column_name", "absolute").agg(F.count(F.lit(1)).alias("n"), F.sum(is_null).alias("nulls"))
+    from_above = Window.partitionBy("column_name").orderBy(F.desc("absolute"))
+    rows = F.col("n") * F.col("absolute")
+    before = F.coalesce(F.sum(rows).over(from_above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = by_count.select("*", before.alias("before"), F.sum(rows).over(Window.partitionBy("column_name")).alias("rows"))
+    top = F.col("before") < FRACTIONAL_COVERAGE * F.col("rows")
+    return summed.groupBy("column_name").agg(
+        F.sum("n").alias("distinct_values"),
+        F.sum("nulls").alias("null_values"),
+        F.coalesce(F.sum(F.when(F.col("absolute") == 1, F.col("n"))), F.lit(0)).alias("singles"),
+        F.min(F.when(top, F.col("absolute"))).alias("least"),
+        F.sum(F.when(top, F.col("n"))).alias("top_values"),
+        F.sum(F.when(top, F.col("nulls"))).alias("top_null"),
+        F.sum(F.when(top, rows)).alias("top_rows"),
+    )
+
+
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[ColumnFacts]:
-    """Profiles and histograms of the columns; two passes, the second over low-cardinality text only."""
+    """Profiles of the columns, and what the values of text columns come to; two passes, the second over text only."""
     profiles = profile(df, columns).collect()
-    categories = [
-        p["column_name"]
+    texts = [p["column_name"] for p in profiles if p["data_type"] == "String"]
+    found = {}
+    if texts:
+        found = {row["column_name"]: row for row in category_facts(histogram(df, texts)).collect()}
+
+    def values(name: str) -> DataFrame:
+        return histogram(df, [name]).where(F.col("value") != NULL_VALUE).select("value", "absolute")
+
+    return [
+        ColumnFacts(p, found[p["column_name"]], values(p["column_name"])) if p["column_name"] in found else ColumnFacts(p)
         for p in profiles
-        if p["data_type"] == "String" and p["approx_distinct"] <= HISTOGRAM_VALUES
     ]
-    entries: dict[str, list[tuple[str, int, float]]] = {}
-    if categories:
-        ordered = histogram(df, categories).orderBy(F.desc("absolute"), "value")
-        for row in ordered.collect():
-            entries.setdefault(row["column_name"], []).append((row["value"], row["absolute"], row["fraction"]))
-    return [ColumnFacts(p, tuple(entries.get(p["column_name"], ()))) for p in profiles]
 
 
 def suggest(

@@ -268,8 +268,10 @@ def test_suggestions(spark):
         ("word", "complete_if_complete"), ("word", "categorical_range"), ("word", "fractional_categorical_range"),
         ("number", "retain_completeness"), ("number", "non_negative_numbers"), ("label", "complete_if_complete"),
     }
-    assert found["word", "categorical_range"].code == "contained_in('word', ['a', 'b', 'c', 'd'])"
-    assert found["word", "fractional_categorical_range"].code == "contained_in('word', ['a', 'b'], at_least(0.9))"
+    assert found["word", "categorical_range"].code == "contained_in_relation('word', values, 4)"
+    assert rows(found["word", "categorical_range"].constraint.values) == [("a",), ("b",), ("c",), ("d",)]
+    assert found["word", "fractional_categorical_range"].code == "contained_in_relation('word', values, 2, at_least(0.9))"
+    assert rows(found["word", "fractional_categorical_range"].constraint.values) == [("a",), ("b",)]
     assert found["number", "retain_completeness"].code == "completeness('number', at_least(0.84))"
     assert verify(frame, [c.Check("suggested", tuple(s.constraint for s in found.values()))]).passed
 
@@ -278,3 +280,13 @@ def test_single_rule_and_restricted_columns(spark):
     frame = spark.createDataFrame(MIXED, MIXED_SCHEMA)
     table = suggest.suggestions_table(frame, [suggest.complete_if_complete], ["code", "word"])
     assert rows(table.select("column_name", "rule")) == [("word", "complete_if_complete")]
+
+
+@pytest.mark.parametrize("distinct", [125, 5000])
+def test_ranges_of_many_values_are_suggested(spark, distinct):
+    frame = spark.range(4 * distinct).selectExpr(f"concat('v', id % {distinct}) AS code")
+    found = {s.rule: s for s in suggest.suggest(frame)}
+    assert found["categorical_range"].description == f"code has a value range of {distinct} values"
+    assert verify(frame, [c.Check("suggested", (found["categorical_range"].constraint,))]).passed
+    strange = frame.union(spark.sql("SELECT 'other' AS code"))
+    assert not verify(strange, [c.Check("suggested", (found["categorical_range"].constraint,))]).passed
