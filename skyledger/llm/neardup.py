@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 BLOCK = 1024  # members of a bucket that meet as many others in a task
 BELOW = 5  # standard deviations of the shared registers
-SIGNATURE_BYTES = 2 << 20
+SIGNATURE_BYTES = 1 << 20
 
 _SIGNED = "rep long, bands array<long>, registers binary"
 _SETS = "rep long, registers binary, shingles binary"

@@ -26,6 +26,7 @@ LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+SLICE_ROWS = 512
 SLICE_BYTES = 1 << 20  # texts are handled in slices of about this size; a longer text is a slice of its own
 
 
@@ -132,15 +133,20 @@ def winnow(hashes: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
 
 
 def slices(texts: pa.Array, word: np.ndarray, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a column of texts into slices of words. Nulls are texts without words."""
+    """Cut a column of texts into slices of words. Nulls are texts without words.
+
+    Rows are taken some hundred at a time, so that no second copy of a whole batch is made.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    for at in range(0, len(texts), SLICE_ROWS):
+        yield from slices_of(texts.slice(at, SLICE_ROWS), at, word, lower, size)
+
+
+def slices_of(texts: pa.Array, at: int, word: np.ndarray, lower: bool, size: int) -> Iterator[Slice]:
+    """Slices of a part of the column that begins at row ``at``."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.large_string())
     n = len(texts)
-    if not n:
-        return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     buffer = texts.buffers()[2]
     everything = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.empty(0, np.uint8)
@@ -160,5 +166,5 @@ def slices(texts: pa.Array, word: np.ndarray, lower: bool = False, size: int = S
         ends = np.flatnonzero(inside & (~after | begins[1:])) + 1
         upto = np.searchsorted(starts, bounds)
         counts = np.diff(upto)
-        yield Slice(first, last, data, bounds, starts, ends, np.repeat(np.arange(last - first), counts), counts)
+        yield Slice(at + first, at + last, data, bounds, starts, ends, np.repeat(np.arange(last - first), counts), counts)
         first = last
