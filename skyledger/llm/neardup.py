@@ -20,7 +20,9 @@ rows that share a doc_id are compared text by text and then share one class. Oth
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ BANDS, ROWS = 20, 4
 BLOCK = 1024  # members of a bucket that meet as many others in a task
 BELOW = 5  # standard deviations of the shared registers
 SIGNATURE_BYTES = 1 << 20
+MARGIN = 1e-9  # similarities this close to the threshold are decided in fractions; sums of floats are off by far less
 
 _SIGNED = "rep long, bands array<long>, registers binary"
 _SETS = "rep long, registers binary, shingles binary"
@@ -130,31 +133,45 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["rep", "registers", "shingles"])
 
 
-def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i), from sorted shingles with repeats."""
+def terms(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numerators and denominators of 1 / sum over j of max(a_j / a_i, b_j / b_i) for the common shingles i of sorted shingles with repeats."""
     names, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x = np.bincount(place[: len(a)], minlength=len(names)).astype(float)
-    y = np.bincount(place[len(a) :], minlength=len(names)).astype(float)
-    both = np.flatnonzero((x > 0) & (y > 0))
-    if not len(both):
-        return 0.0
+    x, y = np.bincount(place[: len(a)], minlength=len(names)), np.bincount(place[len(a) :], minlength=len(names))
     with np.errstate(divide="ignore"):
         ratio = y / x
     order = np.argsort(ratio, kind="stable")
     ratio, x, y = ratio[order], x[order], y[order]
-    below = np.concatenate(([0.0], np.cumsum(x)))  # shingles of at most a ratio count by x, the others by y / ratio
-    above = np.concatenate((np.cumsum(y[::-1])[::-1], [0.0]))
+    below = np.concatenate(([0], np.cumsum(x)))  # shingles of at most a ratio count by x, the others by y / ratio
+    above = np.concatenate((np.cumsum(y[::-1])[::-1], [0]))
     common = (x > 0) & (y > 0)
     at = np.searchsorted(ratio, ratio[common], "right")
-    return float((x[common] / (below[at] + above[at] / ratio[common])).sum())
+    x, y = x[common], y[common]
+    return x * y, below[at] * y + above[at] * x
+
+
+def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum over common shingles i of 1 / sum over j of max(a_j / a_i, b_j / b_i), from sorted shingles with repeats."""
+    over, under = terms(a, b)
+    return float((over / under).sum())
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, bool]:
+    """The similarity, and whether it reaches ``least``, taken as the decimal it is written as: exact, also for ties."""
+    over, under = terms(a, b)
+    found = float((over / under).sum())
+    if abs(found - least) > MARGIN:
+        return found, found > least
+    exact = sum((n * Fraction(p, q) for (p, q), n in Counter(zip(over.tolist(), under.tolist())).items()), Fraction(0))
+    return found, exact >= Fraction(str(least))
 
 
 def verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = (batch.column(k).to_pylist() for k in (2, 3))
-        found = np.array([probability_jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(one, two)])
-        keep = pa.array(np.flatnonzero(found >= least))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(found).take(keep)], ["a", "b", "similarity"])
+        found = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) for x, y in zip(one, two)]
+        keep = pa.array([k for k, (_, enough) in enumerate(found) if enough], pa.int64())
+        similarity = pa.array([s for s, _ in found], pa.float64()).take(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), similarity], ["a", "b", "similarity"])
 
 
 def link_block(table: pa.Table, least: float, rows: int) -> pa.Table:
@@ -183,7 +200,7 @@ def link_block(table: pa.Table, least: float, rows: int) -> pa.Table:
         marked[at] = 1
         common = np.add.reduceat(marked[flat], firsts)
         marked[at] = 0
-        jaccard = common / (len(distinct[k]) + sizes - common)
+        jaccard = common / (len(distinct[k]) + sizes - common)  # one division of whole numbers: a tie is rounded as ``least`` is
         candidates = np.flatnonzero((labels[others] != labels[k]) & (np.where(single[others] & single[k], jaccard >= least, common > 0)))
         same = registers[others[candidates]] == registers[k]
         first = same.reshape(len(candidates), registers.shape[1] // rows, rows).all(axis=2).argmax(axis=1)
@@ -207,7 +224,7 @@ def link_block(table: pa.Table, least: float, rows: int) -> pa.Table:
         if a == b or pair in tested:
             continue
         tested.add(pair)
-        if probability_jaccard(sets[k], sets[m]) >= least:
+        if alike(sets[k], sets[m], least)[1]:
             parent[max(a, b)] = min(a, b)
             edges.append({"a": int(pair[0]), "b": int(pair[1])})
     return pa.Table.from_pylist(edges, pa.schema([("a", pa.int64()), ("b", pa.int64())]))

@@ -2,9 +2,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from skyledger.llm.neardup import near_duplicates, one_per_class, probability_jaccard, signatures
+from skyledger.llm.neardup import alike, link_block, near_duplicates, one_per_class, probability_jaccard, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,3 +111,32 @@ def test_registers_agree_with_the_probability_jaccard():
     weights = np.array([*one.values(), *two.values()], float)
     found = signatures(hashes, texts, weights, 2, 4000)
     assert abs((found[0] == found[1]).mean() - similarity(Counter(one), Counter(two))) < 0.03
+
+
+def tied(name, common, one, two):
+    """Two texts of ``common`` common shingles, and ``one`` and ``two`` of their own."""
+    base = [f"{name}{k}" for k in range(common + 4)]
+    return [" ".join(base + [f"{name}{side}{k}" for k in range(n)]) for side, n in (("a", one), ("b", two))]
+
+
+TIES = [(12, 1, 2), (48, 6, 6), (80, 10, 10), (216, 27, 27)]  # 12 of 15, 48 of 60, 80 of 100, 216 of 270
+
+
+def test_exact_ties_are_linked(spark):
+    docs = [(10 * n + k, text) for n, tie in enumerate(TIES) for k, text in enumerate(tied(f"t{n}x", *tie))]
+    docs += [(1000 + k, text) for k, text in enumerate(tied("less", 215, 27, 27))]
+    found = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == classes_by_all_pairs([d for d in docs if d[0] < 1000]) | {1000: 1000, 1001: 1001}
+    assert all(found[10 * n + 1] == 10 * n for n in range(len(TIES)))
+
+
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_ties_within_a_bucket(repeats):
+    for common, one, two in [*TIES, (215, 27, 27)]:
+        a, b = np.arange(common + one), np.concatenate((np.arange(common), 1000 + np.arange(two)))
+        a, b = (np.repeat(x, repeats).astype(np.uint32) for x in (a, b))
+        enough = common != 215
+        assert alike(a, b, 0.8)[1] == enough
+        registers = np.zeros(80, np.uint16).tobytes()
+        rows = [{"band": 0, "asks": asks, "rep": rep, "label": rep, "registers": registers, "shingles": x.tobytes()} for asks, rep, x in ((True, 1, a), (False, 2, b))]
+        assert link_block(pa.Table.from_pylist(rows), 0.8, 4).num_rows == enough
