@@ -1,9 +1,9 @@
 """URL filtering by explicit rules and by mined association rules, in DataFrame operations only.
 
 Explicit rules allow or block a host with all its subdomains below a path; of the fitting ones the longest decides. Where none fits,
-mined rules do: labelled URLs become transactions of tokens, with the label as one more token, and Spark's FP-growth finds the frequent
-combinations. A combination blocks if it has enough support and the label follows from it with enough confidence, and if no part of
-it does so already. The remaining rules are matched through an inverted index: each is filed under its rarest token, a URL
+mined rules do: URLs labelled bad become transactions of tokens, and Spark's FP-growth finds the combinations that ``MIN_COUNT`` of
+them hold, the same number for every size of input. All labelled URLs that hold such a combination are then counted by a join, which
+gives its confidence. A combination blocks if its confidence is enough, and if no part of it does so already. The remaining rules are matched through an inverted index: each is filed under its rarest token, a URL
 looks up its own tokens, and what it finds is verified against the whole combination. A URL is looked up once, however many pages have it.
 
 A null URL, or one without ``://``, has an empty host and path and no tokens; no rule fits it and it is allowed. If no label is given,
@@ -20,10 +20,8 @@ from .shared import cut
 
 #: Rules of the query, as given.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-MIN_SUPPORT = 0.001  # of the labelled URLs
-MIN_COUNT = 8  # labelled URLs that hold the combination and the label
-MIN_CONFIDENCE = 0.5
-BAD = "label=bad"
+MIN_COUNT = 8  # URLs labelled bad that hold the combination
+MIN_CONFIDENCE = 0.5  # share of them in all labelled URLs that hold it
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -75,17 +73,32 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", F.array_distinct(F.concat(host, endings, segments, names, scheme, fragment))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules from (tokens, bad): antecedent, rarest token, support (a count) and confidence."""
-    n = labelled.count()
-    least = min(1.0, max(min_support, min_count / n)) if n else 1.0
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
-    frequent = cut(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"))
-    with_label = frequent.filter(F.array_contains("items", BAD) & (F.size("items") > 1))
-    wholes = with_label.select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("support"))
-    rules = wholes.join(frequent, "items").withColumn("confidence", F.col("support") / F.col("freq")).filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_count))
-    single = frequent.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), F.col("freq").alias("often"))
+def repetitive() -> Column:
+    """Whether ``items`` hold a site and a label or an ending of it, which adds nothing: every URL of the site has that too."""
+    part = lambda s, t: (F.startswith(t, F.lit("site:")) & F.endswith(s, F.concat(F.lit("."), F.substring(t, 6, 1 << 30)))) | (
+        F.startswith(t, F.lit("host:")) & F.array_contains(F.split(F.substring(s, 6, 1 << 30), r"\."), F.substring(t, 6, 1 << 30))
+    )
+    return F.exists("items", lambda s: F.startswith(s, F.lit("site:")) & F.exists("items", lambda t: part(s, t)))
+
+
+def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules from (tokens, bad): antecedent, rarest token, support (a count) and confidence. Tokens are those of ``tokens()``, or others without its prefixes."""
+    bad = labelled.filter("bad").select(F.col("tokens").alias("items"))
+    n = bad.count()
+    # Half a URL less, so that no rounding asks for one more than min_count.
+    least = min(1.0, (min_count - 0.5) / n) if n else 1.0
+    frequent = FPGrowth(itemsCol="items", minSupport=least).fit(bad).freqItemsets
+    found = frequent.filter((F.col("freq") >= min_count) & ~repetitive()).select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))
+    found = cut(found)
+    # Many URLs have the same tokens. A combination is counted in the sets that hold its rarest token.
+    sets = cut(labelled.groupBy(F.sort_array("tokens").alias("tokens")).agg(F.count("*").alias("n")))
+    held = sets.select("tokens", "n", F.explode("tokens").alias("token"))
+    single = cut(held.groupBy("token").agg(F.sum("n").alias("often")))
+    by_token = found.select("items", "support", F.explode("items").alias("token")).join(single, "token")
+    filed = by_token.groupBy("items", "support").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+    holding = filed.join(held, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
+    counted = holding.groupBy("items", "support").agg(F.sum("n").alias("freq"))
+    rules = cut(counted.withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= min_confidence))
     rules = rules.select(F.md5(F.to_json("items")).alias("rule_id"), F.col("items").alias("antecedent"), "support", "confidence")
     filed = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
     # A rule that holds another rule's tokens adds nothing: the shorter one has matched already. Only rules that share the

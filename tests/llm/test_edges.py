@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and columns with clashing names, for every operator."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -217,6 +218,26 @@ def test_urls(spark):
     assert urls.judge(table.limit(0), marks).count() == 0
 
 
+def test_bad_hosts_of_large_tables(spark):
+    # Eight bad pages of a host are enough, whatever the number of other labelled URLs; seven are not.
+    spam = [f"http://eight.spam.example/p/{k}" for k in range(8)] + [f"https://seven.junk.test/q/{k}" for k in range(7)]
+    marks = spark.createDataFrame([(u, True) for u in spam] + [(f"https://good.test/q/{k}", False) for k in range(20_000)], "url string, bad boolean")
+    table = spark.createDataFrame(list(enumerate(spam)), "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urls.judge(table, marks).collect()}
+    assert verdicts == {k: "block" if k < 8 else "allow" for k in range(15)}
+
+
+def test_mined_rules_equal_counting_every_combination(spark):
+    random = np.random.default_rng(4)
+    rows = [(sorted(t for t in "abcdef" if random.random() < 0.5), bool(random.random() < 0.4)) for _ in range(300)]
+    every = [frozenset(c) for n in range(1, 7) for c in itertools.combinations("abcdef", n)]
+    counts = {c: (sum(bad for t, bad in rows if c <= set(t)), sum(c <= set(t) for t, _ in rows)) for c in every}
+    good = {c: (b, b / n) for c, (b, n) in counts.items() if b >= 8 and b / n >= 0.5}
+    want = {c: v for c, v in good.items() if not any(d < c for d in good)}
+    found = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert {frozenset(r.antecedent): (r.support, r.confidence) for r in found} == want and want and len(found) == len(want)
+
+
 def test_pseudonyms(spark, docs, nothing):
     assert pseudonyms.pseudonymise(nothing, b"k").count() == 0
     text = "Mail jo.doe@mail7.example.com, card 4111 1111 1111 1111, born 2000-02-29, +1 (212) 555-0101, 10.1.2.3."
