@@ -1,6 +1,8 @@
 """The registered queries against their SQL, or against what the tables say by a plain loop."""
 
+import datetime
 import hashlib
+import ipaddress
 import os
 
 import duckdb
@@ -110,3 +112,49 @@ def test_pseudonyms_leave_clean_texts_alone(spark, duck):
     for row in QUERIES["op3_pseudonyms"](spark, TABLES).collect():
         assert (row.text == texts[row.doc_id]) == (row.n_found == 0)
         assert len(row.text) >= len(texts[row.doc_id]) - 12 * row.n_found
+
+
+def is_date(word):
+    try:
+        return len(word) == 10 and 1900 <= datetime.date.fromisoformat(word).year <= 2099
+    except ValueError:
+        return False
+
+
+def is_address(word):
+    try:
+        return bool(ipaddress.IPv4Address(word))
+    except ValueError:
+        return False
+
+
+def is_card(word):
+    if not (word.isascii() and word.isdigit() and 13 <= len(word) <= 19 and len(set(word)) > 1):
+        return False
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(word))) % 10 == 0
+
+
+def personal(text):
+    """(format, value) of each valid card, date, address and phone, word by word."""
+    words = [w.strip("$%&#*.,;:!?\"'") for w in text.split()]
+    for k, word in enumerate(words):
+        for name, valid in (("card", is_card), ("date", is_date), ("ipv4", is_address), ("email", lambda w: "@" in w[1:-1])):
+            if valid(word):
+                yield name, word
+        if word == "+1" and k + 2 < len(words) and len(words[k + 1]) == 5 and len(words[k + 2]) == 8:
+            yield "phone", " ".join(words[k : k + 3])
+
+
+def test_pseudonyms_miss_no_value(spark, duck):
+    larger, listed = TABLES.replace("0.001", "0.01"), {}
+    for doc_id, text in duck.execute(f"SELECT doc_id, text FROM '{larger}/documents.parquet'").fetchall():
+        listed[doc_id] = (text, list(personal(text)))
+    seen = {name for _, values in listed.values() for name, _ in values}
+    assert seen >= {"card", "ipv4", "email", "phone"}
+    for row in QUERIES["op3_pseudonyms"](spark, larger).collect():
+        text, values = listed.pop(row.doc_id)
+        others = set(row.formats.split(",")) - {"", "card", "date", "ipv4", "email", "phone"}
+        assert {name for name, _ in values} == set(row.formats.split(",")) - others - {""}, (row.doc_id, row.formats, values)
+        assert row.n_found == len(values) or (others and row.n_found > len(values)), (row.doc_id, row.formats, row.n_found, values)
+        assert not [value for _, value in values if value in row.text], row.doc_id
+    assert not listed
