@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import label_from_nulls, month_key
-from skyledger.operators import dedup, enrich, existing, explore, levels
+from skyledger.operators import dedup, enrich, existing, explore, levels, ranks
 from skyledger.plans import proxy, publish, reports
 from skyledger.quality import constraints, profile, rules, suggest
 from skyledger.schemas import FLIGHT_KEY, GOLD_KEY
@@ -71,6 +71,22 @@ def rank_in_airline_day(spark, sf_dir):
     return dedup.rank_within_key(flights, ["date", "airline"], "departure_delay")
 
 
+@query
+def rank_hot_key(spark, sf_dir):
+    """Ranks within one key that holds every row, and has nearly as many distinct values as rows."""
+    lines = proxy.table(spark, sf_dir, "lineitem").select(
+        F.lit("all").alias("fleet"), "l_orderkey", "l_linenumber", "l_extendedprice"
+    )
+    return ranks.rank_hot(lines, ["fleet"], "l_extendedprice")
+
+
+@query
+def numbered_events(spark, sf_dir):
+    """Number of an event among those of its type, by time; types are few and hold many rows each."""
+    events = proxy.table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", F.col("ts").cast("date").alias("day"))
+    return ranks.numbered(events, ["event_type"], ["day", "event_id"])
+
+
 @query
 def dim_dates(spark, sf_dir):
     orders = proxy.table(spark, sf_dir, "orders")

@@ -7,6 +7,10 @@ over the flights themselves, duplicates use window functions, anti joins NOT EXI
 from __future__ import annotations
 
 from skyledger.plans.proxy import CARRIER_NAMES, REASONS
+from skyledger.schemas import FLIGHTS as FACT_COLUMNS
+from skyledger.schemas import ddl_fields
+
+SQL_TYPES = {"INT": "INTEGER", "STRING": "VARCHAR", "DATE": "DATE"}
 
 CANCELLED = "(l_returnflag = 'R' AND l_discount >= 0.09)"
 FLIGHTS = f"""
@@ -167,6 +171,10 @@ STATEMENTS: dict[str, str] = {
         f"SELECT {NO_DESTINATION}, rank() OVER (PARTITION BY date, airline ORDER BY departure_delay DESC NULLS LAST)"
         " AS rank FROM flights"
     ),
+    "rank_hot_key": "SELECT 'all' AS fleet, l_orderkey, l_linenumber, l_extendedprice,"
+    " rank() OVER (ORDER BY l_extendedprice DESC NULLS LAST) AS rank FROM lineitem",
+    "numbered_events": "SELECT event_type, event_id, user_id, CAST(ts AS DATE) AS day,"
+    " row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE), event_id) AS place FROM events",
     "dim_dates": f"WITH {CALENDAR} SELECT * FROM calendar",
     "flights_enriched": over_flights(
         f"SELECT {COLUMNS}, year, month, day, day_of_week, quarter, holiday_name, is_holiday"
@@ -291,7 +299,16 @@ STATEMENTS: dict[str, str] = {
               AND t.flight_number = s.flight_number AND t.scheduled_departure = s.scheduled_departure)""",
         SURVIVORS,
     ),
-    "wap_two_loads": over_flights(f"SELECT {COLUMNS} FROM survivors", SURVIVORS),
+    # All columns of the fact table's contract; those the batch lacks are NULL.
+    "wap_two_loads": over_flights(
+        "SELECT "
+        + ", ".join(
+            name if name in COLUMNS.split(", ") else f"CAST(NULL AS {SQL_TYPES[kind]}) AS {name}"
+            for name, kind in ddl_fields(FACT_COLUMNS)
+        )
+        + " FROM survivors",
+        SURVIVORS,
+    ),
     "delete_by_predicate": over_flights(
         f"SELECT {COLUMNS} FROM flights WHERE departure_delay IS NULL OR departure_delay <= 20"
     ),
@@ -435,11 +452,15 @@ STATEMENTS |= {
         f" (SELECT 1 FROM batch s WHERE {matched(NULL_SAFE_KEY, 's', 't')})",
         *TWO_GOLDS,
     ),
+    # Keys that both have, whose rows are not the same: window counts over both relations together.
     "changed_existing": over_flights(
-        f"SELECT * FROM (SELECT * FROM batch s SEMI JOIN stored t ON {matched(NULL_SAFE_KEY, 's', 't')}) s"
-        f" ANTI JOIN stored t ON {matched(GOLD_COLUMNS, 's', 't')}",
+        f"SELECT {', '.join(GOLD_COLUMNS)} FROM (SELECT *,"
+        f" count(*) FILTER (NOT is_batch) OVER (PARTITION BY {', '.join(NULL_SAFE_KEY)}) AS known,"
+        f" count(*) OVER (PARTITION BY {', '.join(GOLD_COLUMNS)}) AS same"
+        " FROM (SELECT *, true AS is_batch FROM batch UNION ALL SELECT *, false FROM stored))"
+        " WHERE is_batch AND known > 0 AND same = 1",
         *TWO_GOLDS,
-    ).replace("stored AS (", "stored AS MATERIALIZED (").replace("batch AS (", "batch AS MATERIALIZED ("),
+    ),
 }
 
 # Quality metrics: one SELECT per constraint.
