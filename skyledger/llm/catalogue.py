@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .mixing import copies
 from .nearest import top_k
 from .neardup import near_duplicates
+from .packing import pack
 from .pseudonyms import pseudonymise
 from .quality import THRESHOLD, held_out, score, train
 from .repeats import remove_repeats
@@ -91,6 +92,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -102,4 +108,5 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_packing": op11_packing,
 }
