@@ -12,8 +12,10 @@ from .mixing import copies
 from .nearest import top_k
 from .neardup import near_duplicates
 from .packing import pack
+from .prefixes import conversation_trie
 from .pseudonyms import pseudonymise
 from .quality import THRESHOLD, held_out, score, train
+from .repair import audits, damaged, plain_rows
 from .repeats import remove_repeats
 from .sharding import shard_rows, size_of
 from .urls import judge, labelled_pages
@@ -97,6 +99,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return audits(damaged(conversations), plain_rows(conversations))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -109,4 +120,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_packing": op11_packing,
+    "op12_repair": op12_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
