@@ -4,14 +4,15 @@ A conversation's turns are written with a template: ``### role: text</turn>`` an
 that the template's control strings begin with, and the escape itself, get a backslash before them, so nothing in a text can
 be taken for a control string and every text can be read back as it was.
 
-Windows hold whole turns. Running sums of the turns' tokens tell where a window ends: its new turns go on as long as system turn,
+Windows hold whole turns. Prefix sums of the turns' tokens tell where a window ends: its new turns go on as long as system turn,
 repeated history and new turns stay within ``budget`` tokens. Every window starts with the conversation's system turn, if the first
-turn is one, then repeats the latest turns before it as far as ``history`` tokens reach, and then has its new turns. Each turn
-is new in exactly one window, and only assistant texts among the new turns are under the loss mask, so repeated targets are masked. A
-turn that exceeds the budget alone gets a window of its own.
+turn is one, then repeats the latest turns before it as far as ``history`` tokens reach and as they leave room for the first new turn, and then has its new turns. Each turn
+is new in exactly one window, and only assistant texts among the new turns are under the loss mask, so repeated targets are masked. Only a
+window that repeats nothing and has one new turn may exceed the budget, with its system turn.
 
-Rows are sorted by conversation and turn within Spark partitions and read as a stream: a task holds one window and the history that may
-be repeated, never a conversation, however many turns it has.
+Turns are numbered along ranges of (conversation, turn) and written and counted where they lie, so a conversation of any length is spread over
+tasks. Windows are chosen on the numbers of tokens alone, in blocks of 4,096 turns that follow each other: a task holds one block and the turns that
+may be repeated. Written turns then join the windows that have them. Only the digests read a conversation as one stream, a window at a time.
 
 Null texts are empty, null roles are empty roles, turns without a number come last, and rows of equal turn are ordered by role and text. Rows
 without a conv_id are one conversation. Empty tables give no windows. Other columns are ignored.
@@ -22,17 +23,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from skyledger.operators.ranks import numbered
+
+from .shared import partitions, stored
 
 BUDGET = 512
 HISTORY = 128
+BLOCK = 4096  # turns whose numbers of tokens are looked at together
 # Fixed strings of the template.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 ESCAPED = re.compile(r"[\\#<]")
@@ -43,9 +46,17 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 
 _WINDOWS = "conv_id long, window int, text string, n_repeated int, n_turns int, n_tokens int, loss array<struct<start:int,end:int>>"
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_TURNS = "conv_id string, place long, role string, written string, start int, tokens long"
+_SPANS = "conv string, window int, first long, new long, end long, has_system boolean"
+_SPAN_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+_WINDOW_SCHEMA = pa.schema(
+    [("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int32()), ("loss", SPAN)]
+)
+
+
 def escape(text: str) -> str:
     return ESCAPED.sub(lambda m: "\\" + m[0], text)
 
@@ -54,95 +65,113 @@ def unescape(text: str) -> str:
     return UNESCAPE.sub(lambda m: m[1], text)
 
 
-@dataclass
-class Turn:
-    """A written turn: its string, the part of it that is the text, and its tokens."""
-
-    role: str
-    written: str
-    start: int
-    tokens: int
-
-    @classmethod
-    def of(cls, role: str | None, text: str | None) -> Turn:
-        head = OPEN + ESCAPED_ROLE.sub(lambda m: "\\" + m[0], role or "") + COLON
-        written = head + escape(text or "") + CLOSE
-        return cls(role or "", written, len(head), len(TOKEN.findall(written)))
-
-
-@dataclass
-class Writer:
-    """Turns of one conversation, in; windows, out."""
-
-    conv_id: int | None
-    budget: int
-    history: int
-    system: Turn | None = None
-    repeated: list[Turn] = field(default_factory=list)
-    fresh: list[Turn] = field(default_factory=list)
-    sums: list[int] = field(default_factory=lambda: [0])
-    number: int = 0
-    seen: int = 0
-
-    def add(self, turn: Turn) -> dict | None:
-        """Take a turn; gives the window that it ends, if it does."""
-        done = None
-        fixed = (self.system.tokens if self.system else 0) + sum(t.tokens for t in self.repeated)
-        if self.fresh and fixed + self.sums[-1] + turn.tokens > self.budget:
-            done = self.close()
-        self.fresh.append(turn)
-        self.sums.append(self.sums[-1] + turn.tokens)
-        self.seen += 1
-        return done
-
-    def close(self) -> dict:
-        lead = [self.system] if self.system else []
-        parts = lead + self.repeated + self.fresh
-        at, loss = 0, []
-        for k, turn in enumerate(parts):
-            if k >= len(lead) + len(self.repeated) and turn.role == "assistant":
-                loss.append({"start": at + turn.start, "end": at + len(turn.written) - len(CLOSE)})
-            at += len(turn.written)
-        out = {
-            "conv_id": self.conv_id,
-            "window": self.number,
-            "text": "".join(t.written for t in parts),
-            "n_repeated": len(lead) + len(self.repeated),
-            "n_turns": len(parts),
-            "n_tokens": sum(t.tokens for t in parts),
-            "loss": loss,
-        }
-        if self.number == 0 and self.fresh[0].role == "system":
-            self.system = self.fresh[0]
-        past = [t for t in self.repeated + self.fresh if t is not self.system]
-        # The longest run of last turns whose running sum, from the end, stays within the limit.
-        sums = np.cumsum([t.tokens for t in reversed(past)])
-        self.repeated = past[len(past) - int(np.searchsorted(sums, self.history, "right")) :]
-        self.fresh, self.sums, self.number = [], [0], self.number + 1
+def write_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """conv_id, place, role, text: each turn as it is written, where its text starts, and its tokens."""
+    for batch in batches:
+        written, starts, tokens = [], [], []
+        for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            head = OPEN + ESCAPED_ROLE.sub(lambda m: "\\" + m[0], role) + COLON
+            written.append(head + escape(text) + CLOSE)
+            starts.append(len(head))
+            tokens.append(sum(1 for _ in TOKEN.finditer(written[-1])))
+        arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(written, pa.string()), pa.array(starts, pa.int32()), pa.array(tokens, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "place", "role", "written", "start", "tokens"])
+
+
+class Chooser:
+    """Numbers of tokens of one conversation's turns, in; spans of windows, out: (first repeated, first new, end)."""
+
+    def __init__(self, budget: int, history: int, system: int | None) -> None:
+        self.budget, self.history = budget, history
+        self.lead = 1 if system is not None else 0  # the system turn is part of every window
+        self.fixed = system or 0
+        self.base, self.sums = 0, np.zeros(1, np.int64)  # tokens before each turn from number ``base`` on
+        self.new = self.lead
+
+    def add(self, tokens: np.ndarray) -> list[tuple[int, int, int]]:
+        self.sums = np.concatenate([self.sums, self.sums[-1] + np.cumsum(tokens)])
+        out = self.closed(False)
+        # Turns that no later window repeats are forgotten.
+        first = self.repeated() - self.base
+        self.base, self.sums = self.base + first, self.sums[first:]
         return out
 
+    def repeated(self) -> int:
+        """The first turn that the window of the next new turn may repeat by ``history`` alone."""
+        at = self.sums[self.new - self.base]
+        first = self.base + int(np.searchsorted(self.sums, at - self.history, "left"))
+        return min(max(first, self.lead), self.new)
+
+    def closed(self, all_known: bool) -> list[tuple[int, int, int]]:
+        out, known = [], self.base + len(self.sums) - 1
+        while self.new < known:
+            at = self.sums[self.new - self.base]
+            turn = self.sums[self.new + 1 - self.base] - at
+            room = max(self.budget - self.fixed - turn, 0)  # for repeated turns
+            first = self.base + int(np.searchsorted(self.sums, at - min(room, self.history), "left"))
+            first = min(max(first, self.lead), self.new)
+            # The last turn that still ends within the budget, but at least one.
+            limit = self.sums[first - self.base] + self.budget - self.fixed
+            end = max(self.base + int(np.searchsorted(self.sums, limit, "right")) - 1, self.new + 1)
+            if end >= known and not all_known:
+                break
+            out.append((first, self.new, min(end, known)))
+            self.new = min(end, known)
+        return out
 
-def window_batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int32()), ("loss", SPAN)]
-    return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
+def choose_windows(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a conversation come in order. A system turn alone is a window of its own; else it is new in the first one."""
+    conv, chooser, number = None, None, 0
+    for batch in batches:
+        rows: list[tuple] = []
+
+        def put(spans: list[tuple[int, int, int]]) -> None:
+            nonlocal number
+            for first, new, end in spans:
+                rows.append((conv, number, first, new - chooser.lead if number == 0 else new, end, chooser.lead == 1))
+                number += 1
+
+        def finish() -> None:
+            put(chooser.closed(True))
+            if number == 0:
+                rows.append((conv, 0, 0, 0, 1, chooser.lead == 1))
+
+        for name, starts, tokens, is_last in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            counts = np.array(tokens, np.int64)
+            if chooser is None:
+                conv, number = name, 0
+                chooser = Chooser(budget, history, int(counts[0]) if starts else None)
+            put(chooser.add(counts))
+            if is_last:
+                finish()
+                chooser = None
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _SPAN_TYPES)], names=["conv", "window", "first", "new", "end", "has_system"])
 
-def write_windows(batches: Iterator[pa.RecordBatch], budget: int, history: int) -> Iterator[pa.RecordBatch]:
-    writer: Writer | None = None
+
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows from their turns in order."""
     for batch in batches:
         rows = []
-        for conv_id, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if writer is None or writer.conv_id != conv_id:
-                if writer is not None:
-                    rows.append(writer.close())
-                writer = Writer(conv_id, budget, history)
-            done = writer.add(Turn.of(role, text))
-            if done:
-                rows.append(done)
-        if rows:
-            yield window_batch(rows)
-    if writer is not None:
-        yield window_batch([writer.close()])
+        for conv, number, turns in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at, loss = 0, []
+            for turn in turns:
+                if turn["is_new"] and turn["role"] == "assistant":
+                    loss.append({"start": at + turn["start"], "end": at + len(turn["written"]) - len(CLOSE)})
+                at += len(turn["written"])
+            rows.append(
+                {
+                    "conv_id": None if conv == "" else int(conv),
+                    "window": number,
+                    "text": "".join(t["written"] for t in turns),
+                    "n_repeated": sum(not t["is_new"] for t in turns),
+                    "n_turns": len(turns),
+                    "n_tokens": sum(t["tokens"] for t in turns),
+                    "loss": loss,
+                }
+            )
+        yield pa.RecordBatch.from_pylist(rows, _WINDOW_SCHEMA)
 
 
 def in_order(rows: DataFrame, *by: str) -> DataFrame:
@@ -152,8 +181,24 @@ def in_order(rows: DataFrame, *by: str) -> DataFrame:
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: conv_id, window, text, n_repeated (turns before the new ones), n_turns, n_tokens and the loss mask's stretches."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").isNull().alias("last"), "turn", "role", "text")
-    return in_order(turns, "last", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(lambda b: write_windows(b, budget, history), _WINDOWS)
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    turns = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv"), "turn", *filled)
+    placed = numbered(turns, ["conv"], [F.col("turn").asc_nulls_last(), "role", "text"]).select("conv", (F.col("place") - 1).alias("place"), "role", "text")
+    written = stored(placed.mapInArrow(write_turns, _TURNS).withColumnRenamed("conv_id", "conv"))
+    sizes = written.groupBy("conv").agg(F.count("*").alias("n"))
+    block = F.floor(F.col("place") / BLOCK)
+    counts = F.sort_array(F.collect_list(F.struct("place", "tokens")))  # a block's turns at most
+    starts = F.max((F.col("place") == 0) & (F.col("role") == "system"))
+    blocks = written.groupBy("conv", block.alias("block")).agg(starts.alias("starts"), counts.alias("counts")).join(sizes, "conv")
+    blocks = blocks.select("conv", "block", "starts", F.col("counts.tokens").alias("tokens"), ((F.col("block") + 1) * BLOCK >= F.col("n")).alias("is_last"))
+    laid = blocks.repartition(partitions(written.sparkSession), "conv").sortWithinPartitions("conv", "block").select("conv", "starts", "tokens", "is_last")
+    spans = stored(laid.mapInArrow(lambda b: choose_windows(b, budget, history), _SPANS))
+    places = F.sequence(F.col("first"), F.col("end") - 1)
+    places = F.when(F.col("has_system") & (F.col("first") > 0), F.concat(F.array(F.lit(0).cast("long")), places)).otherwise(places)
+    wanted = spans.select("conv", "window", "new", F.explode(places).alias("place"))
+    parts = wanted.join(written, ["conv", "place"]).select("conv", "window", F.struct("place", "role", "written", "start", "tokens", (F.col("place") >= F.col("new")).alias("is_new")).alias("turn"))
+    whole = parts.groupBy("conv", "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    return whole.mapInArrow(put_together, _WINDOWS)
 
 
 def read_turns(text: str) -> list[tuple[str, str]]:

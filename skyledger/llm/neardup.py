@@ -6,7 +6,7 @@ keeps its earliest one. A process ends as soon as its next arrival is later than
 their probability Jaccard similarity, which for equal weights is the Jaccard similarity. ``BANDS`` bands of ``ROWS`` registers make
 candidates (a pair of similarity 0.8 is missed with probability 3e-5), and every candidate is verified on the shingles themselves.
 
-Equal texts are one text from the start, represented by the smallest doc_id, so groups of copies cost nothing further. Pairs of a
+Equal texts are one text from the start, with a number of its own, so groups of copies cost nothing further. Pairs of a
 bucket are never written out. First each member is compared with one hub, which settles most groups of near copies. Buckets whose
 members are still of several classes are then cut into blocks: members outside the largest class meet all members, a block
 by a block in a task. There a pair is looked at in the first band it shares only, and verified unless its classes have been linked by
@@ -14,8 +14,10 @@ then; of texts that repeat shingles, registers are compared first, and pairs up
 let through. So no link between classes is lost, and what comes out is fewer links than members.
 Hubs and labels are joined by Spark, which splits keys with many rows; no bucket and no class is gathered as a whole.
 
-Null texts are alike to nothing, not even each other. Texts without words are alike only if equal. Rows without a doc_id get no class;
-rows that share a doc_id are compared text by text and then share one class. Other columns are ignored.
+Null texts are alike to nothing, not even each other. Texts without words are alike only if equal. Rows without a doc_id get no class. Rows
+that share a doc_id are compared text by text; `near_duplicates` then gives their doc_id one class, which joins the classes of its texts, while
+`one_per_class` goes by texts alone and keeps one row of each class of texts. Of rows with equal doc_id and text one stays. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, stored
@@ -40,7 +42,8 @@ BELOW = 5  # standard deviations of the shared registers
 SIGNATURE_BYTES = 1 << 20
 MARGIN = 1e-9  # similarities this close to the threshold are decided in fractions; sums of floats are off by far less
 
-_SIGNED = "rep long, bands array<long>, registers binary"
+_KEY = "doc_id:bigint,x:bigint,y:bigint"  # a row and its text, whose hash has 128 bits
+_SIGNED = f"key struct<{_KEY}>, bands array<long>, registers binary"
 _SETS = "rep long, registers binary, shingles binary"
 _EDGES = "a long, b long"
 _PAIRS = "a long, b long, similarity double"
@@ -116,7 +119,7 @@ def sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[p
             ids = batch.column(0).take(pa.array(piece.first + has))
             short = pa.array([x.tobytes() for x in (holders >> np.uint64(48)).astype(np.uint16)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.ListArray.from_arrays(ends, pa.array(made.ravel().view(np.int64))), short], ["rep", "bands", "registers"]
+                [ids, pa.ListArray.from_arrays(ends, pa.array(made.ravel().view(np.int64))), short], ["key", "bands", "registers"]
             )
 
 
@@ -286,23 +289,32 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(labels.join(moved, "label", "left").select("rep", F.coalesce("low", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, class_id (the smallest doc_id of its class) and rep (the smallest doc_id with an equal text)."""
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's hash (x, y), and text, of the rows that have a doc_id and a text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    same = F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y")))
-    own = texts.filter("doc_id is not null and text is not null").select("doc_id", same.alias("same"))
-    copies = stored(own.join(own.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"))
-    reps = copies.select("rep").distinct()
+    return texts.filter("doc_id is not null and text is not null").select("doc_id", *text_hash(F.col("text")), "text")
+
+
+def text_hash(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y")]
+
 
-    signed = texts.filter("doc_id is not null and text is not null").mapInArrow(lambda batches: sign(batches, bands, rows), _SIGNED)
-    signed = stored(signed.join(reps, "rep", "left_semi"))
+def text_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per distinct text: its hash (x, y), the smallest doc_id that has it (first), its number (rep) and that of its class (label)."""
+    texts = keyed_texts(docs)
+    distinct = texts.groupBy("x", "y").agg(F.min("doc_id").alias("first"))
+    distinct = stored(distinct.select("x", "y", "first", F.monotonically_increasing_id().alias("rep")))
+    numbers = distinct.select(F.col("first").alias("doc_id"), "x", "y", "rep")
+
+    signed = texts.select(F.struct("doc_id", "x", "y").alias("key"), "text").mapInArrow(lambda batches: sign(batches, bands, rows), _SIGNED)
+    signed = stored(signed.select("key.*", "bands", "registers").join(numbers, ["doc_id", "x", "y"]))
     keyed = signed.select("rep", F.posexplode("bands").alias("band", "hash"))
     shared = keyed.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub != most").drop("most")
     members = stored(keyed.join(shared, ["band", "hash"]).distinct())
 
     labels = stored(members.select("rep").distinct().select("rep", F.col("rep").alias("label")))
-    chosen = signed.join(labels, "rep", "left_semi").select("rep", "registers")
-    sets = texts.filter("text is not null").join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "registers", "text")
+    candidates = signed.select("doc_id", "x", "y", "rep", "registers").join(labels, "rep", "left_semi")
+    sets = texts.join(candidates, ["doc_id", "x", "y"]).select("rep", "registers", "text")
     sets = stored(sets.mapInArrow(shingle_sets, _SETS).dropDuplicates(["rep"]))
 
     # First each member meets the smallest hub of its buckets, which settles most of them.
@@ -311,20 +323,36 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
 
     # Then members of one bucket and different classes are compared.
     labels = components(labels, stored(links_within(members, labels, sets, least, rows)))
-    classes = copies.join(labels, "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("class_id"))
-    # One doc_id with several texts: the smallest class.
-    classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("rep").alias("rep"))
-    return texts.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("rep"))
+    return stored(distinct.join(labels, "rep", "left").select("x", "y", "first", "rep", F.coalesce("label", "rep").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, class_id (the smallest doc_id of its class) and rep (the smallest doc_id with an equal text)."""
+    classes = text_classes(docs, least, bands, rows)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hash(F.col("text").cast("string")), F.col("text").isNull().alias("no_text"))
+    own = stored(ids.filter("doc_id is not null and not no_text").join(classes, ["x", "y"]).select("doc_id", "first", "label"))
+    # A doc_id with several texts joins their classes.
+    several = own.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("most")).filter("a != most")
+    links = stored(own.join(several, "doc_id").filter("label != a").select("a", F.col("label").alias("b")).distinct())
+    labels = components(classes.select(F.col("label").alias("rep"), "label").distinct(), links).withColumnRenamed("rep", "old")
+    named = classes.join(labels.withColumnRenamed("label", "new"), F.col("label") == F.col("old")).groupBy("new").agg(F.min("first").alias("class_id"))
+    named = labels.join(named, F.col("label") == F.col("new")).select(F.col("old").alias("label"), "class_id")
+    found = own.join(named, "label").select("doc_id", "class_id", F.col("first").alias("rep"))
+    rest = ids.filter("doc_id is null or no_text").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep"))
+    return found.unionByName(rest)
 
 
 def one_per_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each class, one row per doc_id; rows without a doc_id stay."""
-    classes = stored(near_duplicates(docs, least))
-    dropped = classes.filter("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    # Repeated rows: of one doc_id the text with the smallest hash stays.
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    first = kept.filter("doc_id is not null").withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
-    return first.union(kept.filter("doc_id is null"))
+    """Of each class of texts the rows with the smallest doc_id, of equal doc_id and text one; rows without a doc_id or text stay."""
+    classes = text_classes(docs, least)
+    best = classes.groupBy("label").agg(F.min(F.struct("first", "rep")).alias("best")).select("best.rep")
+    kept = classes.join(best, "rep", "left_semi").select(F.col("first").alias("doc_id"), "x", "y")
+    # All columns travel as one, so that none can clash with those that are added.
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_hash(F.col("text").cast("string")), F.col("text").isNull().alias("no_text"))
+    chosen = rows.filter("doc_id is not null and not no_text").join(kept, ["doc_id", "x", "y"], "left_semi")
+    if not keyed_texts(docs).groupBy("doc_id", "x", "y").count().filter("count > 1").isEmpty():
+        # Copies of a row: Spark sends on one per task only.
+        order = Window.partitionBy("doc_id", "x", "y").orderBy(F.xxhash64("row"))
+        chosen = chosen.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return chosen.select("row.*").unionByName(rows.filter("doc_id is null or no_text").select("row.*"))

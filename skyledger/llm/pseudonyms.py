@@ -7,6 +7,8 @@ and the result is written in the same layout, with check digits that hold. So eq
 documents, different ones different pseudonyms, in whatever layout they are written, and with the key it can be undone.
 
 Mail addresses and keys of programs (``token = "..."``) are permuted in the same way, letter for letter and digit for digit.
+A date with slashes is read month first where that is a date, else day first. A phone number is linked with or without its country code. Not looked for
+are numbers of ten digits set apart by blanks alone (``555 123 4567``) and keys without a name before them.
 What doesn't validate stays. A null text stays null. All columns go along; names that start with ``pii_`` are reserved.
 """
 
@@ -26,6 +28,12 @@ from pyspark.sql import types as T
 HALVES = 10  # Feistel rounds
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+# The country codes of two digits. Zones 1 and 7 have one digit, all others three.
+PAIR_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58"
+    " 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
 #: Longer formats first: a value belongs to the first pattern that fits and validates.
 PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -126,9 +134,16 @@ def card(text: str, permutation: Permutation) -> str | None:
     return refill(text, body + str(-luhn(body + "0") % 10))
 
 
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with: by the numbering zones one digit, one of the pairs, or three digits."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in PAIR_CODES else 3]
+
+
 def phone(text: str, permutation: Permutation) -> str | None:
-    country = re.match(r"\+1(?=\D?\(?\d{3}\D?\D?\d{3}\D?\d{4}\Z)|\+\d{1,3}(?=[ .(-])", text)
-    head = country[0] if country else ""
+    """The number without its country code, which stays."""
+    head = "+" + country_code(re.sub(r"\D", "", text)) if text[0] == "+" else ""
+    if not text.startswith(head):
+        return None
     digits = re.sub(r"\D", "", text[len(head) :])
     if not 7 <= len(digits) <= 14:
         return None
@@ -165,13 +180,12 @@ def date(text: str, permutation: Permutation) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        # Month-first and day-first dates are permuted within their own kind, so that each can be read back as what it was.
-        ambiguous = len(orders) == 2
+        # Days up to the 12th and later ones are permuted among themselves, in every layout, so a date with slashes is read as it was written.
         n, moved = LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY
         while True:
-            moved = permutation("date" if not ambiguous else f"date/{m}", moved, n)
+            moved = permutation("date", moved, n)
             new = datetime.date.fromordinal(FIRST_DAY + moved)
-            if not ambiguous or m == 0 or new.day > 12:
+            if (new.day > 12) == (parts[d] > 12):
                 break
         out = [0, 0, 0]
         out[y], out[m], out[d] = new.year, new.month, new.day

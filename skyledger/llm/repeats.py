@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import CHUNK_BYTES, binary, bucket_of, cells, chunk_of, n_chunks, strings
-from .words import PLAIN, Slice, running, slices, whole, windows, winnow
+from .words import PLAIN, Slice, chosen, slices, whole, windows, winnow
 
 WINDOW = 20
 FIRST = 5
@@ -62,12 +62,9 @@ def survivors(piece: Slice, words: np.ndarray, lengths: list[int], repeated: lis
             break
         hashes = windows(words, size)
         places = winnow(hashes, alive, window - size + 1)
-        hits = places[np.isin(hashes[places] >> np.uint64(1), known)]
-        order = (hashes & ~np.uint64(0xFFFF)) | (~np.arange(len(hashes), dtype=np.uint64) & np.uint64(0xFFFF))
-        found = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-        found[hits] = order[hits]
-        span = window - size + 1
-        alive &= running(order, span, np.minimum) == running(found, span, np.minimum)
+        hit = np.zeros(len(hashes), bool)
+        hit[places] = np.isin(hashes[places] >> np.uint64(1), known)
+        alive &= hit[chosen(hashes, window - size + 1)]
     return alive
 
 

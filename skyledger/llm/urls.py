@@ -1,10 +1,14 @@
 """URL filtering by explicit rules and by mined association rules, in DataFrame operations only.
 
 Explicit rules allow or block a host with all its subdomains below a path; of the fitting ones the longest decides. Where none fits,
-mined rules do: URLs labelled bad become transactions of tokens, and Spark's FP-growth finds the combinations that ``MIN_COUNT`` of
-them hold, the same number for every size of input. All labelled URLs that hold such a combination are then counted by a join, which
-gives its confidence. A combination blocks if its confidence is enough, and if no part of it does so already. The remaining rules are matched through an inverted index: each is filed under its rarest token, a URL
-looks up its own tokens, and what it finds is verified against the whole combination. A URL is looked up once, however many pages have it.
+mined rules do. A rule is a smallest combination of tokens that ``MIN_COUNT`` URLs labelled bad hold, the same number for every size of input, and of which
+they are ``MIN_CONFIDENCE`` of all labelled URLs that hold it. Single tokens are counted first; what blocks by itself needs no longer combination. Of
+the others, tokens that occur in the very same labelled URLs become one item, and Spark's FP-growth finds the combinations of items among the bad URLs; a
+join counts them among all. So a path that many URLs have in common is one item, whatever its length. What is left is the number of frequent
+combinations of items with different URLs none of which blocks by itself, and the list of these items, which Spark's FP-growth brings to the driver.
+
+Rules are matched through an inverted index: each is filed under its rarest token, a URL looks up its own tokens, and what it finds is
+verified against the whole combination. A URL is looked up once, however many pages have it. Labelled URLs count as often as they are given.
 
 A null URL, or one without ``://``, has an empty host and path and no tokens; no rule fits it and it is allowed. If no label is given,
 or all are alike, nothing is mined.
@@ -73,52 +77,56 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", F.array_distinct(F.concat(host, endings, segments, names, scheme, fragment))).otherwise(F.array().cast("array<string>"))
 
 
-def repetitive() -> Column:
-    """Whether ``items`` hold a site and a label or an ending of it, which adds nothing: every URL of the site has that too."""
-    part = lambda s, t: (F.startswith(t, F.lit("site:")) & F.endswith(s, F.concat(F.lit("."), F.substring(t, 6, 1 << 30)))) | (
-        F.startswith(t, F.lit("host:")) & F.array_contains(F.split(F.substring(s, 6, 1 << 30), r"\."), F.substring(t, 6, 1 << 30))
-    )
-    return F.exists("items", lambda s: F.startswith(s, F.lit("site:")) & F.exists("items", lambda t: part(s, t)))
-
-
 def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules from (tokens, bad): antecedent, rarest token, support (a count) and confidence. Tokens are those of ``tokens()``, or others without its prefixes."""
-    bad = labelled.filter("bad").select(F.col("tokens").alias("items"))
+    """Rules from (tokens, bad): antecedent, parts, rarest, support (a count) and confidence.
+
+    Each of ``parts`` is an array of tokens of which a URL must have one, as they occur in the same labelled URLs; ``antecedent`` has the first token of
+    each. ``rarest`` is the part that the fewest URLs hold. Tokens are those of ``tokens()``, or others without its prefixes.
+    """
+    # Many URLs have the same tokens; they are one set with a weight.
+    sets = labelled.groupBy(F.sort_array("tokens").alias("tokens")).agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("id"), "tokens", "bad", "n"))
+    held = sets.select("id", "bad", "n", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"in{k}") for k in (0, 1)]
+    single = held.groupBy("token").agg(F.sum("bad").alias("support"), F.sum("n").alias("often"), *where)
+    single = cut(single.filter(F.col("support") >= min_count).withColumn("confidence", F.col("support") / F.col("often")))
+    part = F.array(F.array("token"))
+    alone = single.filter(F.col("confidence") >= min_confidence)
+    alone = alone.select(F.array("token").alias("antecedent"), part.alias("parts"), F.array("token").alias("rarest"), "support", "confidence")
+    # A combination with one of these in it adds nothing. Of the others, those in the same URLs are one item.
+    items = single.filter(F.col("confidence") < min_confidence).groupBy("in0", "in1").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("part"), F.first("often").alias("often"))
+    items = cut(items.select("item", "part", "often"))
+    named = items.select("item", "often", F.explode("part").alias("token"))
+    holding = held.join(named, "token").groupBy("id", "bad", "n").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    holding = cut(holding)
+    bad = holding.filter("bad > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("bad").cast("int")))).select("items")
     n = bad.count()
     # Half a URL less, so that no rounding asks for one more than min_count.
     least = min(1.0, (min_count - 0.5) / n) if n else 1.0
     frequent = FPGrowth(itemsCol="items", minSupport=least).fit(bad).freqItemsets
-    found = frequent.filter((F.col("freq") >= min_count) & ~repetitive()).select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))
+    found = frequent.filter((F.col("freq") >= min_count) & (F.size("items") > 1)).select(F.sort_array("items").alias("items"), F.col("freq").alias("support"))
     found = cut(found)
-    # Many URLs have the same tokens. A combination is counted in the sets that hold its rarest token.
-    sets = cut(labelled.groupBy(F.sort_array("tokens").alias("tokens")).agg(F.count("*").alias("n")))
-    held = sets.select("tokens", "n", F.explode("tokens").alias("token"))
-    single = cut(held.groupBy("token").agg(F.sum("n").alias("often")))
-    by_token = found.select("items", "support", F.explode("items").alias("token")).join(single, "token")
-    filed = by_token.groupBy("items", "support").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
-    holding = filed.join(held, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
-    counted = holding.groupBy("items", "support").agg(F.sum("n").alias("freq"))
-    rules = cut(counted.withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= min_confidence))
-    rules = rules.select(F.md5(F.to_json("items")).alias("rule_id"), F.col("items").alias("antecedent"), "support", "confidence")
-    filed = rules.select("*", F.explode("antecedent").alias("token")).join(single, "token")
-    # A rule that holds another rule's tokens adds nothing: the shorter one has matched already. Only rules that share the
-    # shorter one's rarest token can hold it.
-    first = filed.groupBy("rule_id").agg(F.min_by("token", F.struct("often", "token")).alias("rarest"))
-    indexed = rules.join(first, "rule_id")
-    shorter = indexed.select(F.col("antecedent").alias("part"), F.col("rarest").alias("token"))
-    covered = (
-        filed.join(shorter, "token")
-        .filter((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
-        .select("rule_id")
-        .distinct()
-    )
-    return cut(indexed.join(covered, "rule_id", "left_anti"))
+    # A combination is counted in the sets that hold its rarest item.
+    by_item = found.select("items", "support", F.explode("items").alias("item")).join(items.select("item", "often"), "item")
+    filed = by_item.groupBy("items", "support").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
+    looked_at = holding.select(F.col("items").alias("all"), "n", F.explode("items").alias("item"))
+    counted = filed.join(looked_at, "item").filter(F.size(F.array_except("items", "all")) == 0).groupBy("items", "support", "item").agg(F.sum("n").alias("freq"))
+    joint = cut(counted.withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= min_confidence))
+    # One that holds a shorter one adds nothing: that has matched already. Only those with the shorter one's rarest item can hold it.
+    shorter = joint.select(F.col("items").alias("inner"), "item")
+    covered = joint.select("items", F.explode("items").alias("item")).join(shorter, "item")
+    covered = covered.filter((F.size("inner") < F.size("items")) & (F.size(F.array_except("inner", "items")) == 0)).select("items").distinct()
+    joint = joint.join(covered, "items", "left_anti")
+    parts = joint.select("items", "support", "confidence", F.col("item").alias("least"), F.explode("items").alias("item")).join(items.select("item", "part"), "item")
+    joint = parts.groupBy("items", "support", "confidence").agg(F.collect_list("part").alias("parts"), F.max(F.when(F.col("item") == F.col("least"), F.col("part"))).alias("rarest"))
+    rules = alone.unionByName(joint.withColumnRenamed("items", "antecedent"))
+    return cut(rules.select(F.md5(F.to_json("antecedent")).alias("rule_id"), "antecedent", "parts", "rarest", "support", "confidence"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per URL (url, tokens) that some rule fits: the highest confidence and the rule that has it."""
-    looked_up = urls.select("url", "tokens", F.explode("tokens").alias("rarest"))
-    hits = looked_up.join(rules, "rarest").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    """Per URL (url, tokens) that some rule fits: the highest confidence and the rule that has it. A rule is filed under each token of its rarest part."""
+    filed = rules.select("rule_id", "antecedent", "parts", "confidence", F.explode("rarest").alias("token"))
+    hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(filed, "token").filter(F.forall("parts", lambda x: F.arrays_overlap(x, F.col("tokens"))))
     best = F.max_by(F.array_join("antecedent", " & "), F.struct("confidence", "rule_id"))
     return hits.groupBy("url").agg(F.max("confidence").alias("confidence"), best.alias("mined_rule"))
 

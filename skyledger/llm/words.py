@@ -109,27 +109,27 @@ def whole(text: np.ndarray, size: int) -> np.ndarray:
     return text[size - 1 :] == text[: max(0, len(text) - size + 1)]
 
 
-def running(values: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
-    """Minimum or maximum of each ``size`` neighbours, by doubling."""
-    out, done = values, 1
+def chosen(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each window of ``size`` places the place of its smallest hash; of equal ones the last. By doubling, with the places beside the hashes."""
+    least, place, done = hashes, np.arange(len(hashes)), 1
     while done < size:
         step = min(done, size - done)
-        out = best(out[:-step], out[step:]) if len(out) > step else out[:0]
+        if len(least) <= step:
+            return place[:0]
+        later = least[step:] <= least[:-step]
+        least = np.where(later, least[step:], least[:-step])
+        place = np.where(later, place[step:], place[:-step])
         done += step
-    return out
+    return place
 
 
 def winnow(hashes: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
-    """Places that hold the smallest hash of at least one window of ``size`` places; ``valid`` tells which windows count.
+    """Places that `chosen` takes in at least one window, ascending; ``valid`` tells which windows count.
 
-    Of equal hashes in a window the last is taken: the low 16 bits give way to the place, counted downwards.
+    What is taken in a window depends on nothing outside it, so texts that share a window share the place.
     """
-    if not len(valid):
-        return np.empty(0, np.int64)
-    order = (hashes & ~np.uint64(0xFFFF)) | (~np.arange(len(hashes), dtype=np.uint64) & np.uint64(0xFFFF))
-    least = np.where(valid, running(order, size, np.minimum), np.uint64(0))
-    padded = np.concatenate((np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)))
-    return np.flatnonzero(running(padded, size, np.maximum) == order)
+    places = chosen(hashes, size)[: len(valid)][valid]  # they never go backward
+    return places[np.concatenate(([True], places[1:] != places[:-1]))] if len(places) else places
 
 
 def slices(texts: pa.Array, word: np.ndarray, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[Slice]:

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and columns with clashing names, for every operator."""
 
+import datetime
 import hashlib
 import itertools
 import re
@@ -186,7 +187,7 @@ def test_chat(spark):
     rows = [(1, 0, "system", "be brief: <ok>", 9)] + [(1, k + 1, ("user", "assistant")[k % 2], said[k % 7], 9) for k in range(40)]
     rows += [(None, None, None, None, 9), (2, None, "assistant", "no number", 9), (2, 1, "assistant", "x", 9), (2, 1, "assistant", "x", 9), (3, 0, "odd: role #", "t", 9)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int")
-    windows = chat.format_windows(table, budget=300, history=60)
+    windows = chat.format_windows(table, budget=90, history=40)
     found = {r.conv_id: r for r in chat.digests(windows).collect()}
     own = [(r[2], r[3] or "") for r in rows if r[0] == 1]
     loss = "".join(t for role, t in own if role == "assistant")
@@ -195,12 +196,66 @@ def test_chat(spark):
     assert found[2].n_turns == 3 and found[None].n_turns == 1 and found[3].turns_sha256 == hashlib.sha256(b"odd: role #\nt\n").hexdigest()
     first = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(first) > 3 and all(w.text.startswith(first[0].text.split("</turn>")[0]) for w in first)
-    # Only a window with one new turn, too long by itself, exceeds the budget.
-    assert all(w.n_tokens <= 300 or w.n_turns - w.n_repeated == 1 for w in first)
+    # Only a window with nothing repeated but the system turn, and one new turn too long by itself, exceeds the budget.
+    assert all(w.n_tokens <= 90 or (w.n_turns - w.n_repeated == 1 and w.n_repeated <= 1) for w in first)
     assert any(w.n_repeated > 1 for w in first)
     assert chat.digests(chat.format_windows(table.limit(0))).count() == 0
 
 
+def plain_windows(sizes, system, budget, history):
+    """(repeated, new) turns of each window, one turn after the other, from the tokens of each."""
+    lead, windows, new = [0] if system else [], [], 1 if system else 0
+    fixed = sizes[0] if system else 0
+    while new < len(sizes) or not windows:
+        repeated = []
+        for k in range(new - 1, len(lead) - 1, -1):
+            past = sum(sizes[k:new])
+            if past > history or (new < len(sizes) and fixed + past + sizes[new] > budget):
+                break
+            repeated = list(range(k, new))
+        fresh = list(range(new, min(new + 1, len(sizes))))
+        while fresh and fresh[-1] + 1 < len(sizes) and fixed + sum(sizes[k] for k in [*repeated, *fresh, fresh[-1] + 1]) <= budget:
+            fresh.append(fresh[-1] + 1)
+        windows.append((repeated if not windows else lead + repeated, lead + fresh if not windows else fresh))
+        new = new + len(fresh)
+    return windows
+
+
+@pytest.mark.parametrize("block", [4096, 7, 1])
+def test_windows_equal_those_turn_by_turn(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    random = np.random.default_rng(block)
+    rows, said = [], {}
+    for conv in range(40):
+        system = bool(random.integers(0, 2))
+        said[conv] = [("system" if system and k == 0 else ("user", "assistant")[k % 2], "word " * int(random.choice([1, 5, 40, 90, 150]))) for k in range(int(random.integers(1, 30)))]
+        rows += [(conv, k, role, text) for k, (role, text) in enumerate(said[conv])]
+    # A long system turn, much history and a turn that just fits.
+    said[99] = [("system", "w " * 49), ("user", "w " * 100), ("assistant", "w " * 100), ("user", "w " * 120)]
+    rows += [(99, k, role, text) for k, (role, text) in enumerate(said[99])]
+    found = {}
+    for r in chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=110).orderBy("conv_id", "window").collect():
+        found.setdefault(r.conv_id, []).append(r)
+    assert set(found) == set(said)
+    for conv, turns in said.items():
+        written = [chat.OPEN + role + chat.COLON + chat.escape(text) + chat.CLOSE for role, text in turns]
+        sizes = [len(chat.TOKEN.findall(w)) for w in written]
+        want = plain_windows(sizes, turns[0][0] == "system", 200, 110)
+        assert [(w.text, w.n_repeated, w.n_turns, w.n_tokens) for w in found[conv]] == [
+            ("".join(written[k] for k in [*old, *new]), len(old), len(old) + len(new), sum(sizes[k] for k in [*old, *new])) for old, new in want
+        ]
+        masked = [w.text[x.start : x.end] for w in found[conv] for x in w.loss]
+        assert masked == [chat.escape(text) for role, text in turns if role == "assistant"]
+
+
+def test_a_long_periodic_text_keeps_its_shared_span(spark):
+    """Equal hashes on both sides of word 65,536."""
+    item = "x a b a b a b a b y"
+    docs = [(k, " ".join([f"w{n}" for n in range(place)] + item.split() + ["end"])) for k, place in enumerate(range(65_524, 65_542))]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {k: 10 for k, _ in docs}
+
+
 def test_urls(spark):
     pages = [(k, f"http://bad{k % 2}.spam.example/x/{k}.html?q=1") for k in range(60)] + [(k, f"https://good.example/y/{k}") for k in range(60, 120)]
     odd = [(200, None), (201, "no scheme"), (202, "HTTP://A.Org/"), (203, "x://ORG"), (204, "http://b.org?x"), (205, ""), (206, "http://good.example/es/1")]
@@ -238,6 +293,31 @@ def test_mined_rules_equal_counting_every_combination(spark):
     assert {frozenset(r.antecedent): (r.support, r.confidence) for r in found} == want and want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("n_good", [0, 8, 9, 40])
+def test_a_long_common_path_is_one_item(spark, n_good):
+    """Eight bad URLs with 40 common segments: with up to eight good ones beside them each token blocks, with more none, nor all together."""
+    path = "/".join(f"segment{k}" for k in range(40))
+    rows = [(f"http://h{k}.test/{path}/{'abcdefgh'[k]}", True) for k in range(8)] + [(f"http://g{k}.test/{path}/x{k}y", False) for k in range(n_good)]
+    table = spark.createDataFrame([(0, f"http://other.test/{path}/z"), (1, "http://other.example/a/b")], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urls.judge(table, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert verdicts[0] == ("block" if n_good <= 8 else "allow")
+
+
+def test_tokens_of_the_same_urls_stand_for_each_other(spark):
+    """The plain rules: every smallest combination. Rules with parts of several tokens are all their choices."""
+    random = np.random.default_rng(8)
+    rows = []
+    for _ in range(200):
+        tokens = {t for t in "abcd" if random.random() < 0.6}
+        rows.append((sorted(tokens | {t.upper() for t in tokens if t in "ab"}), bool(random.random() < (0.9 if {"a", "c"} <= tokens else 0.25))))
+    every = [frozenset(c) for n in range(1, 7) for c in itertools.combinations("abcdAB", n)]
+    counts = {c: (sum(bad for t, bad in rows if c <= set(t)), sum(c <= set(t) for t, _ in rows)) for c in every}
+    good = {c: b / n for c, (b, n) in counts.items() if b >= 8 and b / n >= 0.7}
+    want = {c: v for c, v in good.items() if not any(d < c for d in good)}
+    found = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_confidence=0.7).collect()
+    assert {frozenset(c): r.confidence for r in found for c in itertools.product(*r.parts)} == want and any(len(c) > 1 for c in want)
+
+
 def test_pseudonyms(spark, docs, nothing):
     assert pseudonyms.pseudonymise(nothing, b"k").count() == 0
     text = "Mail jo.doe@mail7.example.com, card 4111 1111 1111 1111, born 2000-02-29, +1 (212) 555-0101, 10.1.2.3."
@@ -256,6 +336,50 @@ def test_pseudonyms(spark, docs, nothing):
     assert [r.text for r in pseudonyms.pseudonymise(docs, b"k").collect()] == [r[1] for r in ROWS]
 
 
+def layouts_of_a_day(day):
+    found = [f"{day:%Y-%m-%d}", f"{day:%d.%m.%Y}", f"{day.day}.{day.month}.{day.year}", f"{day:%m/%d/%Y}", f"{day.month}/{day.day}/{day.year}"]
+    return found + ([f"{day:%d/%m/%Y}"] if day.day > 12 else [])
+
+
+def read_day(text):
+    parts = [int(x) for x in re.split(r"\D", text)]
+    if "-" in text:
+        return datetime.date(*parts)
+    if "." in text:
+        return datetime.date(parts[2], parts[1], parts[0])
+    return datetime.date(parts[2], *parts[:2]) if parts[0] <= 12 else datetime.date(parts[2], parts[1], parts[0])
+
+
+def test_a_day_has_one_pseudonym_in_all_layouts():
+    there, back = pseudonyms.Permutation(b"k"), pseudonyms.Permutation(b"k", True)
+    seen = {}
+    for n in range(0, 4000, 7):
+        day = datetime.date(2019, 1, 1) + datetime.timedelta(n)
+        made = [pseudonyms.rewrite(text, there)[0] for text in layouts_of_a_day(day)]
+        assert len({read_day(text) for text in made}) == 1
+        assert seen.setdefault(read_day(made[0]), day) == day
+        assert {read_day(pseudonyms.rewrite(text, back)[0]) for text in made} == {day}
+
+
+@pytest.mark.parametrize(
+    "forms",
+    [
+        ["+442079460958", "+44 2079460958", "+44 20 7946 0958", "+44-20-7946-0958"],
+        ["+12125550101", "+1 212 555 0101", "+1 (212) 555-0101", "(212) 555-0101", "212-555-0101", "212.555.0101"],
+        ["+3531234567", "+353 123 4567"],
+    ],
+)
+def test_a_phone_number_has_one_pseudonym_in_all_layouts(forms):
+    there, back = pseudonyms.Permutation(b"k"), pseudonyms.Permutation(b"k", True)
+    made = [pseudonyms.rewrite(f"call {text} now", there)[0] for text in forms]
+    digits = [re.sub(r"\D", "", text) for text in made]
+    code = pseudonyms.country_code(re.sub(r"\D", "", forms[0]))
+    assert len({d.removeprefix(code) if "+" in text else d for d, text in zip(digits, made)}) == 1
+    assert all(text.startswith(f"call +{code}") for form, text in zip(forms, made) if form[0] == "+")
+    assert made[0] != f"call {forms[0]} now"
+    assert [pseudonyms.rewrite(text, back)[0] for text in made] == [f"call {text} now" for text in forms]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 97, 1000])
 def test_permutations(n):
     there, back = pseudonyms.Permutation(b"k"), pseudonyms.Permutation(b"k", True)

@@ -88,6 +88,65 @@ def test_one_of_each_class_stays_once(spark, family):
     assert sorted(i for i in ids if i is not None) == sorted(set(classes_by_all_pairs(family).values()))
 
 
+def classes_by_document(docs):
+    """The same where a doc_id may have several texts: it joins their classes."""
+    classes = classes_by_all_pairs([(k, text) for k, (_, text) in enumerate(docs)])
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for k, (doc_id, text) in enumerate(docs):
+        links = [classes[k]] + ([first.setdefault(doc_id, k)] if text is not None else [])
+        for other in links:
+            a, b = root(k), root(other)
+            parent[max(a, b)] = min(a, b)
+    names = {}
+    for k, (doc_id, _) in enumerate(docs):
+        names[root(k)] = min(doc_id, names.get(root(k), doc_id))
+    return sorted((doc_id, names[root(k)]) for k, (doc_id, _) in enumerate(docs)), classes
+
+
+def unlike_texts_of_one_id():
+    random = np.random.default_rng(11)
+    a, b, c = ([f"{name}{random.integers(10**9)}" for _ in range(80)] for name in "abc")
+    near = lambda words: varied(random, words, 1)
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (2, near(a)), (3, near(b)), (4, near(c)), (4, near(a)), (5, "alone in here"), (5, None)]
+    return docs + [docs[0]] * 3 + [(1, near(b))]
+
+
+def test_a_doc_id_with_unlike_texts(spark):
+    docs = unlike_texts_of_one_id()
+    found = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == classes_by_document(docs)[0]
+
+
+def test_no_unlike_text_goes(spark):
+    """One row of each class of texts stays: the smallest doc_id's."""
+    docs = unlike_texts_of_one_id()
+    _, classes = classes_by_document(docs)
+    kept = Counter((r.doc_id, r.text) for r in one_per_class(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert all(n == 1 for n in kept.values())
+    by_class = defaultdict(list)
+    for k, (doc_id, text) in enumerate(docs):
+        by_class[classes[k]].append((doc_id, text))
+    for members in by_class.values():
+        stayed = {m for m in members if m in kept}
+        assert len(stayed) == 1
+        assert stayed.pop()[0] == min(doc_id for doc_id, _ in members)
+
+
+def test_columns_of_any_name_and_copies_of_a_row(spark):
+    rows = [(1, "same text as always in this row", k % 3, "x", 1, 2, 3, 4) for k in range(2000)]
+    names = "doc_id long, text string, _row int, rep string, place int, label int, `a.b` int, `x` int"
+    kept = one_per_class(spark.createDataFrame(rows, names))
+    assert kept.columns == ["doc_id", "text", "_row", "rep", "place", "label", "a.b", "x"]
+    assert len(kept.collect()) == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, band int")
     assert near_duplicates(docs).count() == 0

@@ -37,7 +37,7 @@ def test_query_with_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_quality_scores_are_right_on_held_out_rows(spark):

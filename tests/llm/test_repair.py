@@ -120,7 +120,7 @@ def test_random_conversations(spark, monkeypatch, segment):
 
 
 def test_nulls_copies_and_other_columns(spark):
-    rows = [(None, 0, "user", "Hi."), (None, 1, "assistant", "Ho."), (5, None, None, None), *[(6, 1, "user", "Same.")] * 300]
+    rows = [(None, 0, "user", "Hi."), (None, 1, "assistant", "Ho."), (5, None, None, None), *[(6, 1, "user", "Same.")] * 90]
     same(spark, rows)
     df = spark.createDataFrame(rows, COLUMNS).withColumns({"place": F.lit("x"), "fault": F.lit(1), "a.b": F.lit(2)})
     found = repair.audits(repair.damaged(df), repair.plain_rows(df)).collect()
