@@ -9,7 +9,8 @@ airline or airport has most of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -104,28 +105,100 @@ def aggregate_levels(
     ``time_agg_level`` and ``agg_level`` name the level. They come from ``grouping()``, so a
     dimension value that is itself NULL is not mistaken for a rolled-up one.
     """
-    dimensions = [*time_dimensions, *other_dimensions]
-    used = [d for d in dimensions if any(d in level for level in levels)]
-    types = {d: flights.schema[d].dataType for d in dimensions if d not in used and d in flights.columns}
+    used = _used([*time_dimensions, *other_dimensions], levels)
     cells = flight_cells(flights, used, reasons)
     if len(levels) == 1:
         # The cells are the level: no second grouping, and its labels are constants.
-        labels = {
-            "time_agg_level": "_".join(d for d in time_dimensions if d in used) or "all",
-            "agg_level": "_".join(d for d in other_dimensions if d in used) or "all",
-        }
-        summed = cells.withColumns({name: F.lit(label) for name, label in labels.items()})
-    else:
-        grouped = cells.groupingSets([[named(c) for c in level] for level in levels], *[named(d) for d in used])
-        summed = grouped.agg(
-            *[F.sum(name).alias(name) for name in _additive(reasons)],
-            label_from_grouping(list(time_dimensions), used).alias("time_agg_level"),
-            label_from_grouping(list(other_dimensions), used).alias("agg_level"),
-        )
+        labels = _constant_labels(used, time_dimensions, other_dimensions)
+        return _published(cells.withColumns(labels), flights, used, time_dimensions, other_dimensions, reasons, extended)
+    return sum_cells(cells, levels, time_dimensions, other_dimensions, reasons, extended, flights)
+
+
+def sum_cells(
+    cells: DataFrame,
+    levels: Sequence[Level],
+    time_dimensions: Sequence[str] = TIME_DIMENSIONS,
+    other_dimensions: Sequence[str] = OTHER_DIMENSIONS,
+    reasons: Sequence[str] = CANCELLATION_REASONS,
+    extended: bool = False,
+    typed: DataFrame | None = None,
+) -> DataFrame:
+    """The same from cells, which may be finer than the levels, as stored ones are; ``typed`` has the dimensions' types."""
+    used = _used([*time_dimensions, *other_dimensions], levels)
+    grouped = cells.groupingSets([[named(c) for c in level] for level in levels], *[named(d) for d in used])
+    summed = grouped.agg(
+        *[F.sum(name).alias(name) for name in measure_names(reasons)],
+        label_from_grouping(list(time_dimensions), used).alias("time_agg_level"),
+        label_from_grouping(list(other_dimensions), used).alias("agg_level"),
+    )
+    return _published(summed, cells if typed is None else typed, used, time_dimensions, other_dimensions, reasons, extended)
+
+
+def measure_names(reasons: Sequence[str] = CANCELLATION_REASONS) -> list[str]:
+    return list(_additive(reasons))
+
+
+def _used(dimensions: Sequence[str], levels: Sequence[Level]) -> list[str]:
+    return [d for d in dimensions if any(d in level for level in levels)]
+
+
+def _constant_labels(used: Sequence[str], time: Sequence[str], other: Sequence[str]) -> dict[str, Column]:
+    names = {"time_agg_level": time, "agg_level": other}
+    return {label: F.lit("_".join(d for d in dims if d in used) or "all") for label, dims in names.items()}
+
+
+def _published(
+    summed: DataFrame, typed: DataFrame, used: Sequence[str], time: Sequence[str], other: Sequence[str], reasons: Sequence[str], extended: bool
+) -> DataFrame:
+    """Dimensions, metrics and labels in contract order; a dimension that no level uses is NULL."""
+    dimensions = [*time, *other]
+    types = {d: typed.schema[d].dataType for d in dimensions if d not in used and d in typed.columns}
     columns = [named(d) if d in used else F.lit(None).cast(types.get(d, "string")).alias(d) for d in dimensions]
     return summed.select(*columns, *_metrics(reasons, extended), "time_agg_level", "agg_level")
 
 
+def aggregate_lattice(
+    flights: DataFrame,
+    levels: Sequence[Level],
+    time_dimensions: Sequence[str] = TIME_DIMENSIONS,
+    other_dimensions: Sequence[str] = OTHER_DIMENSIONS,
+    reasons: Sequence[str] = CANCELLATION_REASONS,
+    extended: bool = False,
+    write: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> DataFrame:
+    """The rows of `aggregate_levels`, for so many levels that one expand would multiply the cells by their number.
+
+    Each level is summed from its smallest parent, a level of one dimension more, down from the cells; parents of a generation are
+    those with the fewest rows. ``write`` stores a level that has children and gives it back, so that it is computed once; the
+    counts of rows come from what is written.
+    """
+    dimensions = [*time_dimensions, *other_dimensions]
+    wanted = [tuple(d for d in dimensions if d in level) for level in levels]
+    top = tuple(_used(dimensions, levels))
+    measures = measure_names(reasons)
+    tables = {top: write(flight_cells(flights, list(top), reasons), "_".join(top) or "all")}
+    sizes = {top: tables[top].count()}
+    found = [(top, tables[top])] if top in wanted else []
+    for n in range(len(top) - 1, -1, -1):
+        for level in [w for w in dict.fromkeys(wanted) if len(w) == n and w != top]:
+            parent = min((p for p in sizes if set(level) < set(p)), key=lambda p: (sizes[p], len(p), p))
+            table = tables[parent].groupBy(*[named(d) for d in level]).agg(*[F.sum(m).alias(m) for m in measures])
+            if any(set(other) < set(level) for other in wanted):
+                table = write(table, "_".join(level))
+                tables[level], sizes[level] = table, table.count()
+            found.append((level, table))
+    parts = [
+        _published(
+            table.withColumns(_constant_labels(level, time_dimensions, other_dimensions)).withColumns(
+                {d: F.lit(None).cast(flights.schema[d].dataType) for d in dimensions if d not in level}
+            ),
+            flights, dimensions, time_dimensions, other_dimensions, reasons, extended,
+        )
+        for level, table in found
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gold(
     flights: DataFrame,
     calendar: DataFrame | None = None,
@@ -134,16 +207,32 @@ def gold(
 ) -> DataFrame:
     """The aggregate table from silver flights: every level of ``levels`` in one result.
 
-    Without a ``calendar`` the date attributes are computed from the date; with one,
-    flights are joined to it and those on other dates drop out. A report that reads one
+    Without a ``calendar`` the date attributes are computed from the date; with one, flights on other dates drop out: they
+    are reduced to cells per date first, and the cells are joined to it. A report that reads one
     level only can ask for just that one.
     """
-    time = TIME_DIMENSIONS
     if calendar is None:
-        dated = with_date_parts(flights, *time)
+        return _contract(aggregate_levels(with_date_parts(flights, *TIME_DIMENSIONS), levels, extended=extended))
+    return gold_from_cells(daily_cells(flights), calendar, levels, extended)
+
+
+def daily_cells(flights: DataFrame, reasons: Sequence[str] = CANCELLATION_REASONS) -> DataFrame:
+    """Cells per date, airline and origin: all that the aggregate table is made of. Rows without a date are in no level."""
+    return flight_cells(flights.where("date IS NOT NULL"), ("date", *OTHER_DIMENSIONS), reasons)
+
+
+def gold_from_cells(
+    cells: DataFrame, calendar: DataFrame | None = None, levels: Sequence[Level] = GOLD_LEVELS, extended: bool = False
+) -> DataFrame:
+    """The aggregate table from `daily_cells`, stored or not."""
+    if calendar is None:
+        dated = with_date_parts(cells, *TIME_DIMENSIONS)
     else:
-        dated = with_calendar(flights, calendar.select("date", *time))
-    result = aggregate_levels(dated, levels, extended=extended)
+        dated = with_calendar(cells, calendar.select("date", *TIME_DIMENSIONS))
+    return _contract(sum_cells(dated, levels, extended=extended))
+
+
+def _contract(result: DataFrame) -> DataFrame:
     kinds = dict(ddl_fields(GOLD))
     return result.select(*[named(c).cast(kinds[c]) if c in GOLD_DIMENSIONS else named(c) for c in result.columns])
 

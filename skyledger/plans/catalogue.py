@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import label_from_nulls, month_key
+from skyledger.functions.columns import delay_flag, label_from_nulls, month_key
 from skyledger.operators import dedup, enrich, existing, explore, levels, ranks
-from skyledger.plans import proxy, publish, reports
+from skyledger.plans import proxy, publish, reports, states
 from skyledger.quality import constraints, profile, rules, suggest
-from skyledger.schemas import FLIGHT_KEY, GOLD_KEY
+from skyledger.schemas import FLIGHT_KEY, GOLD_KEY, MONTH_COLUMN
 from skyledger.sources import calendar, files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,6 +428,23 @@ def gold_after_delete(spark, sf_dir):
     return tables.read_table(spark, summary)
 
 
+@query
+def gold_from_cells(spark, sf_dir):
+    """The aggregate from stored cells, after an insert, a replacement and a delete, each of which refreshes its own months."""
+    fact = _new_table(spark, "fact_flights")
+    store = states.cell_store(spark, fact, tables.sibling(fact, "cells"))
+    config = {"fact_flights": FLIGHT_RULES}
+    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    later = flights.where("airline = '2-HIGH' AND year(date) = 1996 AND cancelled = 0").withColumn("departure_delay", F.col("departure_delay") + 30)
+    later = later.withColumn("is_delayed", delay_flag())
+    for batch, mode in ((flights.where(FIRST_LOAD), "insert_only"), (flights, "insert_only"), (later, "replace")):
+        publish.write_audit_publish(batch, fact, mode=mode, rules=config, before_write=store.note)
+        store.refresh()
+    tables.delete_where(spark, fact, "airline = '5-LOW' OR year(date) = 1997", before_write=store.note)
+    store.refresh()
+    return levels.gold_from_cells(store.read().drop(MONTH_COLUMN))
+
+
 @query
 def delete_from_table(spark, sf_dir):
     """A table delete; rows for which the predicate is NULL stay."""

@@ -648,6 +648,16 @@ STATEMENTS["gold_after_delete"] = over_flights(
     DATED.replace("FROM flights", "FROM left_over"),
     gold(),
 )
+STATEMENTS["gold_from_cells"] = over_flights(
+    "SELECT * FROM gold",
+    SURVIVORS,
+    "late AS (SELECT *, airline = '2-HIGH' AND year(date) = 1996 AND cancelled = 0 AS changed FROM survivors"
+    " WHERE airline <> '5-LOW' AND year(date) <> 1997)",
+    "changed AS (SELECT * REPLACE (CASE WHEN changed THEN departure_delay + 30 ELSE departure_delay END AS departure_delay,"
+    " CASE WHEN changed THEN CAST(departure_delay + 30 > 0 AS INTEGER) ELSE is_delayed END AS is_delayed) FROM late)",
+    DATED.replace("FROM flights", "FROM changed"),
+    gold(),
+)
 STATEMENTS["delete_from_table"] = over_flights(
     f"SELECT {COLUMNS} FROM survivors WHERE departure_delay IS NULL OR departure_delay <= 20", SURVIVORS
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -44,6 +44,7 @@ def write_audit_publish(
     rules: dict[str, dict] | None = None,
     audit_scope: str = "months",
     by_month: bool | None = None,
+    before_write: Callable[[list[str | None]], None] | None = None,
 ) -> bool:
     """Stage, audit, publish. True when rows were published, False when there was nothing new.
 
@@ -67,6 +68,8 @@ def write_audit_publish(
     that reads files, so a lost executor costs no recomputation of the batch. The staging tables have
     names of their own in every load and are dropped in any case. After a crash during the final
     append, running the load again completes it, as rows already there are not added twice.
+
+    ``before_write`` is told the months that the rows to publish have, after the audit and before anything is written.
     """
     if mode not in ("insert_only", "replace", "sync"):
         raise ValueError(f"mode must be insert_only, replace or sync, not {mode}")
@@ -113,6 +116,8 @@ def write_audit_publish(
         outcome = verify_parts(parts, spark)
         if not outcome.passed:
             raise AuditFailed(table, outcome)
+        if before_write is not None:
+            before_write(stored_months(spark, stage) if by_month else [])
         if not exists:
             create_for(batch, table, by_month)
         if mode == "insert_only" or not exists:

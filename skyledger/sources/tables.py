@@ -7,7 +7,7 @@ of its date, so loads, deletes and comparisons touch only the months concerned.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,11 +177,16 @@ def without_matching(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
-def delete_where(spark: SparkSession, table: str, predicate: Column | str) -> None:
+def delete_where(
+    spark: SparkSession,
+    table: str,
+    predicate: Column | str,
+    before_write: Callable[[list[str | None]], None] | None = None,
+) -> None:
     """Delete the rows that meet the predicate; rows where it is NULL stay.
 
     On a table laid out by month only the months with such rows are rewritten, and those
-    left empty are dropped.
+    left empty are dropped; ``before_write`` is told these months before anything is written.
     """
     stored = spark.table(table)
     condition = F.expr(predicate) if isinstance(predicate, str) else predicate
@@ -191,13 +196,20 @@ def delete_where(spark: SparkSession, table: str, predicate: Column | str) -> No
     touched = months_of(stored.where(condition))
     if not touched:
         return
+    if before_write is not None:
+        before_write(touched)
     survivors = without_matching(only_months(stored, touched), condition)
-    left = months_of(survivors)
+    replace_months(survivors, table, touched)
+
+
+def replace_months(rows: DataFrame, table: str, months: Sequence[str | None]) -> None:
+    """Make ``rows`` the content of the given months; months that have none are dropped. ``rows`` may read the table."""
+    left = months_of(rows)
     if left:
-        overwrite_months(survivors, table)
-    for month in set(touched) - set(left):
+        overwrite_months(rows, table)
+    for month in set(months) - set(left):
         value = "NULL" if month is None else f"'{month}'"
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH_COLUMN} = {value})")
+        rows.sparkSession.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH_COLUMN} = {value})")
 
 
 def overwrite_months(rows: DataFrame, table: str) -> None:
