@@ -160,41 +160,34 @@ def _published(
 def aggregate_lattice(
     flights: DataFrame,
     levels: Sequence[Level],
+    write: Callable[[DataFrame], DataFrame],
     time_dimensions: Sequence[str] = TIME_DIMENSIONS,
     other_dimensions: Sequence[str] = OTHER_DIMENSIONS,
     reasons: Sequence[str] = CANCELLATION_REASONS,
     extended: bool = False,
-    write: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
-    """The rows of `aggregate_levels`, for so many levels that one expand would multiply the cells by their number.
+    """The rows of `aggregate_levels`, for so many levels that expanding the cells for each would multiply them.
 
-    Each level is summed from its smallest parent, a level of one dimension more, down from the cells; parents of a generation are
-    those with the fewest rows. ``write`` stores a level that has children and gives it back, so that it is computed once; the
-    counts of rows come from what is written.
+    The cells, and the levels with one dimension less, are stored by ``write``, which gives back what it stored. Every
+    level is then summed from the smallest of these that has its dimensions, all levels of one parent in one expand. So what an
+    expand multiplies is a table that has lost its widest dimension, where the level allows.
     """
     dimensions = [*time_dimensions, *other_dimensions]
-    wanted = [tuple(d for d in dimensions if d in level) for level in levels]
+    wanted = list(dict.fromkeys(tuple(d for d in dimensions if d in level) for level in levels))
     top = tuple(_used(dimensions, levels))
     measures = measure_names(reasons)
-    tables = {top: write(flight_cells(flights, list(top), reasons), "_".join(top) or "all")}
-    sizes = {top: tables[top].count()}
-    found = [(top, tables[top])] if top in wanted else []
-    for n in range(len(top) - 1, -1, -1):
-        for level in [w for w in dict.fromkeys(wanted) if len(w) == n and w != top]:
-            parent = min((p for p in sizes if set(level) < set(p)), key=lambda p: (sizes[p], len(p), p))
-            table = tables[parent].groupBy(*[named(d) for d in level]).agg(*[F.sum(m).alias(m) for m in measures])
-            if any(set(other) < set(level) for other in wanted):
-                table = write(table, "_".join(level))
-                tables[level], sizes[level] = table, table.count()
-            found.append((level, table))
+    stored = {top: write(flight_cells(flights, list(top), reasons))}
+    for parent in combinations(top, len(top) - 1) if len(top) > 1 else ():
+        cells = stored[top].groupBy(*[named(d) for d in parent]).agg(*[F.sum(m).alias(m) for m in measures])
+        stored[parent] = write(cells)
+    sizes = {parent: table.count() for parent, table in stored.items()}  # from the files' own counts
+    children: dict[Level, list[Level]] = {}
+    for level in wanted:
+        parent = min((p for p in stored if set(level) <= set(p)), key=lambda p: (sizes[p], p))
+        children.setdefault(parent, []).append(level)
     parts = [
-        _published(
-            table.withColumns(_constant_labels(level, time_dimensions, other_dimensions)).withColumns(
-                {d: F.lit(None).cast(flights.schema[d].dataType) for d in dimensions if d not in level}
-            ),
-            flights, dimensions, time_dimensions, other_dimensions, reasons, extended,
-        )
-        for level, table in found
+        sum_cells(stored[parent], chosen, time_dimensions, other_dimensions, reasons, extended, flights)
+        for parent, chosen in children.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

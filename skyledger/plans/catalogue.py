@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.columns import delay_flag, label_from_nulls, month_key
 from skyledger.operators import dedup, enrich, existing, explore, levels, ranks
-from skyledger.plans import proxy, publish, reports, states
+from skyledger.plans import metrics, proxy, publish, reports, states
 from skyledger.quality import constraints, profile, rules, suggest
 from skyledger.schemas import FLIGHT_KEY, GOLD_KEY, MONTH_COLUMN
 from skyledger.sources import calendar, files, tables
@@ -196,6 +196,32 @@ def nested_cube(spark, sf_dir):
     return _delay_levels(spark, sf_dir, list(levels.TIME_DIMENSIONS), ["airline"], chosen)
 
 
+def _in_shared_folder(df):
+    path = files.shared_folder(df.sparkSession, "levels")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+SIX_DIMENSIONS = ("year", "airline", "origin_airport", "tail_number", "cancelled", "cancellation_reason")
+
+
+@query
+def powerset_63(spark, sf_dir):
+    """All 63 combinations of six dimensions, one of them with many values."""
+    dated = enrich.with_date_parts(proxy.wide_flights(spark, sf_dir), "year")
+    chosen = levels.cube_levels(SIX_DIMENSIONS, grand_total=False)
+    found = levels.aggregate_lattice(dated, chosen, _in_shared_folder, SIX_DIMENSIONS[:1], SIX_DIMENSIONS[1:])
+    return found.select(*SIX_DIMENSIONS, *DELAYS, "time_agg_level", "agg_level")
+
+
+@query
+def rollup_tail_number(spark, sf_dir):
+    dated = enrich.with_date_parts(proxy.wide_flights(spark, sf_dir), "year", "month")
+    chosen = levels.rollup_levels(["airline", "tail_number", ("year", "month")])
+    found = levels.aggregate_levels(dated, chosen, ["year", "month"], ["airline", "tail_number"])
+    return found.select("year", "month", "airline", "tail_number", *DELAYS, "time_agg_level", "agg_level")
+
+
 @query
 def powerset_sets(spark, sf_dir):
     dimensions = ["year", "airline", "origin_airport", "cancelled", "cancellation_reason"]
@@ -604,6 +630,36 @@ def dq_results(spark, sf_dir):
     return _metrics(proxy.flights(spark, sf_dir), check, FLIGHT_PROBES)
 
 
+# Constraints that see the whole table: shares, a condition over aggregates, and keys without the date, one within the other.
+WHOLE_TABLE = constraints.Check(
+    "whole table",
+    (
+        constraints.holds_overall(["cancelled", "cancellation_reason"], "count(*) = count_if(cancelled = 1) + count_if(cancellation_reason IS NULL)"),
+        constraints.holds_overall(["departure_delay"], "sum(departure_delay) < 2 * count(departure_delay)"),
+        constraints.uniqueness(["airline", "flight_number", "origin_airport"], constraints.at_least(0.4)),
+        constraints.uniqueness(["airline", "flight_number"], constraints.at_least(0.4)),
+    ),
+)
+
+
+@query
+def dq_incremental(spark, sf_dir):
+    """Metrics from state per month, after two loads and a delete; each refreshes the months it touched."""
+    fact = _new_table(spark, "fact_flights")
+    check = rules.table_check("fact_flights", {"fact_flights": FLIGHT_RULES})
+    state = metrics.MetricStates(spark, fact, tables.sibling(fact, "metrics"), [check, FLIGHT_PROBES, WHOLE_TABLE])
+    flights = proxy.flights(spark, sf_dir)
+    for batch in (flights.where(FIRST_LOAD), flights.where(f"NOT ({FIRST_LOAD})")):
+        if not spark.catalog.tableExists(fact):
+            tables.create_for(batch, fact, True)
+        state.note(tables.months_of(batch.select(month_key("date").alias(MONTH_COLUMN))))
+        tables.append(batch, fact)
+        state.refresh()
+    tables.delete_where(spark, fact, "airline = '5-LOW' OR year(date) = 1997", before_write=state.note)
+    state.refresh()
+    return rounded(state.metrics().select(*METRIC_COLUMNS), "metric")
+
+
 @query
 def dq_gold_results(spark, sf_dir):
     check = rules.table_check("agg_fact_flights")

@@ -681,7 +681,7 @@ base AS (
 flagged AS (SELECT *, NOT is_cancelled AND l_linestatus = 'O' AND l_tax >= 0.08 AS is_diverted FROM base),
 wide AS (
   SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS airline, CAST(l_partkey AS INTEGER) AS flight_number,
-    n_name AS origin_airport, CASE WHEN l_linenumber < 7 THEN o_orderstatus END AS destination_airport,
+    'N' || CAST(l_suppkey AS VARCHAR) AS tail_number, n_name AS origin_airport, CASE WHEN l_linenumber < 7 THEN o_orderstatus END AS destination_airport,
     l_linenumber AS scheduled_departure, CASE WHEN NOT is_cancelled THEN l_linenumber + 1 END AS departure_time,
     CASE WHEN NOT is_cancelled OR l_linenumber = 1 THEN delay END AS departure_delay,
     CAST(round(l_tax * 100) AS INTEGER) AS taxi_out, CASE WHEN NOT is_cancelled THEN l_linenumber + 2 END AS wheels_off,
@@ -727,6 +727,36 @@ FACT_METRICS = (
                " AS DOUBLE)", "wide"),
     ]
 )
+LEFT_METRICS = [x.replace("FROM flights", "FROM left_over") for x in FLIGHT_METRICS] + [
+    metric("whole table", "Error", "aggregate", "cancelled, cancellation_reason",
+           "CAST(count(*) = count(*) FILTER (cancelled = 1) + count(*) FILTER (cancellation_reason IS NULL) AS DOUBLE)", "left_over"),
+    metric("whole table", "Error", "aggregate", "departure_delay",
+           "CAST(sum(departure_delay) < 2 * count(departure_delay) AS DOUBLE)", "left_over"),
+    unique("whole table", "airline, flight_number, origin_airport", "left_over", 0.4),
+    unique("whole table", "airline, flight_number", "left_over", 0.4),
+]
+STATEMENTS["dq_incremental"] = over_flights(
+    " UNION ALL ".join(LEFT_METRICS), "left_over AS (SELECT * FROM flights WHERE airline <> '5-LOW' AND year(date) <> 1997)"
+)
+SIX = "year, airline, origin_airport, tail_number, cancelled, cancellation_reason"
+WIDE_DATED = """
+dated AS (SELECT *, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month FROM wide WHERE date IS NOT NULL)"""
+
+
+def wide_levels(columns: str, grouping: str, time: str, other: str) -> str:
+    inner = f"SELECT {columns}, {DELAYS}, {label(time)} AS time_agg_level, {label(other)} AS agg_level FROM dated GROUP BY {grouping}"
+    return f"WITH {WIDE}, {WIDE_DATED} SELECT * FROM ({inner})"
+
+
+STATEMENTS["powerset_63"] = (
+    wide_levels(SIX, f"CUBE ({SIX})", "year", SIX.removeprefix("year, ")) + " WHERE NOT (time_agg_level = 'all' AND agg_level = 'all')"
+)
+STATEMENTS["rollup_tail_number"] = wide_levels(
+    "year, month, airline, tail_number",
+    "GROUPING SETS ((airline, tail_number, year, month), (airline, tail_number), (airline), ())",
+    "year, month",
+    "airline, tail_number",
+)
 STATEMENTS["dq_fact_rules"] = f"WITH {WIDE} " + " UNION ALL ".join(FACT_METRICS)
 STATEMENTS["anomalies"] = f"WITH {WIDE} " + " UNION ALL ".join(
     f"SELECT '{name}' AS probe, count(*) FILTER ({condition}) AS row_count FROM wide"

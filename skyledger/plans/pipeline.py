@@ -58,7 +58,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("data_dir", help="folder with the four raw CSV files")
     parser.add_argument("database", help="database of the published tables")
-    parser.add_argument("--audit-scope", choices=("table", "months"), default="months")
+    parser.add_argument("--audit-scope", choices=("table", "months", "state"), default="months")
     options = parser.parse_args()
     spark = SparkSession.builder.appName("flight load").getOrCreate()
     for table, written in run(spark, options.data_dir, options.database, audit_scope=options.audit_scope).items():

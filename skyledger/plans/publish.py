@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from skyledger.functions.columns import named
+from skyledger.functions.columns import named, quoted
 from skyledger.operators.existing import merge_replace, without_existing
+from skyledger.plans.metrics import MetricStates
 from skyledger.quality.constraints import Check, Constraint, fully
 from skyledger.quality.rules import TABLE_RULES, table_check
-from skyledger.quality.verify import Verification, verify_parts
+from skyledger.quality.verify import Verification, conclude, verify_parts
 from skyledger.schemas import MONTH_COLUMN, TABLES
 from skyledger.sources.tables import (
     append,
@@ -59,7 +60,8 @@ def write_audit_publish(
     by month and the date in its key, constraints for which that is exact see only the months the batch
     touches: predicates that every row has to meet and uniqueness of keys with the date, as what is
     stored has passed them before. All others - tolerances, aggregates, keys without the date -
-    see the whole table in either scope.
+    see the whole table in either scope. ``audit_scope="state"`` keeps the metrics' state per month in a table beside
+    this one, so these too are exact and yet only the touched months are read; a table that has none yet is read once.
 
     Stored rows are unique in their key, having passed the audit or replaced their
     predecessors, so the comparison shuffles them as they are.
@@ -73,8 +75,8 @@ def write_audit_publish(
     """
     if mode not in ("insert_only", "replace", "sync"):
         raise ValueError(f"mode must be insert_only, replace or sync, not {mode}")
-    if audit_scope not in ("table", "months"):
-        raise ValueError(f"audit_scope must be table or months, not {audit_scope}")
+    if audit_scope not in ("table", "months", "state"):
+        raise ValueError(f"audit_scope must be table, months or state, not {audit_scope}")
     spark = batch.sparkSession
     name = base_name(table)
     check = table_check(name, TABLE_RULES if rules is None else rules)
@@ -108,16 +110,26 @@ def write_audit_publish(
             return False
         if exists and mode == "replace" and key_has_month:
             stored = only_months(spark.table(table), stored_months(spark, stage))
-        narrow, wide = _split(check) if audit_scope == "months" and key_has_month else (None, check)
-        everything = spark.table(table) if exists else stored
-        parts = [(_after(everything.drop(MONTH_COLUMN), staged, key, mode), wide)]
-        if narrow is not None:
-            parts.append((_after(stored.drop(MONTH_COLUMN), staged, key, mode), narrow))
-        outcome = verify_parts(parts, spark)
+        months = stored_months(spark, stage) if by_month else []
+        state = None
+        if audit_scope == "state" and key_has_month and check.constraints:
+            state = MetricStates(spark, table, metrics_table(table), [check])
+            state.refresh()
+            after = _after(only_months(stored, months).drop(MONTH_COLUMN) if exists else stored.drop(MONTH_COLUMN), staged, key, mode)
+            outcome = conclude(state.metrics_after(after, months).orderBy("number").collect(), spark)
+        else:
+            narrow, wide = _split(check) if audit_scope == "months" and key_has_month else (None, check)
+            everything = spark.table(table) if exists else stored
+            parts = [(_after(everything.drop(MONTH_COLUMN), staged, key, mode), wide)]
+            if narrow is not None:
+                parts.append((_after(stored.drop(MONTH_COLUMN), staged, key, mode), narrow))
+            outcome = verify_parts(parts, spark)
         if not outcome.passed:
             raise AuditFailed(table, outcome)
         if before_write is not None:
-            before_write(stored_months(spark, stage) if by_month else [])
+            before_write(months)
+        if state is not None:
+            state.note(months)
         if not exists:
             create_for(batch, table, by_month)
         if mode == "insert_only" or not exists:
@@ -126,12 +138,20 @@ def write_audit_publish(
             overwrite_months(_after(stored.drop(MONTH_COLUMN), staged, key, mode), table)
         else:
             replace_content(_after(read_table(spark, table), staged, key, mode), table)
+        if state is not None:
+            state.refresh()
         return True
     finally:
         drop_table(spark, audit)
         drop_table(spark, incoming)
 
 
+def metrics_table(table: str) -> str:
+    """Name of the table with the state of a table's metrics."""
+    *database, name = table.replace("`", "").split(".")
+    return ".".join(quoted(part) for part in (*database, f"metrics_{name}"))
+
+
 def _synchronize(arrived: DataFrame, table: str, check: Check, by_month: bool) -> bool:
     """Publish the staged rows as the whole content; False if the table has just these rows already."""
     spark = arrived.sparkSession

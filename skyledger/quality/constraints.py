@@ -2,7 +2,7 @@
 
 A constraint has a metric between 0 and 1, the fraction of rows (or keys) that satisfy it,
 and an assertion on the metric. All row-level metrics of a verification are computed by one
-aggregation in one pass; only uniqueness needs its own grouping, one per distinct key.
+aggregation in one pass; only uniqueness needs its own grouping, one per longest key.
 """
 
 from __future__ import annotations
@@ -143,9 +143,23 @@ def row_metric(constraint: Constraint) -> Column:
     return ratio(F.count_if(F.expr(constraint.predicate)), F.count(F.lit(1)))
 
 
-def uniqueness_metric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row ``metric``: rows with a key of their own among all rows."""
-    counts = df.groupBy(*[named(c) for c in columns]).agg(F.count(F.lit(1)).alias("_rows"))
+def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per key as ``_rows``, from rows or from the counts of a longer key."""
+    counted = F.sum("_rows") if "_rows" in df.columns else F.count(F.lit(1))
+    return df.groupBy(*[named(c) for c in columns]).agg(counted.alias("_rows"))
+
+
+def nested_key_counts(df: DataFrame, keys: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
+    """Rows per key for each key: the relation is counted once per longest key, keys within it are summed from those counts."""
+    counts: dict[tuple[str, ...], DataFrame] = {}
+    for key in sorted(keys, key=len, reverse=True):
+        longer = [k for k in counts if set(key) < set(k)]
+        counts[key] = key_counts(counts[min(longer, key=len)] if longer else df, key)
+    return counts
+
+
+def uniqueness_metric(counts: DataFrame) -> DataFrame:
+    """One row ``metric``: rows with a key of their own among all rows, from `key_counts`."""
     return counts.agg(ratio(F.count_if(F.col("_rows") == 1), F.sum("_rows")).alias("metric"))
 
 
@@ -158,7 +172,7 @@ def containment_metric(df: DataFrame, column: str, values: DataFrame) -> DataFra
     return joined.agg(ratio(inside, F.sum("_rows")).alias("metric"))
 
 
-def _described(number: int, check: Check, constraint: Constraint, metric: Column) -> Column:
+def described(number: int, check: Check, constraint: Constraint, metric: Column) -> Column:
     return F.struct(
         F.lit(number).alias("number"),
         F.lit(check.name).alias("check"),
@@ -174,25 +188,26 @@ def _described(number: int, check: Check, constraint: Constraint, metric: Column
 def constraint_metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per constraint: check, check_level, rule, columns, constraint, metric, passed. Lazy.
 
-    The relation is read once for all row-level constraints together and once per key set.
+    The relation is read once for all row-level constraints together and once per key set that lies within no other.
     """
     numbered = list(enumerate((check, constraint) for check in checks for constraint in check.constraints))
     parts = []
     plain = [(n, check, c) for n, (check, c) in numbered if not c.is_uniqueness and c.values is None]
     if plain:
         metrics = df.agg(*[row_metric(c).alias(f"m{n}") for n, _, c in plain])
-        rows = F.array(*[_described(n, check, c, F.col(f"m{n}")) for n, check, c in plain])
+        rows = F.array(*[described(n, check, c, F.col(f"m{n}")) for n, check, c in plain])
         parts.append(metrics.select(F.inline(rows)))
     keys: dict[tuple[str, ...], list[tuple[int, Check, Constraint]]] = {}
     for n, (check, c) in numbered:
         if c.is_uniqueness:
             keys.setdefault(c.columns, []).append((n, check, c))
+    counts = nested_key_counts(df, list(keys))
     for columns, users in keys.items():
-        rows = F.array(*[_described(n, check, c, F.col("metric")) for n, check, c in users])
-        parts.append(uniqueness_metric(df, columns).select(F.inline(rows)))
+        rows = F.array(*[described(n, check, c, F.col("metric")) for n, check, c in users])
+        parts.append(uniqueness_metric(counts[columns]).select(F.inline(rows)))
     for n, (check, c) in numbered:
         if c.values is not None:
-            rows = F.array(_described(n, check, c, F.col("metric")))
+            rows = F.array(described(n, check, c, F.col("metric")))
             parts.append(containment_metric(df, c.columns[0], c.values).select(F.inline(rows)))
     if not parts:
         raise ValueError("no constraints to compute")

@@ -51,6 +51,11 @@ def verify_parts(parts: Sequence[tuple[DataFrame, Check]], spark: SparkSession)
         if absent:
             raise ValueError(f"checks name columns the relation lacks: {', '.join(absent)}")
         rows += constraint_metrics(df, checks).orderBy("number").collect() if constraints else []
+    return conclude(rows, spark)
+
+
+def conclude(rows: Sequence[Row], spark: SparkSession) -> Verification:
+    """The outcome of metric rows, however they were computed."""
     failed = {(r["check"], r["check_level"]) for r in rows if not r["passed"]}
     levels = {level for _, level in failed}
     status = "Error" if "Error" in levels else "Warning" if levels else "Success"
