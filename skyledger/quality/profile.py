@@ -10,9 +10,10 @@ from pyspark.sql.types import BooleanType, DataType, FractionalType, IntegralTyp
 
 from skyledger.functions.columns import named, ratio
 
-# How NULL shows up in a histogram, and the percentiles.
+# How NULL shows up in a histogram, the default percentiles, and the values up to which a profile has a histogram.
 NULL_VALUE = "NullValue"
 PERCENTILES = (0.25, 0.5, 0.75)
+HISTOGRAM_VALUES = 120
 
 _NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"
 
@@ -65,7 +66,7 @@ def _kind(kind: DataType, number: int) -> Column:
     )
 
 
-def _profile(name: str, kind: DataType, number: int, approximate: bool) -> Column:
+def _profile(name: str, kind: DataType, number: int, approximate: bool, percentiles: Sequence[float]) -> Column:
     value, x = F.col(f"v{number}"), F.col(f"x{number}")
     value_kind = _kind(kind, number)
 
@@ -91,38 +92,73 @@ def _profile(name: str, kind: DataType, number: int, approximate: bool) -> Colum
         fields += [
             F.approx_count_distinct(value).alias("approx_distinct"),
             # No sketch is built for kinds of columns that hold no numbers.
-            stat(F.percentile_approx(x, list(PERCENTILES))).alias("percentiles")
+            stat(F.percentile_approx(x, list(percentiles))).alias("percentiles")
             if numeric
             else F.lit(None).cast("array<double>").alias("percentiles"),
         ]
     return F.struct(*fields)
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = True) -> DataFrame:
+def profile(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approximate: bool = True,
+    percentiles: Sequence[float] = PERCENTILES,
+) -> DataFrame:
     """One row per column: type, completeness and, for numbers, minimum, maximum, mean, deviation and sum.
 
-    ``approximate`` adds the distinct-count sketch and percentiles. Everything is one pass.
+    ``approximate`` adds the distinct-count sketch and the percentiles asked for. Everything is one pass.
     """
     kinds = [(c, df.schema[c].dataType) for c in columns or df.columns]
     prepared = df.select(*[expr for n, (c, kind) in enumerate(kinds) for expr in _prepared(c, kind, n)])
-    rows = [_profile(c, kind, n, approximate) for n, (c, kind) in enumerate(kinds)]
+    rows = [_profile(c, kind, n, approximate, percentiles) for n, (c, kind) in enumerate(kinds)]
     return prepared.agg(F.array(*rows).alias("profiles")).select(F.inline("profiles"))
 
 
-def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str], null_flag: bool = False) -> DataFrame:
     """(column_name, value, absolute, fraction) for all given columns in one pass.
 
     Rows are counted per (column, value) ahead of the shuffle, so a value that most rows
-    share costs no more than a rare one. The broadcast side has one row per given column.
+    share costs no more than a rare one. The broadcast side has one row per given column. NULL shows up as "NullValue" in a row of its own;
+    ``null_flag`` adds is_null, which tells it from a text that reads so.
     """
     pairs = [
-        F.struct(F.lit(c).alias("column_name"), F.coalesce(named(c).cast("string"), F.lit(NULL_VALUE)).alias("value"))
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.coalesce(named(c).cast("string"), F.lit(NULL_VALUE)).alias("value"),
+            named(c).isNull().alias("is_null"),
+        )
         for c in columns
     ]
-    counts = (
-        df.select(F.inline(F.array(*pairs))).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("absolute"))
-    )
+    key = ["column_name", "value", "is_null"]
+    counts = df.select(F.inline(F.array(*pairs))).groupBy(*key).agg(F.count(F.lit(1)).alias("absolute"))
     rows = counts.groupBy("column_name").agg(F.sum("absolute").alias("_rows"))
+    shown = key if null_flag else key[:2]
     return counts.join(F.broadcast(rows), "column_name").select(
-        "column_name", "value", "absolute", ratio("absolute", "_rows").alias("fraction")
+        *shown, "absolute", ratio("absolute", "_rows").alias("fraction")
     )
+
+
+def profile_with_histograms(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    percentiles: Sequence[float] = PERCENTILES,
+    most: int = HISTOGRAM_VALUES,
+) -> DataFrame:
+    """The profile, with ``histogram`` for columns of at most ``most`` values: an array of (value, is_null, absolute, fraction), most frequent first.
+
+    The profile's distinct counts, one number per column, tell which columns may have so few; only their values are counted.
+    """
+    profiles = profile(df, columns, True, percentiles)
+    found = profiles.collect()  # one row per column
+    few = [r["column_name"] for r in found if r["approx_distinct"] <= 1.5 * most]
+    facts = df.sparkSession.createDataFrame(found, profiles.schema)
+    if not few:
+        return facts.withColumn("histogram", F.lit(None).cast("array<struct<value:string,is_null:boolean,absolute:bigint,fraction:double>>"))
+    counts = histogram(df, few, null_flag=True)
+    sizes = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("_values")).where(F.col("_values") <= most)
+    entry = F.struct((-F.col("absolute")).alias("order"), "value", "is_null", "absolute", "fraction")
+    sorted_ = F.sort_array(F.collect_list(entry))  # ``most`` entries at most
+    plain = F.transform(sorted_, lambda x: F.struct(x["value"].alias("value"), x["is_null"].alias("is_null"), x["absolute"].alias("absolute"), x["fraction"].alias("fraction")))
+    histograms = counts.join(F.broadcast(sizes), "column_name").groupBy("column_name").agg(plain.alias("histogram"))
+    return facts.join(F.broadcast(histograms), "column_name", "left")

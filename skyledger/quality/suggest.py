@@ -10,11 +10,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from skyledger.quality import constraints as c
-from skyledger.quality.profile import NULL_VALUE, histogram, profile
+from skyledger.quality.profile import histogram, profile
 from skyledger.sources.files import literal_table
 
 # Thresholds of the rules.
@@ -154,11 +154,11 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 
 
 def category_facts(counts: DataFrame) -> DataFrame:
-    """One row per column from the counts of its values (column_name, value, absolute).
+    """One row per column from the counts of its values (column_name, value, is_null, absolute).
 
     Values are gathered by their count first; a column of n rows has at most about the root of 2 n different counts.
     """
-    is_null = (F.col("value") == NULL_VALUE).cast("long")
+    is_null = F.col("is_null").cast("long")
     by_count = counts.groupBy("column_name", "absolute").agg(F.count(F.lit(1)).alias("n"), F.sum(is_null).alias("nulls"))
     from_above = Window.partitionBy("column_name").orderBy(F.desc("absolute"))
     rows = F.col("n") * F.col("absolute")
@@ -182,10 +182,10 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[Co
     texts = [p["column_name"] for p in profiles if p["data_type"] == "String"]
     found = {}
     if texts:
-        found = {row["column_name"]: row for row in category_facts(histogram(df, texts)).collect()}
+        found = {row["column_name"]: row for row in category_facts(histogram(df, texts, null_flag=True)).collect()}
 
     def values(name: str) -> DataFrame:
-        return histogram(df, [name]).where(F.col("value") != NULL_VALUE).select("value", "absolute")
+        return histogram(df, [name], null_flag=True).where("NOT is_null").select("value", "absolute")
 
     return [
         ColumnFacts(p, found[p["column_name"]], values(p["column_name"])) if p["column_name"] in found else ColumnFacts(p)
@@ -207,3 +207,23 @@ def suggestions_table(
     found = suggest(df, rules, columns)
     rows = [(s.column, s.rule, s.description, s.current, s.constraint.label, s.code) for s in found]
     return literal_table(df.sparkSession, rows, SUGGESTION_SCHEMA)
+
+
+def evaluated(
+    df: DataFrame,
+    is_held_out: Column,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Suggestions from the rows that are not held out, each with its share of the rows that are: column_name, rule, constraint, share, passed.
+
+    A rule that only repeats the accidents of the rows it came from shows here. ``is_held_out`` should follow from the row itself, as
+    a hash of its key does, so that both parts are the same in every run.
+    """
+    known, other = df.where(~is_held_out), df.where(is_held_out)
+    found = suggest(known, rules, columns)
+    check = c.Check("suggestions", tuple(s.constraint for s in found))
+    names = [(n, s.column, s.rule) for n, s in enumerate(found)]
+    labels = literal_table(df.sparkSession, names, "number INT, column_name STRING, rule STRING")
+    metrics = c.constraint_metrics(other, [check]).select("number", "constraint", F.col("metric").alias("share"), "passed")
+    return metrics.join(F.broadcast(labels), "number").select("column_name", "rule", "constraint", "share", "passed")
