@@ -285,6 +285,24 @@ _report("most_reliable", "most_reliable_topk", k=3)
 _report("least_reliable", "least_reliable_topk", k=3)
 
 
+def _over_all_levels(name: str, title: str, means: tuple[str, ...] = ()) -> None:
+    """The same report over the aggregate of all twelve levels, where its filter on labels has to find the right one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(getattr(reports, name)(_gold(spark, sf_dir)), *means)
+
+    run.__name__ = title
+    query(run)
+
+
+_over_all_levels("headline", "all_levels_headline", HEADLINE_RATES)
+_over_all_levels("monthly_volume_long", "all_levels_monthly_volume_long")
+_over_all_levels("weekday_volume", "all_levels_weekday_volume")
+_over_all_levels("monthly_delays_by_origin", "all_levels_delay_by_origin")
+_over_all_levels("yearly_cancellations", "all_levels_yearly_cancellations")
+_over_all_levels("overall_totals", "all_levels_totals")
+
+
 @query
 def q14_full_listing(spark, sf_dir):
     """The aggregate table as reports read it: exported as parquet and read back."""
@@ -482,27 +500,40 @@ def delete_from_table(spark, sf_dir):
     return tables.read_table(spark, table).select(*proxy.COLUMNS)
 
 
+@query
+def wap_switch(spark, sf_dir):
+    """Two loads and a replacement, published by pointing the catalog to new files of the touched months."""
+    table = _new_table(spark, "fact_flights")
+    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    config = {"fact_flights": FLIGHT_RULES}
+    later = flights.where("year(date) = 1996 AND cancelled = 0").withColumn("departure_delay", F.col("departure_delay") + 30)
+    later = later.withColumn("is_delayed", delay_flag())
+    for batch, mode in ((flights.where(FIRST_LOAD), "insert_only"), (flights, "insert_only"), (later, "replace")):
+        publish.write_audit_publish(batch, table, mode=mode, rules=config, switch=True)
+    return tables.read_table(spark, table).select(*proxy.COLUMNS)
+
+
 @query
 def append_twice(spark, sf_dir):
     """An idempotent append by key, repeated: the second one writes nothing."""
-    table = _new_table(spark, "dim_airports")
-    airports = proxy.airports(spark, sf_dir)
-    first = tables.write_new(airports.where("iata_code < 'NATION_2'"), table, keys=["iata_code"])
-    second = tables.write_new(airports, table, keys=["iata_code"])
-    third = tables.write_new(airports, table, keys=["iata_code"])
+    table = _new_table(spark, "customers")
+    customers = proxy.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    first = tables.write_new(customers.where("c_custkey % 3 > 0"), table, keys=["c_custkey"])
+    second = tables.write_new(customers, table, keys=["c_custkey"])
+    third = tables.write_new(customers, table, keys=["c_custkey"])
     written = [F.lit(x).alias(n) for x, n in ((first, "first"), (second, "second"), (third, "third"))]
-    return tables.read_table(spark, table).select("iata_code", "city", "state", *written)
+    return tables.read_table(spark, table).select("c_custkey", "c_name", "c_mktsegment", *written)
 
 
 @query
 def new_rows_flag(spark, sf_dir):
     """Rows that a table lacks, and whether there are any, for a batch with new rows and one without."""
-    table = _new_table(spark, "dim_airports")
-    airports = proxy.airports(spark, sf_dir)
-    tables.write_new(airports.where("state <> 'ASIA'"), table)
-    fresh, some = tables.new_rows(airports, table)
-    _, again = tables.new_rows(airports.where("state <> 'ASIA'"), table)
-    return fresh.select("iata_code", "state", F.lit(some).alias("has_new"), F.lit(again).alias("again_has_new"))
+    table = _new_table(spark, "parts")
+    parts = proxy.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    tables.write_new(parts.where("p_size <= 40"), table)
+    fresh, some = tables.new_rows(parts, table)
+    _, again = tables.new_rows(parts.where("p_size <= 40"), table)
+    return fresh.select("p_partkey", "p_size", F.lit(some).alias("has_new"), F.lit(again).alias("again_has_new"))
 
 
 # --- exploration -------------------------------------------------------------------------------------
@@ -576,6 +607,27 @@ def csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, path, flights.schema)
 
 
+@query
+def csv_rejects(spark, sf_dir):
+    """Records of a CSV file that do not read as declared, with their reasons; every fault is planted by a line's own values."""
+    lines = proxy.table(spark, sf_dir, "lineitem")
+    bad_number = (F.col("l_partkey") % 11) == 0
+    bad_date = (F.col("l_suppkey") % 7) == 0
+    cells = [
+        F.col("l_orderkey").cast("string"),
+        F.when(bad_number, F.concat(F.lit("x"), F.col("l_quantity").cast("int").cast("string"))).otherwise(F.col("l_quantity").cast("int").cast("string")),
+        F.when(bad_date, F.lit("yesterday")).otherwise(F.col("l_shipdate").cast("date").cast("string")),
+    ]
+    short = F.concat_ws(",", *cells[:2])
+    text = F.when(F.col("l_linenumber") == 7, short).otherwise(F.concat_ws(",", *cells))
+    path = files.shared_folder(spark, "faulty")
+    header = "order_key,quantity,ship_date"
+    lines.select(text.alias(header)).write.option("quote", "").option("header", True).csv(path)
+    good, rejected = files.read_csv_checked(spark, path, "order_key BIGINT, quantity INT, ship_date DATE")
+    counted = rejected.select(F.split("record", ",")[0].cast("long").alias("order_key"), F.array_join("reasons", "; ").alias("reasons"))
+    return counted.unionByName(good.groupBy("order_key").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" read")).alias("reasons")))
+
+
 @query
 def sample_keys(spark, sf_dir):
     return explore.key_sample(proxy.flights(spark, sf_dir), FLIGHT_KEY, 10)
@@ -725,20 +777,25 @@ def dq_edge_values(spark, sf_dir):
 
 @query
 def dq_dim_results(spark, sf_dir):
-    """Design checks of the dimensions; coordinates follow from a nation's keys."""
-    nation = proxy.table(spark, sf_dir, "nation")
-    places = nation.select(
-        F.col("n_name").alias("iata_code"),
+    """Design checks of the dimensions, over tables of keys that grow: suppliers as places, customers as carriers, parts as reasons."""
+    supplier = proxy.table(spark, sf_dir, "supplier")
+    letters = F.upper(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 3))
+    places = supplier.select(
+        letters.alias("iata_code"),
+        F.col("s_name").alias("airport"),
+        F.when(F.col("s_nationkey") > 2, F.col("s_name")).alias("city"),
+        F.lit("XX").alias("state"),
         F.lit("US").alias("country"),
-        (F.col("n_nationkey") * 8 - 100).cast("float").alias("latitude"),
-        (F.col("n_regionkey") * 60 - 100).cast("float").alias("longitude"),
+        (F.col("s_nationkey") * 8 - 100).cast("float").alias("latitude"),
+        (F.col("s_nationkey") * 15 - 100).cast("float").alias("longitude"),
     )
-    airports = proxy.airports(spark, sf_dir).join(places, "iata_code")
-    parts = [
-        (airports, "dim_airports"),
-        (proxy.airlines(spark).union(proxy.airlines(spark).limit(1)), "dim_airlines"),
-        (proxy.cancellation_codes(spark), "dim_cancellation_codes"),
-    ]
+    carriers = proxy.table(spark, sf_dir, "customer").select(
+        F.substring("c_mktsegment", 1, 2).alias("iata_code"), F.when(F.col("c_custkey") % 10 > 0, F.col("c_name")).alias("airline")
+    )
+    reasons = proxy.table(spark, sf_dir, "part").select(
+        F.substring(F.lit("ABCDE"), F.col("p_size") % 5 + 1, F.lit(1)).alias("cancellation_reason"), F.col("p_name").alias("cancellation_description")
+    )
+    parts = [(places, "dim_airports"), (carriers, "dim_airlines"), (reasons, "dim_cancellation_codes")]
     found = [_metrics(df, rules.table_check(name, rules.DESIGN_RULES)) for df, name in parts]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

@@ -730,15 +730,27 @@ STATEMENTS["gold_from_cells"] = over_flights(
 STATEMENTS["delete_from_table"] = over_flights(
     f"SELECT {COLUMNS} FROM survivors WHERE departure_delay IS NULL OR departure_delay <= 20", SURVIVORS
 )
-AIRPORTS = "nation JOIN region ON n_regionkey = r_regionkey"
 STATEMENTS["append_twice"] = (
-    "SELECT n_name AS iata_code, n_name AS city, r_name AS state, true AS first, true AS second, false AS third"
-    f" FROM {AIRPORTS}"
+    "SELECT c_custkey, c_name, c_mktsegment, true AS first, true AS second, false AS third FROM customer"
 )
 STATEMENTS["new_rows_flag"] = (
-    "SELECT n_name AS iata_code, r_name AS state, true AS has_new, false AS again_has_new"
-    f" FROM {AIRPORTS} WHERE r_name = 'ASIA'"
+    "SELECT p_partkey, p_size, true AS has_new, false AS again_has_new FROM part WHERE p_size > 40"
 )
+STATEMENTS["wap_switch"] = over_flights(
+    f"SELECT {COLUMNS} FROM (SELECT * REPLACE (CASE WHEN late THEN departure_delay + 30 ELSE departure_delay END AS departure_delay,"
+    " CASE WHEN late THEN CAST(departure_delay + 30 > 0 AS INTEGER) ELSE is_delayed END AS is_delayed)"
+    " FROM (SELECT *, year(date) = 1996 AND cancelled = 0 AS late FROM survivors))",
+    SURVIVORS,
+)
+STATEMENTS["csv_rejects"] = """
+WITH faults AS (
+  SELECT l_orderkey AS order_key, l_linenumber = 7 AS short, l_partkey % 11 = 0 AS bad_number, l_suppkey % 7 = 0 AS bad_date FROM lineitem
+)
+SELECT order_key, CASE WHEN short THEN 'wrong number of cells' ELSE concat_ws('; ', CASE WHEN bad_number THEN 'quantity: no int' END,
+       CASE WHEN bad_date THEN 'ship_date: no date' END) END AS reasons FROM faults WHERE short OR bad_number OR bad_date
+UNION ALL
+SELECT order_key, count(*) || ' read' FROM faults WHERE NOT (short OR bad_number OR bad_date) GROUP BY order_key
+"""
 STATEMENTS["file_stats"] = "SELECT CAST(1 AS BIGINT) AS files, count(*) AS row_count FROM lineitem"
 
 # The fact table's rules on all its columns.
@@ -862,15 +874,14 @@ STATEMENTS["dq_edge_values"] = f"WITH {EDGES} " + " UNION ALL ".join(
 )
 CHECK_AIRPORTS, CHECK_AIRLINES = "Data quality of dim_airports", "Data quality of dim_airlines"
 CHECK_CODES = "Data quality of dim_cancellation_codes"
-DIMENSION_TABLES = f"""
+DIMENSION_TABLES = """
 airports AS (
-  SELECT n_name AS iata_code, n_name || ' Airport' AS airport, n_name AS city, r_name AS state, 'US' AS country,
-         n_nationkey * 8 - 100 AS latitude, n_regionkey * 60 - 100 AS longitude FROM {AIRPORTS}
-),
-airlines(iata_code, airline) AS (
-  VALUES {', '.join(f"('{a}', '{b}')" for a, b in [*CARRIER_NAMES, CARRIER_NAMES[0]])}
+  SELECT upper(substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 3)) AS iata_code,
+         s_name AS airport, CASE WHEN s_nationkey > 2 THEN s_name END AS city, 'XX' AS state, 'US' AS country,
+         s_nationkey * 8 - 100 AS latitude, s_nationkey * 15 - 100 AS longitude FROM supplier
 ),
-codes(cancellation_reason, cancellation_description) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in REASONS)})"""
+airlines AS (SELECT substr(c_mktsegment, 1, 2) AS iata_code, CASE WHEN c_custkey % 10 > 0 THEN c_name END AS airline FROM customer),
+codes AS (SELECT substr('ABCDE', p_size % 5 + 1, 1) AS cancellation_reason, p_name AS cancellation_description FROM part)"""
 DIMENSION_METRICS = (
     [unique(CHECK_AIRPORTS, "iata_code", "airports")]
     + [rows(CHECK_AIRPORTS, "completeness", c, f"{c} IS NOT NULL", "airports")
@@ -890,3 +901,14 @@ DIMENSION_METRICS = (
     ]
 )
 STATEMENTS["dq_dim_results"] = f"WITH {DIMENSION_TABLES} " + " UNION ALL ".join(DIMENSION_METRICS)
+
+# Reports over the whole aggregate.
+for name, report in (
+    ("headline", "q02_headline"),
+    ("monthly_volume_long", "q03_monthly_volume_long"),
+    ("weekday_volume", "q06_weekday_volume"),
+    ("delay_by_origin", "q08_delay_by_origin"),
+    ("yearly_cancellations", "q12_yearly_cancellations"),
+    ("totals", "q15_totals"),
+):
+    STATEMENTS[f"all_levels_{name}"] = STATEMENTS[report]

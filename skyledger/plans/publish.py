@@ -26,6 +26,7 @@ from skyledger.sources.tables import (
     replace_content,
     sibling,
     stored_months,
+    switch_months,
 )
 
 
@@ -46,6 +47,7 @@ def write_audit_publish(
     audit_scope: str = "months",
     by_month: bool | None = None,
     before_write: Callable[[list[str | None]], None] | None = None,
+    switch: bool = False,
 ) -> bool:
     """Stage, audit, publish. True when rows were published, False when there was nothing new.
 
@@ -71,6 +73,9 @@ def write_audit_publish(
     names of their own in every load and are dropped in any case. After a crash during the final
     append, running the load again completes it, as rows already there are not added twice.
 
+    With ``switch``, a table laid out by month whose key has the date gets its new state of the touched months in new files, and the
+    catalog is then pointed to them month by month: a reader never sees half a month. It costs writing the touched months anew.
+
     ``before_write`` is told the months that the rows to publish have, after the audit and before anything is written.
     """
     if mode not in ("insert_only", "replace", "sync"):
@@ -132,7 +137,10 @@ def write_audit_publish(
             state.note(months)
         if not exists:
             create_for(batch, table, by_month)
-        if mode == "insert_only" or not exists:
+        if switch and key_has_month:
+            current = only_months(spark.table(table), months).drop(MONTH_COLUMN)
+            switch_months(_after(current, staged, key, mode), table)
+        elif mode == "insert_only" or not exists:
             append(spark.table(stage), table, arranged=True)
         elif key_has_month:
             overwrite_months(_after(stored.drop(MONTH_COLUMN), staged, key, mode), table)

@@ -30,6 +30,27 @@ def read_csv(
     return spark.read.csv(path, schema=schema, header=True, mode=mode, enforceSchema=enforce_schema)
 
 
+def read_csv_checked(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """CSV with a header line and a declared flat schema: the rows that read in full, and the others as (file, record, reasons).
+
+    A record is rejected for a wrong number of cells, or for each cell that has a text but no value of its column's type; ``reasons`` says
+    which. Nothing becomes NULL unnoticed. Both relations are one scan of the text each, without a shuffle.
+    """
+    fields = ddl_fields(ddl)
+    texts = ", ".join(f"{quoted(name)} STRING" for name, _ in fields) + ", _record STRING"
+    lines = spark.read.csv(path, schema=texts, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_record")
+    bad = [
+        F.when(F.col(quoted(n)).isNotNull() & F.col(quoted(n)).try_cast(kind).isNull(), F.lit(f"{n}: no {kind.lower()}")) for n, kind in fields
+    ]
+    reasons = F.when(F.col("_record").isNotNull(), F.array(F.lit("wrong number of cells"))).otherwise(F.array_compact(F.array(*bad)))
+    marked = lines.select("*", F.col("_metadata.file_name").alias("_file"), reasons.alias("_reasons"))
+    typed = [F.col(quoted(n)).try_cast(kind).alias(n) for n, kind in fields]
+    cells = F.concat_ws(",", *[F.coalesce(F.col(quoted(n)), F.lit("")) for n, _ in fields])
+    good = marked.where(F.size("_reasons") == 0).select(*typed)
+    rejected = marked.where(F.size("_reasons") > 0)
+    return good, rejected.select(F.col("_file").alias("file"), F.coalesce("_record", cells).alias("record"), F.col("_reasons").alias("reasons"))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.csv(path, header=True, mode=mode)
 

@@ -223,6 +223,41 @@ def overwrite_months(rows: DataFrame, table: str) -> None:
         arranged.write.insertInto(table, overwrite=True)
 
 
+def switch_months(rows: DataFrame, table: str) -> list[str]:
+    """Make ``rows`` the content of the months that they have, by the catalog: readers see a month as it was or as it becomes, never half of it.
+
+    All months are written to a new folder beside the table first. Then the catalog's pointer of each partition is set to its new files,
+    one statement per month. What was there before stays on disk for readers that have begun; these folders are
+    given back, for the caller to remove when no reader is left. ``rows`` may read the table.
+    """
+    spark = rows.sparkSession
+    target = spark.table(table)
+    name = base_name(table)
+    location = _location(spark, table)
+    folder = f"{location.rstrip('/')}_versions/{name}-{uuid.uuid4().hex}"
+    order = [named(c) for c in target.columns]
+    laid_out(rows.drop(MONTH_COLUMN), True).select(*order).write.partitionBy(MONTH_COLUMN).parquet(folder)
+    known = set(stored_months(spark, table))
+    replaced = []
+    for month in sorted(months_of(spark.read.parquet(folder).select(F.col(MONTH_COLUMN).cast("string"))), key=lambda m: m or ""):
+        value = "NULL" if month is None else f"'{month}'"
+        path = f"{folder}/{MONTH_COLUMN}={'__HIVE_DEFAULT_PARTITION__' if month is None else month}"
+        if month in known:
+            replaced.append(_location(spark, table, value))
+            spark.sql(f"ALTER TABLE {table} PARTITION ({MONTH_COLUMN} = {value}) SET LOCATION '{path}'")
+        else:
+            spark.sql(f"ALTER TABLE {table} ADD PARTITION ({MONTH_COLUMN} = {value}) LOCATION '{path}'")
+    spark.catalog.refreshTable(table)
+    return replaced
+
+
+def _location(spark: SparkSession, table: str, month: str | None = None) -> str:
+    """Folder of a table or of one of its months, from the catalog."""
+    part = f" PARTITION ({MONTH_COLUMN} = {month})" if month else ""
+    described = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}{part}").collect()}
+    return described["Location"]
+
+
 @contextmanager
 def overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
     """``static``: an overwrite replaces the whole table; ``dynamic``: only the partitions it writes to."""
