@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import columns_of
+
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # of all words: 150 %
 CAP = 2
@@ -96,10 +98,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int
     upto = lambda n: F.floor(n * F.col("mix_rate") + F.col("mix_offset"))
     # A stretch of at most ``cap`` crosses at most so many whole numbers; rounding must not add one.
     crossed = F.least(upto(F.col("mix_place")) - upto(F.col("mix_place") - 1), F.lit(cap)).cast("int")
-    return placed.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", crossed.alias("mix_copies"))
+    return placed.select(*columns_of(docs), "mix_size", "mix_source_size", "mix_target", crossed.alias("mix_copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed rows: each row of ``docs`` as often as it is taken, with the same columns."""
     taken = copies(docs, weights, share, cap, seed).filter("mix_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")
+    return taken.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).drop("mix_copy")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored
+from .shared import columns_of, partitions, stored
 from .words import PLAIN, Slice, mix, seeded, slices, windows
 
 SHINGLE = 5
@@ -348,8 +348,7 @@ def one_per_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     best = classes.groupBy("label").agg(F.min(F.struct("first", "rep")).alias("best")).select("best.rep")
     kept = classes.join(best, "rep", "left_semi").select(F.col("first").alias("doc_id"), "x", "y")
     # All columns travel as one, so that none can clash with those that are added.
-    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_hash(F.col("text").cast("string")), F.col("text").isNull().alias("no_text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *text_hash(F.col("text").cast("string")), F.col("text").isNull().alias("no_text"))
     chosen = rows.filter("doc_id is not null and not no_text").join(kept, ["doc_id", "x", "y"], "left_semi")
     if not keyed_texts(docs).groupBy("doc_id", "x", "y").count().filter("count > 1").isEmpty():
         # Copies of a row: Spark sends on one per task only.

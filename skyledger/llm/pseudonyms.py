@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import map_rows
+
 HALVES = 10  # Feistel rounds
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -290,7 +292,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", backwards: boo
             columns = list(batch.columns)
             columns[at] = pa.array(texts, kind)
             own = [pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, *own], [*batch.schema.names, *(f.name for f in added)])
+            columns += own
+            yield pa.RecordBatch.from_arrays(columns, [f"c{n}" for n in range(len(columns))])
 
     fields = [T.StructField(f.name, f.dataType if f.name != text else T.StringType()) for f in docs.schema.fields]
-    return docs.mapInArrow(run, T.StructType(fields + added))
+    return map_rows(docs, run, fields + added)

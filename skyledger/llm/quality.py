@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import columns_of, map_rows, stored
 from .words import PLAIN, slices
 
 PASSAGE = 48  # words
 MAX_ROWS = 8000
+MAX_BYTES = 256 << 20  # of their encoded passages, 432 bytes for 48 words
 FOLDS = 5
 THRESHOLD = 0.3
 HASHED = 64
@@ -165,8 +167,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A model from the labelled documents (columns doc_id and quality) that are not held out."""
+def within(sizes: list[tuple[int, int]], most: int) -> int:
+    """How many of the (hash, bytes) pairs, in order, stay within ``most`` bytes together; the first one always does."""
+    total = np.cumsum([size for _, size in sorted(sizes)])
+    return max(1, int(np.searchsorted(total, most, "right")))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from the labelled documents (columns doc_id and quality) that are not held out.
+
+    In the order of their hash the first ``max_rows`` labels are taken, and of their documents whole ones as far as ``max_bytes`` of encoded passages reach.
+    """
     known = labels.select(F.col("doc_id").alias("mil_id"), F.col("quality").alias("mil_label")).filter(
         F.col("mil_label").isNotNull() & F.col("mil_id").isNotNull() & ~held_out("mil_id")
     )
@@ -181,7 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             data = [inputs[e - c : e].tobytes() for e, c in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(data, pa.binary())], ["id", "label", "inputs"])
 
-    rows = chosen.mapInArrow(encode, "id long, label int, inputs binary").collect()
+    encoded = stored(chosen.mapInArrow(encode, "id long, label int, inputs binary"))
+    sizes = [(r.order, r.size) for r in encoded.select(F.xxhash64("id", "label").alias("order"), F.octet_length("inputs").alias("size")).collect()]
+    if sum(size for _, size in sizes) > max_bytes:
+        last = sorted(sizes)[within(sizes, max_bytes) - 1][0]
+        encoded = encoded.filter(F.xxhash64("id", "label") <= last)
+    rows = encoded.collect()
     rows.sort(key=lambda r: (r.id, r.label, r.inputs))
     inputs = np.frombuffer(b"".join(r.inputs for r in rows), np.float32).reshape(-1, WIDTH)
     counts = np.array([len(r.inputs) // (4 * WIDTH) for r in rows], np.int64)
@@ -198,11 +214,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             inputs, counts = encode_inputs(batch.column(at).cast(pa.large_string()))
             scores, top, weight = model.score(inputs, counts)
             own = [pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(top, pa.int64()), pa.array(weight, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, *(f.name for f in added)])
+            columns = [*batch.columns, *own]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{n}" for n in range(len(columns))])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields] + added))
+    return map_rows(docs, run, [T.StructField(f.name, f.dataType) for f in docs.schema.fields] + added)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` that a model learned from ``labels`` does not reject."""
-    return score(docs, train(docs, labels, max_rows)).filter(F.col("mil_score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, labels, max_rows)).filter(F.col("mil_score") >= threshold).select(*columns_of(docs))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import columns_of, partitions
 
 BUCKET_BYTES = 16 << 20
 SEED = 20240607
@@ -51,7 +51,7 @@ def shard_rows(rows: DataFrame, shards: int = 8, text: str = "text", key: str =
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), tie), F.lit(n)).alias("_bucket")
     # A null text hashes like no input at all, an empty one does not: both are fine, they only choose a bucket.
     places = bucket_places(rows.select(bucket))
-    item = F.struct(F.col(key).alias("_key"), tie.alias("_tie"), F.struct(*rows.columns).alias("_row"))
+    item = F.struct(F.col(key).alias("_key"), tie.alias("_tie"), F.struct(*columns_of(rows)).alias("_row"))
     buckets = (
         rows.select(bucket, item.alias("_item"))
         .repartition(n, "_bucket")
@@ -62,13 +62,12 @@ def shard_rows(rows: DataFrame, shards: int = 8, text: str = "text", key: str =
     )
     placed = buckets.join(places, "_bucket").select("_first", "_all", F.posexplode("_items").alias("_at", "_item"))
     place = F.col("_first") + F.col("_at")
-    shard = F.expr(f"((_first + _at) * {shards} + {shards} - 1) div _all")
     # Shard s starts at the smallest place p with floor(p * shards / all) = s, which is ceil(s * all / shards).
     shard = F.expr(f"((_first + _at) * {shards}) div _all")
     start = F.expr(f"(_shard * _all + {shards} - 1) div {shards}")
     return (
-        placed.select("_item._row.*", place.alias("_place"), shard.cast("int").alias("_shard"), "_all")
-        .select(*rows.columns, F.col("_shard").alias("shard"), (F.col("_place") - start).cast("long").alias("slot"))
+        placed.select(F.col("_item._row").alias("_row"), place.alias("_place"), shard.cast("int").alias("_shard"), "_all")
+        .select("_row.*", F.col("_shard").alias("shard"), (F.col("_place") - start).cast("long").alias("slot"))
     )
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20  # text that one group of documents holds on average; a task works on one group at a time
 
@@ -41,6 +42,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[T.StructField]) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: inside they are numbered, and what comes out has the names of ``fields``."""
+    numbered = df.toDF(*[f"c{n}" for n in range(len(df.columns))])
+    out = T.StructType([T.StructField(f"c{n}", f.dataType, f.nullable) for n, f in enumerate(fields)])
+    return numbered.mapInArrow(run, out).toDF(*[f.name for f in fields])
+
+
 def n_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> int:
     """Groups of about ``chunk_bytes`` of text: grows with the input, and is at least the number of shuffle partitions."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
