@@ -590,7 +590,6 @@ SPEC_METRICS = (
 STATEMENTS |= {
     "dq_results": over_flights(" UNION ALL ".join(FLIGHT_METRICS)),
     "dq_gold_results": over_gold(" UNION ALL ".join(GOLD_METRICS)),
-    "dq_spec_results": over_gold(" UNION ALL ".join(SPEC_METRICS), CALENDAR),
 }
 
 
@@ -839,6 +838,11 @@ STATEMENTS["rollup_tail_number"] = wide_levels(
     "airline, tail_number",
 )
 STATEMENTS["dq_fact_rules"] = f"WITH {WIDE} " + " UNION ALL ".join(FACT_METRICS)
+FACT_DESIGN = [x for x in FACT_METRICS if "'predicate'" in x or "'aggregate'" in x]
+STATEMENTS["dq_spec_results"] = (
+    f"WITH {CALENDAR}, {WIDE}, {DATED.replace('FROM flights', 'FROM wide')}, {gold()} "
+    + " UNION ALL ".join([*FACT_DESIGN, *[x for x in SPEC_METRICS if "FROM flights" not in x]])
+)
 STATEMENTS["anomalies"] = f"WITH {WIDE} " + " UNION ALL ".join(
     f"SELECT '{name}' AS probe, count(*) FILTER ({condition}) AS row_count FROM wide"
     for name, condition in (
