@@ -5,7 +5,6 @@ import random
 import zlib
 from collections import defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from skyledger.llm import prefixes
