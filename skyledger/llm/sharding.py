@@ -6,8 +6,9 @@ the data. Pass two reads one bucket at a time, brings its rows into a fixed orde
 (law ``rows``); ``slot`` is the place in the shard, from 0.
 
 The place of a bucket is a sum of counts, in two levels: within 1,024 buckets, and over these groups. Equal texts of different ids, ids of
-different texts and null ids are spread over all buckets; only rows that agree in both share one. Tasks run again after a
-lost executor repeat the same order: a bucket's partition, the order of a partition's buckets and the order before the shuffle are fixed.
+different texts and null ids are spread over all buckets; only rows that agree in both share one. A bucket is a partition
+of its own, addressed by its number. Tasks run again after a lost executor repeat the same order: a partition's bucket and the order
+before the shuffle are fixed.
 
 A null text counts one byte. Any table with the key columns can be sharded; all columns go along, and a column
 called shard or slot is replaced.
@@ -48,19 +49,19 @@ def shard_rows(rows: DataFrame, shards: int = 8, text: str = "text", key: str =
     total = rows.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
     n = max(partitions(rows.sparkSession), math.ceil(total / bucket_bytes))
     tie = F.xxhash64(F.col(text))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), tie), F.lit(n)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), tie), F.lit(n)).cast("int").alias("_bucket")
     # A null text hashes like no input at all, an empty one does not: both are fine, they only choose a bucket.
     places = bucket_places(rows.select(bucket))
     item = F.struct(F.col(key).alias("_key"), tie.alias("_tie"), F.struct(*columns_of(rows)).alias("_row"))
     buckets = (
         rows.select(bucket, item.alias("_item"))
-        .repartition(n, "_bucket")
+        .repartitionById(n, F.col("_bucket"))
         .groupBy("_bucket")
         .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        .sortWithinPartitions("_bucket")
         .select("_bucket", F.shuffle("_items", seed).alias("_items"))
     )
-    placed = buckets.join(places, "_bucket").select("_first", "_all", F.posexplode("_items").alias("_at", "_item"))
+    # Both sides have bucket b in partition b, so the join shuffles no rows again.
+    placed = buckets.join(places.repartitionById(n, F.col("_bucket")), "_bucket").select("_first", "_all", F.posexplode("_items").alias("_at", "_item"))
     place = F.col("_first") + F.col("_at")
     # Shard s starts at the smallest place p with floor(p * shards / all) = s, which is ceil(s * all / shards).
     shard = F.expr(f"((_first + _at) * {shards}) div _all")
