@@ -15,7 +15,7 @@ from skyledger.operators import dedup, enrich, existing, explore, levels, ranks
 from skyledger.plans import metrics, proxy, publish, reports, states
 from skyledger.quality import constraints, profile, rules, sketches, suggest
 from skyledger.schemas import FLIGHT_KEY, GOLD_KEY, MONTH_COLUMN
-from skyledger.sources import calendar, files, tables
+from skyledger.sources import buckets, calendar, files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -390,6 +390,32 @@ def merge_insert_only_flights(spark, sf_dir):
     return existing.merge_insert_only(flights.where(FIRST_LOAD), flights, FLIGHT_KEY, null_safe=False)
 
 
+def _bucketed(spark, sf_dir):
+    """The first load in a new table bucketed by the flight key, and all flights."""
+    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    table = _new_table(spark, "bucketed_flights")
+    buckets.create(flights, table, FLIGHT_KEY, buckets=8)
+    buckets.insert_new(flights.where(FIRST_LOAD), table)
+    return table, flights
+
+
+@query
+def merge_bucketed(spark, sf_dir):
+    """A second load with changed values into a bucketed table: known keys stay as they are."""
+    table, flights = _bucketed(spark, sf_dir)
+    buckets.insert_new(flights.withColumn("departure_delay", F.col("departure_delay") + 1), table)
+    return buckets.read(spark, table).select(*proxy.COLUMNS)
+
+
+@query
+def replace_bucketed(spark, sf_dir):
+    """Flights of two years take the place of stored ones, in their months alone."""
+    table, flights = _bucketed(spark, sf_dir)
+    later = flights.where("year(date) = 1998 AND month(date) > 6 OR year(date) = 1996 AND cancelled = 0")
+    buckets.replace(later.withColumn("departure_delay", F.col("departure_delay") + 30), table)
+    return buckets.read(spark, table).select(*proxy.COLUMNS)
+
+
 def _two_golds(spark, sf_dir):
     flights = proxy.flights(spark, sf_dir, destination=False)
     return levels.gold(flights.where(FIRST_LOAD)), levels.gold(flights)

@@ -741,6 +741,17 @@ STATEMENTS["wap_switch"] = over_flights(
     " FROM (SELECT *, year(date) = 1996 AND cancelled = 0 AS late FROM survivors))",
     SURVIVORS,
 )
+STATEMENTS["merge_bucketed"] = over_flights(
+    f"SELECT {COLUMNS} FROM (SELECT * REPLACE (CASE WHEN date < DATE '1999-01-01' THEN departure_delay ELSE departure_delay + 1 END AS departure_delay)"
+    " FROM survivors)",
+    SURVIVORS,
+)
+STATEMENTS["replace_bucketed"] = over_flights(
+    f"SELECT {COLUMNS} FROM (SELECT * REPLACE (CASE WHEN later THEN departure_delay + 30 ELSE departure_delay END AS departure_delay) FROM ("
+    "SELECT *, coalesce(year(date) = 1998 AND month(date) > 6 OR year(date) = 1996 AND cancelled = 0, false) AS later FROM survivors)"
+    " WHERE later OR date < DATE '1999-01-01')",
+    SURVIVORS,
+)
 STATEMENTS["csv_rejects"] = """
 WITH faults AS (
   SELECT l_orderkey AS order_key, l_linenumber = 7 AS short, l_partkey % 11 = 0 AS bad_number, l_suppkey % 7 = 0 AS bad_date FROM lineitem
