@@ -34,6 +34,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def _flights_once(spark, sf_dir):
+    """Flights for a query that reads them several times: joined once, read from files then."""
+    return files.written_once(proxy.flights(spark, sf_dir), "flights")
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Means of fractions depend on the order of summation in their last digits; compare them rounded."""
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
@@ -917,10 +922,10 @@ def _held_out():
 @query
 def suggestions_evaluated(spark, sf_dir):
     """Constraints suggested from some rows, held against the others."""
-    found = suggest.evaluated(proxy.flights(spark, sf_dir), _held_out())
+    found = suggest.evaluated(_flights_once(spark, sf_dir), _held_out())
     return rounded(found.select("column_name", "rule", "share"), "share")
 
 
 @query
 def suggestions(spark, sf_dir):
-    return suggest.suggestions_table(proxy.flights(spark, sf_dir))
+    return suggest.suggestions_table(_flights_once(spark, sf_dir))

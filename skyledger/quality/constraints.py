@@ -163,13 +163,24 @@ def uniqueness_metric(counts: DataFrame) -> DataFrame:
     return counts.agg(ratio(F.count_if(F.col("_rows") == 1), F.sum("_rows")).alias("metric"))
 
 
-def containment_metric(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """One row ``metric``: rows whose value is NULL or in the relation among all rows, counted per value first."""
-    counts = df.groupBy(named(column).cast("string").alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    known = values.select(F.col(quoted(values.columns[0])).cast("string").alias("_known"))
-    joined = counts.join(known, counts["_value"] == known["_known"], "left")
-    inside = F.sum(F.when(F.col("_value").isNull() | F.col("_known").isNotNull(), F.col("_rows")).otherwise(0))
-    return joined.agg(ratio(inside, F.sum("_rows")).alias("metric"))
+def containment_metrics(df: DataFrame, relations: dict[int, tuple[str, DataFrame]]) -> DataFrame:
+    """One row with a column ``m<number>`` per numbered (column, relation of values): rows whose value is NULL or in the relation among all rows.
+
+    All columns are counted per value in one pass; what meets the relations is one row per column and value.
+    """
+    columns = list(dict.fromkeys(column for column, _ in relations.values()))
+    pairs = [F.struct(F.lit(k).alias("_column"), named(c).cast("string").alias("_value")) for k, c in enumerate(columns)]
+    counts = df.select(F.inline(F.array(*pairs))).groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("_rows"))
+    users = [F.array(*[F.lit(n) for n, (column, _) in relations.items() if column == c]) for c in columns]
+    sought = counts.select(F.explode(F.element_at(F.array(*users), F.col("_column") + 1)).alias("_number"), "_value", "_rows")
+    known = None
+    for n, (_, values) in relations.items():
+        part = values.select(F.lit(n).alias("_of"), F.col(quoted(values.columns[0])).cast("string").alias("_known"))
+        known = part if known is None else known.unionByName(part)
+    joined = sought.join(known, (F.col("_number") == F.col("_of")) & (F.col("_value") == F.col("_known")), "left")
+    inside = F.when(F.col("_value").isNull() | F.col("_known").isNotNull(), F.col("_rows")).otherwise(0)
+    own = lambda n, rows: F.sum(F.when(F.col("_number") == n, rows))
+    return joined.agg(*[ratio(own(n, inside), own(n, F.col("_rows"))).alias(f"m{n}") for n in relations])
 
 
 def described(number: int, check: Check, constraint: Constraint, metric: Column) -> Column:
@@ -188,7 +199,8 @@ def described(number: int, check: Check, constraint: Constraint, metric: Column)
 def constraint_metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per constraint: check, check_level, rule, columns, constraint, metric, passed. Lazy.
 
-    The relation is read once for all row-level constraints together and once per key set that lies within no other.
+    The relation is read once for all row-level constraints together and once per key set that lies within no other,
+    and once for all constraints against relations.
     """
     numbered = list(enumerate((check, constraint) for check in checks for constraint in check.constraints))
     parts = []
@@ -205,10 +217,11 @@ def constraint_metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     for columns, users in keys.items():
         rows = F.array(*[described(n, check, c, F.col("metric")) for n, check, c in users])
         parts.append(uniqueness_metric(counts[columns]).select(F.inline(rows)))
-    for n, (check, c) in numbered:
-        if c.values is not None:
-            rows = F.array(described(n, check, c, F.col("metric")))
-            parts.append(containment_metric(df, c.columns[0], c.values).select(F.inline(rows)))
+    related = {n: (check, c) for n, (check, c) in numbered if c.values is not None}
+    if related:
+        metrics = containment_metrics(df, {n: (c.columns[0], c.values) for n, (_, c) in related.items()})
+        rows = F.array(*[described(n, check, c, F.col(f"m{n}")) for n, (check, c) in related.items()])
+        parts.append(metrics.select(F.inline(rows)))
     if not parts:
         raise ValueError("no constraints to compute")
     result = parts[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyledger.quality import constraints as c
 from skyledger.quality.profile import histogram, profile
-from skyledger.sources.files import literal_table
+from skyledger.sources.files import literal_table, written_once
 
 # Thresholds of the rules.
 LOWEST_RETAINED_COMPLETENESS = 0.2
@@ -177,15 +177,19 @@ def category_facts(counts: DataFrame) -> DataFrame:
 
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None) -> list[ColumnFacts]:
-    """Profiles of the columns, and what the values of text columns come to; two passes, the second over text only."""
+    """Profiles of the columns, and what the values of text columns come to; two passes, the second over text only.
+
+    The counts of the values are written once: facts and ranges are read from these.
+    """
     profiles = profile(df, columns).collect()
     texts = [p["column_name"] for p in profiles if p["data_type"] == "String"]
     found = {}
     if texts:
-        found = {row["column_name"]: row for row in category_facts(histogram(df, texts, null_flag=True)).collect()}
+        counts = written_once(histogram(df, texts, null_flag=True), "value-counts")
+        found = {row["column_name"]: row for row in category_facts(counts).collect()}
 
     def values(name: str) -> DataFrame:
-        return histogram(df, [name], null_flag=True).where("NOT is_null").select("value", "absolute")
+        return counts.where((F.col("column_name") == name) & ~F.col("is_null")).select("value", "absolute")
 
     return [
         ColumnFacts(p, found[p["column_name"]], values(p["column_name"])) if p["column_name"] in found else ColumnFacts(p)

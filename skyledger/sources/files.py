@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from skyledger.functions.columns import quoted
 from skyledger.schemas import RAW_FILES, ddl_fields
 
+
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
     """A small relation written out in the plan itself, so that no cluster task is needed to read it."""
     fields = ddl_fields(ddl)
@@ -75,3 +76,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, computed once and read from files in a new shared folder by everything that follows."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
