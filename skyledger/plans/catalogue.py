@@ -39,6 +39,11 @@ def _flights_once(spark, sf_dir):
     return files.written_once(proxy.flights(spark, sf_dir), "flights")
 
 
+def _unique_flights_once(spark, sf_dir):
+    """The same with one row per flight key."""
+    return files.written_once(dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY), "unique-flights")
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Means of fractions depend on the order of summation in their last digits; compare them rounded."""
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
@@ -532,7 +537,7 @@ def delete_from_table(spark, sf_dir):
 def wap_switch(spark, sf_dir):
     """Two loads and a replacement, published by pointing the catalog to new files of the touched months."""
     table = _new_table(spark, "fact_flights")
-    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    flights = _unique_flights_once(spark, sf_dir)
     config = {"fact_flights": FLIGHT_RULES}
     later = flights.where("year(date) = 1996 AND cancelled = 0").withColumn("departure_delay", F.col("departure_delay") + 30)
     later = later.withColumn("is_delayed", delay_flag())

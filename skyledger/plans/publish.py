@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.functions.columns import named, quoted
 from skyledger.operators.existing import merge_replace, without_existing
@@ -109,7 +109,8 @@ def write_audit_publish(
         else:
             stage = audit
             same = key if mode == "insert_only" else None
-            create_like(without_existing(arrived, stored, same, stored_is_unique=True), stage, by_month)
+            known, unknown = _by_stored(spark, incoming, table) if key_has_month else (arrived, None)
+            create_like(without_existing(known, stored, same, stored_is_unique=True), stage, by_month, unknown)
         staged = read_table(spark, stage)
         if staged.isEmpty():
             return False
@@ -138,8 +139,10 @@ def write_audit_publish(
         if not exists:
             create_for(batch, table, by_month)
         if switch and key_has_month:
+            # Months that the table lacks are written as they lie in the staging table.
+            known, unknown = _by_stored(spark, stage, table)
             current = only_months(spark.table(table), months).drop(MONTH_COLUMN)
-            switch_months(_after(current, staged, key, mode), table)
+            switch_months(_after(current, known.drop(MONTH_COLUMN), key, mode), table, unknown)
         elif mode == "insert_only" or not exists:
             append(spark.table(stage), table, arranged=True)
         elif key_has_month:
@@ -154,6 +157,14 @@ def write_audit_publish(
         drop_table(spark, incoming)
 
 
+def _by_stored(spark: SparkSession, stage: str, table: str) -> tuple[DataFrame, DataFrame | None]:
+    """A staging table's rows in the months that the table has, which alone can have its keys, and the others; None if there are no such months."""
+    stored, staged = set(stored_months(spark, table)), stored_months(spark, stage)
+    others = [m for m in staged if m not in stored]
+    rows = spark.table(stage)
+    return (only_months(rows, [m for m in staged if m in stored]), only_months(rows, others)) if others else (rows, None)
+
+
 def metrics_table(table: str) -> str:
     """Name of the table with the state of a table's metrics."""
     *database, name = table.replace("`", "").split(".")

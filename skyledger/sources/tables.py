@@ -97,9 +97,11 @@ def laid_out(df: DataFrame, by_month: bool) -> DataFrame:
     """
     if not by_month:
         return df
-    dated = df.withColumn(MONTH_COLUMN, month_key("date"))
-    order = [c for c in (MONTH_COLUMN, "date", "scheduled_departure") if c in dated.columns]
-    return dated.hint("rebalance", MONTH_COLUMN).sortWithinPartitions(*order)
+    return _in_order(df.withColumn(MONTH_COLUMN, month_key("date")).hint("rebalance", MONTH_COLUMN))
+
+
+def _in_order(dated: DataFrame) -> DataFrame:
+    return dated.sortWithinPartitions(*[c for c in (MONTH_COLUMN, "date", "scheduled_departure") if c in dated.columns])
 
 
 def append(df: DataFrame, table: str, arranged: bool = False) -> None:
@@ -118,10 +120,14 @@ def append(df: DataFrame, table: str, arranged: bool = False) -> None:
     rows.select(*[named(c) for c in target.columns]).write.insertInto(table)
 
 
-def create_like(df: DataFrame, table: str, by_month: bool) -> None:
-    """Write rows to a new table of their own columns, replacing one that is left from an earlier run."""
+def create_like(df: DataFrame, table: str, by_month: bool, arranged: DataFrame | None = None) -> None:
+    """Write rows to a new table of their own columns, replacing one that is left from an earlier run.
+
+    ``arranged`` are rows of other months, read from a table of the same layout: these are not shuffled.
+    """
     drop_table(df.sparkSession, table)
-    writer = laid_out(df.drop(MONTH_COLUMN), by_month).write.format("parquet")
+    rows = laid_out(df.drop(MONTH_COLUMN), by_month)
+    writer = (rows if arranged is None else rows.unionByName(arranged)).write.format("parquet")
     (writer.partitionBy(MONTH_COLUMN) if by_month else writer).saveAsTable(table)
 
 
@@ -145,18 +151,29 @@ def write_new(df: DataFrame, table: str, mode: str = "append", keys: Sequence[st
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode}")
     spark = df.sparkSession
-    if not spark.catalog.tableExists(table):
+    is_new = not spark.catalog.tableExists(table)
+    if is_new:
         create_for(df, table)
     if mode == "overwrite":
         replace_content(df, table)
         return True
-    fresh, has_new = new_rows(df, table)
-    if has_new and keys:
-        fresh = first_per_key(without_existing(fresh, read_table(spark, table), keys), keys)
-        has_new = not fresh.isEmpty()
-    if has_new:
-        append(fresh, table)
-    return has_new
+    if is_new:
+        append(first_per_key(df, keys) if keys else df, table)
+        return not spark.table(table).isEmpty()
+    stored = read_table(spark, table).select(*[named(c) for c in df.columns])
+    # A row whose key the table lacks is not among its rows, so with a key that comparison is enough.
+    fresh = first_per_key(without_existing(df, stored, keys), keys) if keys else without_existing(df, stored)
+    stage, by_month = sibling(table, "fresh"), is_by_month(spark.table(table))
+    try:
+        # Written once: whether there are any, and the append, read files.
+        create_like(fresh, stage, by_month)
+        staged = spark.table(stage)
+        has_new = not staged.isEmpty()
+        if has_new:
+            append(staged, table, arranged=True)
+        return has_new
+    finally:
+        drop_table(spark, stage)
 
 
 def replace_content(df: DataFrame, table: str) -> None:
@@ -193,42 +210,51 @@ def delete_where(
     if not is_by_month(stored):
         replace_content(without_matching(stored, condition), table)
         return
-    touched = months_of(stored.where(condition))
+    met = F.coalesce(condition, F.lit(False))
+    found = stored.groupBy(MONTH_COLUMN).agg(F.bool_or(met).alias("some"), F.bool_and(met).alias("all")).where("some").collect()
+    touched = [row[MONTH_COLUMN] for row in found]
     if not touched:
         return
     if before_write is not None:
         before_write(touched)
     survivors = without_matching(only_months(stored, touched), condition)
-    replace_months(survivors, table, touched)
+    replace_months(survivors, table, touched, [row[MONTH_COLUMN] for row in found if not row["all"]], arranged=True)
 
 
-def replace_months(rows: DataFrame, table: str, months: Sequence[str | None]) -> None:
-    """Make ``rows`` the content of the given months; months that have none are dropped. ``rows`` may read the table."""
-    left = months_of(rows)
+def replace_months(
+    rows: DataFrame, table: str, months: Sequence[str | None], left: Sequence[str | None] | None = None, arranged: bool = False
+) -> None:
+    """Make ``rows`` the content of the given months; months that have none are dropped. ``rows`` may read the table.
+
+    ``left`` are the months that ``rows`` has, if known; ``arranged`` rows are read from a table of the same layout.
+    """
+    left = months_of(rows) if left is None else left
     if left:
-        overwrite_months(rows, table)
+        overwrite_months(rows, table, arranged)
     for month in set(months) - set(left):
         value = "NULL" if month is None else f"'{month}'"
         rows.sparkSession.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({MONTH_COLUMN} = {value})")
 
 
-def overwrite_months(rows: DataFrame, table: str) -> None:
+def overwrite_months(rows: DataFrame, table: str, arranged: bool = False) -> None:
     """Replace the months that ``rows`` has by its rows and leave all others; ``rows`` may read the table.
 
-    Spark writes all new files before it touches the old ones, so nothing is staged first.
+    Spark writes all new files before it touches the old ones, so nothing is staged first. ``arranged`` rows are
+    read from a table of the same layout and stay where they are.
     """
     target = rows.sparkSession.table(table)
-    arranged = laid_out(rows.drop(MONTH_COLUMN), True).select(*[named(c) for c in target.columns])
+    full = _in_order(rows) if arranged else laid_out(rows.drop(MONTH_COLUMN), True)
     with overwrite_mode(rows.sparkSession, "dynamic"):
-        arranged.write.insertInto(table, overwrite=True)
+        full.select(*[named(c) for c in target.columns]).write.insertInto(table, overwrite=True)
 
 
-def switch_months(rows: DataFrame, table: str) -> list[str]:
+def switch_months(rows: DataFrame, table: str, arranged: DataFrame | None = None) -> list[str]:
     """Make ``rows`` the content of the months that they have, by the catalog: readers see a month as it was or as it becomes, never half of it.
 
     All months are written to a new folder beside the table first. Then the catalog's pointer of each partition is set to its new files,
     one statement per month. What was there before stays on disk for readers that have begun; these folders are
-    given back, for the caller to remove when no reader is left. ``rows`` may read the table.
+    given back, for the caller to remove when no reader is left. ``rows`` may read the table. ``arranged`` are
+    rows of other months, read from a table of the same layout: these are not shuffled.
     """
     spark = rows.sparkSession
     target = spark.table(table)
@@ -236,7 +262,10 @@ def switch_months(rows: DataFrame, table: str) -> list[str]:
     location = _location(spark, table)
     folder = f"{location.rstrip('/')}_versions/{name}-{uuid.uuid4().hex}"
     order = [named(c) for c in target.columns]
-    laid_out(rows.drop(MONTH_COLUMN), True).select(*order).write.partitionBy(MONTH_COLUMN).parquet(folder)
+    full = laid_out(rows.drop(MONTH_COLUMN), True).select(*order)
+    if arranged is not None:
+        full = full.unionByName(arranged, allowMissingColumns=True).select(*order)
+    full.write.partitionBy(MONTH_COLUMN).parquet(folder)
     known = set(stored_months(spark, table))
     replaced = []
     for month in sorted(months_of(spark.read.parquet(folder).select(F.col(MONTH_COLUMN).cast("string"))), key=lambda m: m or ""):

@@ -6,9 +6,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skyledger.plans import catalogue
+from skyledger.operators.dedup import first_per_key
+from skyledger.plans import catalogue, metrics, publish, states
+from skyledger.quality import constraints as c
 from skyledger.quality import suggest
-from tests.helpers import plan
+from skyledger.sources import buckets, tables
+from tests.helpers import plan, silver_frame, silver_row
 
 FLIGHTS = (
     "date DATE, airline STRING, flight_number INT, origin_airport STRING, destination_airport STRING, scheduled_departure INT,"
@@ -21,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated"]
+ONCE = ["suggestions_evaluated", "wap_switch"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -46,3 +49,28 @@ def test_suggested_ranges_are_held_against_the_rows_in_one_pass(spark, tmp_path)
     assert len(re.findall(r"FileScan parquet \[id#", plan(found))) == 2
     shares = {(r.column_name, r.rule): r.share for r in found.collect()}
     assert shares[("u", "categorical_range")] == 1.0 and shares[("w", "categorical_range")] == 27 / 30
+
+
+def days(spark, *months):
+    return silver_frame(spark, [silver_row(date=dt.date(2015, m, d), flight_number=d) for m in months for d in (1, 2, 3)])
+
+
+@pytest.mark.parametrize("switch", [True, False])
+def test_only_months_that_the_table_has_are_compared_and_shuffled(spark, database, monkeypatch, switch):
+    table, rules = f"{database}.fact_flights", {"fact_flights": {"uniqueness": ["date", "flight_number"]}}
+    publish.write_audit_publish(days(spark, 1, 2), table, rules=rules, switch=switch)
+    compared, switched = [], []
+    real = publish.without_existing
+
+    def watched(batch, *rest, **named):
+        compared.extend(tables.months_of(batch))
+        return real(batch, *rest, **named)
+
+    monkeypatch.setattr(publish, "without_existing", watched)
+    if switch:
+        monkeypatch.setattr(publish, "switch_months", lambda rows, *rest: switched.append(rows.count()) or tables.switch_months(rows, *rest))
+    batch = days(spark, 2, 3).union(silver_frame(spark, [silver_row(date=dt.date(2015, 2, 9), flight_number=9)]))
+    assert publish.write_audit_publish(batch, table, rules=rules, switch=switch)
+    assert compared == ["2015-02"]
+    assert switched == ([4] if switch else [])
+    assert tables.read_table(spark, table).groupBy(F.month("date").alias("m")).count().orderBy("m").collect() == [(1, 3), (2, 4), (3, 3)]
