@@ -11,10 +11,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.functions.columns import month_key, named
+from skyledger.functions.columns import named
 from skyledger.operators.levels import daily_cells
 from skyledger.schemas import MONTH_COLUMN
-from skyledger.sources.tables import create_like, drop_table, is_by_month, only_months, overwrite_mode, replace_months, stored_months
+from skyledger.sources.tables import create_like, drop_table, is_by_month, only_months, overwrite_mode, replace_months, sibling, stored_months
 
 Months = Sequence[str | None]
 
@@ -58,7 +58,7 @@ class MonthlyState:
             if not self.spark.catalog.tableExists(self.table):
                 create_like(made, self.table, True) if "date" in made.columns else self._create(made)
             elif "date" in made.columns:
-                replace_months(made.withColumn(MONTH_COLUMN, month_key("date")), self.table, months)
+                self._replace_dated(made, months)
             else:
                 self._replace(made, months)
         drop_table(self.spark, self.journal)
@@ -70,6 +70,15 @@ class MonthlyState:
     def _create(self, made: DataFrame) -> None:
         made.write.partitionBy(MONTH_COLUMN).format("parquet").saveAsTable(self.table)
 
+    def _replace_dated(self, made: DataFrame, months: Months) -> None:
+        """The facts are read once: the state is written beside the table first, and its months are those it has there."""
+        stage = sibling(self.table, "made")
+        try:
+            create_like(made, stage, True)
+            replace_months(self.spark.table(stage), self.table, months, stored_months(self.spark, stage), arranged=True)
+        finally:
+            drop_table(self.spark, stage)
+
     def _replace(self, made: DataFrame, months: Months) -> None:
         target = self.spark.table(self.table)
         with overwrite_mode(self.spark, "dynamic"):

@@ -24,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch"]
+ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -74,3 +74,18 @@ def test_only_months_that_the_table_has_are_compared_and_shuffled(spark, databas
     assert compared == ["2015-02"]
     assert switched == ([4] if switch else [])
     assert tables.read_table(spark, table).groupBy(F.month("date").alias("m")).count().orderBy("m").collect() == [(1, 3), (2, 4), (3, 3)]
+
+
+def test_cells_are_made_in_one_pass_over_the_facts(spark, database, monkeypatch):
+    fact, rules = f"{database}.fact_flights", {"fact_flights": {"uniqueness": ["date", "flight_number"]}}
+    store = states.cell_store(spark, fact, f"{database}.cells")
+    publish.write_audit_publish(days(spark, 1, 2), fact, rules=rules, before_write=store.note)
+    store.refresh()
+    tables.delete_where(spark, fact, "month(date) = 1 OR flight_number = 1", before_write=store.note)
+
+    def again(rows):
+        raise AssertionError("the rows are computed for their months alone")
+
+    monkeypatch.setattr(tables, "months_of", again)
+    assert store.refresh() == ["2015-01", "2015-02"]
+    assert [r[0] for r in store.read().select("date").distinct().orderBy("date").collect()] == [dt.date(2015, 2, 2), dt.date(2015, 2, 3)]
