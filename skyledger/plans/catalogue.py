@@ -741,7 +741,7 @@ def dq_incremental(spark, sf_dir):
     fact = _new_table(spark, "fact_flights")
     check = rules.table_check("fact_flights", {"fact_flights": FLIGHT_RULES})
     state = metrics.MetricStates(spark, fact, tables.sibling(fact, "metrics"), [check, FLIGHT_PROBES, WHOLE_TABLE])
-    flights = proxy.flights(spark, sf_dir)
+    flights = _flights_once(spark, sf_dir)
     for batch in (flights.where(FIRST_LOAD), flights.where(f"NOT ({FIRST_LOAD})")):
         if not spark.catalog.tableExists(fact):
             tables.create_for(batch, fact, True)

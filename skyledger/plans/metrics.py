@@ -49,10 +49,12 @@ class MetricStates:
         if any(c.values is not None for _, (_, c) in self.numbered):
             raise ValueError("constraints against a relation have no state")
         self.wide_keys = list(dict.fromkeys(c.columns for _, (_, c) in self.numbered if c.is_uniqueness and "date" not in c.columns))
+        # A key within a longer one has no state of its own: its counts are sums of the longer one's.
+        self.stored_keys = [k for k in self.wide_keys if not any(set(k) < set(other) for other in self.wide_keys)]
         *database, name = table.split(".")
         beside = lambda role: ".".join([*database, f"{name.strip('`')}_{role}"])
         self.sums = MonthlyState(spark, facts, table, self.sums_of)
-        self.keys = [MonthlyState(spark, facts, beside(f"key{n}"), lambda rows, k=k: self.keys_of(rows, k)) for n, k in enumerate(self.wide_keys)]
+        self.keys = [MonthlyState(spark, facts, beside(f"key{self.wide_keys.index(k)}"), lambda rows, k=k: self.keys_of(rows, k)) for k in self.stored_keys]
 
     def sums_of(self, rows: DataFrame) -> DataFrame:
         """Per month one row of numbers: of all rows, and of each constraint."""
@@ -105,7 +107,8 @@ class MetricStates:
         totals = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c != MONTH_COLUMN])
         rows = [described(n, check, c, self._metric(n, c)) for n, (check, c) in self.numbered if not (c.is_uniqueness and "date" not in c.columns)]
         parts = [totals.select(F.inline(F.array(*rows)))] if rows else []
-        for key, counts in zip(self.wide_keys, keys):
+        for key in self.wide_keys:
+            counts = next(state for stored, state in zip(self.stored_keys, keys) if set(key) <= set(stored))
             users = [described(n, check, c, F.col("metric")) for n, (check, c) in self.numbered if c.is_uniqueness and c.columns == key]
             parts.append(uniqueness_metric(key_counts(counts, key)).select(F.inline(F.array(*users))))
         result = parts[0]

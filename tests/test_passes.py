@@ -24,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells"]
+ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -89,3 +89,14 @@ def test_cells_are_made_in_one_pass_over_the_facts(spark, database, monkeypatch)
     monkeypatch.setattr(tables, "months_of", again)
     assert store.refresh() == ["2015-01", "2015-02"]
     assert [r[0] for r in store.read().select("date").distinct().orderBy("date").collect()] == [dt.date(2015, 2, 2), dt.date(2015, 2, 3)]
+
+
+def test_a_key_within_another_has_no_state_of_its_own(spark, database):
+    fact = f"{database}.fact_flights"
+    keys = [["airline", "flight_number"], ["airline", "flight_number", "origin_airport"]]
+    state = metrics.MetricStates(spark, fact, f"{database}.metrics", [c.Check("t", tuple(c.uniqueness(k) for k in keys))])
+    tables.create_for(days(spark, 1), fact, True)
+    tables.append(days(spark, 1, 2).union(silver_frame(spark, [silver_row(flight_number=7), silver_row(flight_number=7, origin_airport="BOS")])), fact)
+    state.refresh()
+    assert len(state.keys) == 1
+    assert [r.metric for r in state.metrics().orderBy("number").collect()] == [0.0, 2 / 8]
