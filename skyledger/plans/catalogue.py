@@ -402,9 +402,9 @@ def merge_insert_only_flights(spark, sf_dir):
 
 def _bucketed(spark, sf_dir):
     """The first load in a new table bucketed by the flight key, and all flights."""
-    flights = dedup.first_per_key(proxy.flights(spark, sf_dir), FLIGHT_KEY)
+    flights = _unique_flights_once(spark, sf_dir)
     table = _new_table(spark, "bucketed_flights")
-    buckets.create(flights, table, FLIGHT_KEY, buckets=8)
+    buckets.create(flights, table, FLIGHT_KEY, buckets=buckets.fitting(flights, at_least=8))
     buckets.insert_new(flights.where(FIRST_LOAD), table)
     return table, flights
 

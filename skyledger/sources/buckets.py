@@ -27,6 +27,12 @@ from skyledger.sources import tables
 KEY_HASH = "key_hash"
 PROPERTY = "bucketed_by_key"
 BUCKETS = 64
+ROWS_PER_BUCKET = 4_000_000  # what a task sorts in memory
+
+
+def fitting(rows: DataFrame, at_least: int = BUCKETS) -> int:
+    """Number of buckets such that one of them has about `ROWS_PER_BUCKET` of the rows at most."""
+    return max(at_least, -(-rows.count() // ROWS_PER_BUCKET))
 
 
 def create(batch: DataFrame, table: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
@@ -103,23 +109,50 @@ def without_stored(batch: DataFrame, table: str) -> DataFrame:
     return without_existing(rows, stored_keys(batch, table), keys, stored_is_unique=True)
 
 
-def _in_layout(rows: DataFrame, table: str) -> DataFrame:
+def _dealt(rows: DataFrame, table: str) -> DataFrame:
     """Rows with all columns of the table, one bucket to a task; columns that they lack are NULL."""
     spark = rows.sparkSession
     keys, buckets = layout(spark, table)
     target = spark.table(table)
     plain = [f for f in target.schema if f.name not in (KEY_HASH, MONTH_COLUMN)]
     full = rows.select(*[(named(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in plain])
-    full = full.withColumn(KEY_HASH, F.xxhash64(*[named(k) for k in keys])).repartition(buckets, KEY_HASH)
-    if not tables.is_by_month(target):
-        return full.sortWithinPartitions(KEY_HASH)
-    return full.withColumn(MONTH_COLUMN, month_key("date")).sortWithinPartitions(MONTH_COLUMN, KEY_HASH)
+    return full.withColumn(KEY_HASH, F.xxhash64(*[named(k) for k in keys])).repartition(buckets, KEY_HASH)
+
+
+def _sorted(dealt: DataFrame, table: str) -> DataFrame:
+    """Dealt rows in the order of the table's files."""
+    if not tables.is_by_month(dealt.sparkSession.table(table)):
+        return dealt.sortWithinPartitions(KEY_HASH)
+    return dealt.withColumn(MONTH_COLUMN, month_key("date")).sortWithinPartitions(MONTH_COLUMN, KEY_HASH)
+
+
+def _in_layout(rows: DataFrame, table: str) -> DataFrame:
+    """Rows as the table's files hold them."""
+    return _sorted(_dealt(rows, table), table)
+
+
+def _one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row per key. Where all keys have different hashes these are the rows as they come, which a shuffle of the hashes alone tells."""
+    repeated = rows.groupBy(F.xxhash64(*[named(k) for k in keys]).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    return rows if repeated.isEmpty() else first_per_key(rows, keys)
 
 
 def insert_new(batch: DataFrame, table: str) -> None:
-    """Add one row per key that the table lacks. Stored rows stay as they are, so a repeated load adds nothing."""
-    keys, _ = layout(batch.sparkSession, table)
-    _in_layout(first_per_key(without_stored(batch, table), keys), table).write.insertInto(table)
+    """Add one row per key that the table lacks. Stored rows stay as they are, so a repeated load adds nothing.
+
+    The batch is reduced to one row per key first, which a hot key leaves with one row per task, and dealt to the buckets; there
+    it meets the stored rows and is written, without another shuffle.
+    """
+    spark = batch.sparkSession
+    keys, _ = layout(spark, table)
+    target = spark.table(table)
+    typed = dict(zip(keys, _as_stored(target, keys)))
+    rows = _one_per_key(batch.select(*[typed.get(c, named(c)) for c in batch.columns]), keys)
+    dealt = _dealt(rows, table).withColumnsRenamed({KEY_HASH: "_sought"}).withColumn("_sought_key", row_key(keys))
+    stored, _ = _touched(batch, target, keys)
+    seen = stored.select(KEY_HASH, row_key(keys).alias("_key"))
+    fresh = dealt.join(seen, _same_key(), "left_anti").drop("_sought_key").withColumnRenamed("_sought", KEY_HASH)
+    _sorted(fresh, table).select(*[named(c) for c in target.columns]).write.insertInto(table)
 
 
 def replace(batch: DataFrame, table: str) -> None:

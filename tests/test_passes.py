@@ -24,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental"]
+ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -100,3 +100,22 @@ def test_a_key_within_another_has_no_state_of_its_own(spark, database):
     state.refresh()
     assert len(state.keys) == 1
     assert [r.metric for r in state.metrics().orderBy("number").collect()] == [0.0, 2 / 8]
+
+
+def test_a_load_without_repeated_keys_is_not_deduplicated(spark, database, monkeypatch):
+    schema = "date DATE, number INT, delay INT"
+    table = f"{database}.facts"
+    buckets.create(spark.createDataFrame([], schema), table, ["date", "number"], 4)
+    calls = []
+    monkeypatch.setattr(buckets, "first_per_key", lambda df, keys: calls.append(keys) or first_per_key(df, keys))
+    day = dt.date(2015, 1, 3)
+    buckets.insert_new(spark.createDataFrame([(day, 1, 5), (day, None, 5), (None, None, 5)], schema), table)
+    assert not calls
+    buckets.insert_new(spark.createDataFrame([(day, 1, 1), (day, None, 1), (day, 2, 8), (day, 2, 7)], schema), table)
+    assert len(calls) == 1
+    assert set(map(tuple, buckets.read(spark, table).collect())) == {(day, 1, 5), (day, None, 5), (None, None, 5), (day, 2, 7)}
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 10)
+    assert [buckets.fitting(spark.range(n), 8) for n in (0, 80, 81, 200)] == [8, 8, 9, 20]
