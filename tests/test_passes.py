@@ -24,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads"]
+ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads", "replace_bucketed"]
 
 
 @pytest.mark.parametrize("name", ONCE)
