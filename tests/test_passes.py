@@ -24,7 +24,7 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads", "replace_bucketed"]
+ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads", "replace_bucketed", "delete_from_table"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -119,3 +119,12 @@ def test_a_load_without_repeated_keys_is_not_deduplicated(spark, database, monke
 def test_buckets_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 10)
     assert [buckets.fitting(spark.range(n), 8) for n in (0, 80, 81, 200)] == [8, 8, 9, 20]
+
+
+def test_a_delete_shuffles_no_stored_rows(spark, database, monkeypatch):
+    fact = f"{database}.fact_flights"
+    assert tables.write_new(days(spark, 1, 2, 3), fact)
+    monkeypatch.setattr(tables, "laid_out", None)
+    tables.delete_where(spark, fact, "month(date) = 1 OR flight_number = 1")
+    assert sorted(tables.stored_months(spark, fact)) == ["2015-02", "2015-03"]
+    assert spark.table(fact).count() == 4
