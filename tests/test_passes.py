@@ -24,7 +24,10 @@ ROWS = [
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
 ]
-ONCE = ["suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads", "replace_bucketed", "delete_from_table"]
+ONCE = [
+    "suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads",
+    "replace_bucketed", "delete_from_table", "profile_sketched",
+]
 
 
 @pytest.mark.parametrize("name", ONCE)
