@@ -23,7 +23,7 @@ ROWS = [
     for day in DATES
     for airline in ("2-HIGH", "5-LOW")
     for number in (1, 2)
-]
+] + [(DATES[-1], "2-HIGH", 3, "SFO", "JFK", 1, None, 1, "A", 0)]
 ONCE = [
     "suggestions_evaluated", "wap_switch", "gold_from_cells", "dq_incremental", "merge_bucketed", "wap_two_loads",
     "replace_bucketed", "delete_from_table", "profile_sketched",
