@@ -109,14 +109,21 @@ def without_stored(batch: DataFrame, table: str) -> DataFrame:
     return without_existing(rows, stored_keys(batch, table), keys, stored_is_unique=True)
 
 
-def _dealt(rows: DataFrame, table: str) -> DataFrame:
-    """Rows with all columns of the table, one bucket to a task; columns that they lack are NULL."""
+def _dealt(rows: DataFrame, table: str, with_hash: bool = False) -> DataFrame:
+    """Rows with all columns of the table, one bucket to a task; columns that they lack are NULL.
+
+    The hash hardly compresses, so it is made again behind the shuffle. Only ``with_hash`` it is shipped, and Spark takes
+    the rows to lie by this column alone: a union with stored rows then has one task per bucket, not two.
+    """
     spark = rows.sparkSession
     keys, buckets = layout(spark, table)
     target = spark.table(table)
     plain = [f for f in target.schema if f.name not in (KEY_HASH, MONTH_COLUMN)]
     full = rows.select(*[(named(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in plain])
-    return full.withColumn(KEY_HASH, F.xxhash64(*[named(k) for k in keys])).repartition(buckets, KEY_HASH)
+    hashed = F.xxhash64(*[named(k) for k in keys])
+    if with_hash:
+        return full.withColumn(KEY_HASH, hashed).repartition(buckets, KEY_HASH)
+    return full.repartition(buckets, hashed).withColumn(KEY_HASH, hashed)
 
 
 def _sorted(dealt: DataFrame, table: str) -> DataFrame:
@@ -137,6 +144,12 @@ def _one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows if repeated.isEmpty() else first_per_key(rows, keys)
 
 
+def _unique(batch: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of the batch, with the key in the table's types."""
+    typed = dict(zip(keys, _as_stored(stored, keys)))
+    return _one_per_key(batch.select(*[typed.get(c, named(c)) for c in batch.columns]), keys)
+
+
 def insert_new(batch: DataFrame, table: str) -> None:
     """Add one row per key that the table lacks. Stored rows stay as they are, so a repeated load adds nothing.
 
@@ -146,9 +159,7 @@ def insert_new(batch: DataFrame, table: str) -> None:
     spark = batch.sparkSession
     keys, _ = layout(spark, table)
     target = spark.table(table)
-    typed = dict(zip(keys, _as_stored(target, keys)))
-    rows = _one_per_key(batch.select(*[typed.get(c, named(c)) for c in batch.columns]), keys)
-    dealt = _dealt(rows, table).withColumnsRenamed({KEY_HASH: "_sought"}).withColumn("_sought_key", row_key(keys))
+    dealt = _dealt(_unique(batch, target, keys), table).withColumnsRenamed({KEY_HASH: "_sought"}).withColumn("_sought_key", row_key(keys))
     stored, _ = _touched(batch, target, keys)
     seen = stored.select(KEY_HASH, row_key(keys).alias("_key"))
     fresh = dealt.join(seen, _same_key(), "left_anti").drop("_sought_key").withColumnRenamed("_sought", KEY_HASH)
@@ -159,14 +170,18 @@ def replace(batch: DataFrame, table: str) -> None:
     """One row per key of the batch takes the place of the stored rows with that key; others are added.
 
     Only the months of the batch are written anew, where the key has the date and so tells the month; else the whole table.
+    The batch is reduced to one row per key first; then its keys and its rows are dealt to the buckets once each.
     """
     spark = batch.sparkSession
-    keys, _ = layout(spark, table)
+    keys, buckets = layout(spark, table)
     everything = spark.table(table)
     stored, months = _touched(batch, everything, keys)
-    kept = stored.withColumn("_key", row_key(keys)).join(_hashed(batch, stored, keys), _same_key(), "left_anti")
+    unique = _unique(batch, everything, keys)
+    hashed = F.xxhash64(*[named(k) for k in keys])
+    sought = unique.select(*[named(k) for k in keys]).repartition(buckets, hashed).select(hashed.alias("_sought"), row_key(keys).alias("_sought_key"))
+    kept = stored.withColumn("_key", row_key(keys)).join(sought, _same_key(), "left_anti")
     # The batch alone is shuffled: what is kept still lies by buckets, as it was read.
-    fresh = _in_layout(first_per_key(batch, keys), table)
+    fresh = _sorted(_dealt(unique, table, with_hash=True), table)
     columns = [named(c) for c in everything.columns]
     rows = kept.select(*columns).unionByName(fresh.select(*columns))
     if months is None:

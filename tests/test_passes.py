@@ -11,7 +11,7 @@ from skyledger.plans import catalogue, metrics, publish, states
 from skyledger.quality import constraints as c
 from skyledger.quality import suggest
 from skyledger.sources import buckets, tables
-from tests.helpers import plan, silver_frame, silver_row
+from tests.helpers import plan, silver_frame, silver_row, tiny_shuffles
 
 FLIGHTS = (
     "date DATE, airline STRING, flight_number INT, origin_airport STRING, destination_airport STRING, scheduled_departure INT,"
@@ -119,6 +119,53 @@ def test_a_load_without_repeated_keys_is_not_deduplicated(spark, database, monke
     assert set(map(tuple, buckets.read(spark, table).collect())) == {(day, 1, 5), (day, None, 5), (None, None, 5), (day, 2, 7)}
 
 
+def test_a_replacement_is_dealt_to_the_buckets_once(spark, database, monkeypatch):
+    """Its keys and its rows are shuffled once each, and the stored rows stay where they are."""
+    schema, table = "number INT, name STRING, delay INT", f"{database}.facts"
+    buckets.create(spark.createDataFrame([], schema), table, ["number", "name"], 3)
+    buckets.insert_new(spark.createDataFrame([(1, "a", 1), (2, None, 1), (None, "c", 1)], schema), table)
+    calls, plans = [], []
+    real = buckets._replace_all
+    monkeypatch.setattr(buckets, "first_per_key", lambda df, keys: calls.append(keys) or first_per_key(df, keys))
+    monkeypatch.setattr(buckets, "_replace_all", lambda df, name: plans.append(plan(df)) or real(df, name))
+    with tiny_shuffles(spark):
+        buckets.replace(spark.createDataFrame([(2, None, 5), (None, "c", 5), (None, None, 5)], schema), table)
+    assert not calls
+    dealt = [line for line in plans[0].splitlines() if "Exchange" in line]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in line and ", 3)" in line for line in dealt)
+    assert set(map(tuple, buckets.read(spark, table).collect())) == {(1, "a", 1), (2, None, 5), (None, "c", 5), (None, None, 5)}
+    buckets.replace(spark.createDataFrame([(2, None, 8), (2, None, 7), (4, "d", None), (4, "d", 9)], schema), table)
+    assert len(calls) == 1
+    assert set(map(tuple, buckets.read(spark, table).collect())) == {(1, "a", 1), (2, None, 7), (None, "c", 5), (None, None, 5), (4, "d", None)}
+
+
+def test_kept_and_new_rows_of_a_bucket_share_a_file(spark, database):
+    table = f"{database}.facts"
+    rows = spark.range(60).selectExpr("DATE '2015-03-01' AS date", "CAST(id AS INT) AS number", "1 AS delay")
+    buckets.create(rows, table, ["date", "number"], 3)
+    buckets.insert_new(rows, table)
+    with tiny_shuffles(spark):
+        buckets.replace(rows.where("number % 2 = 0").withColumn("delay", F.lit(2)), table)
+    assert len(spark.table(table).inputFiles()) == 3
+    assert sorted(r[1:] for r in buckets.read(spark, table).collect()) == [(n, 2 - n % 2) for n in range(60)]
+
+
+def test_a_load_is_dealt_without_its_hash(spark, database):
+    table = f"{database}.facts"
+    rows = spark.range(60).selectExpr("id AS number", "1 AS delay")
+    buckets.create(rows, table, ["number"], 3)
+    dealt = buckets._dealt(rows, table)
+    assert "hashpartitioning(xxhash64(" in plan(dealt)
+    assert dealt.select(F.expr("pmod(hash(key_hash), 3)").alias("b"), F.spark_partition_id().alias("p")).where("b <> p").isEmpty()
+
+
+def test_keys_of_a_replacement_are_told_apart_in_the_types_of_the_table(spark, database):
+    table = f"{database}.facts"
+    buckets.create(spark.createDataFrame([], "number INT, delay INT"), table, ["number"], 3)
+    buckets.replace(spark.createDataFrame([("1", 5), ("01", 4)], "number STRING, delay INT"), table)
+    assert buckets.read(spark, table).collect() == [(1, 4)]
+
+
 def test_buckets_grow_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 10)
     assert [buckets.fitting(spark.range(n), 8) for n in (0, 80, 81, 200)] == [8, 8, 9, 20]
